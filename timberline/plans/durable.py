@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,15 +18,19 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
+@functools.cache
+def _local_scratch() -> str:
+    """One temporary folder per process, for local sessions only."""
+    return tempfile.mkdtemp(prefix="timberline-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="timberline-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/timberline-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,7 @@ import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberline.plans.durable import durable, lookup_join
@@ -68,8 +68,6 @@ def head_sample(lines: DataFrame, count: int = 20, first_block_only: bool = True
     The window keeps ``count`` rows per file inside each task before anything is shuffled.
     Files start with block 0; lines of a table may not, which ``first_block_only`` tells.
     """
-    from pyspark.sql import Window
-
     if first_block_only:
         lines = lines.filter(F.col("block") == 0)
     order = Window.partitionBy("path").orderBy("block", "line_id")
@@ -82,6 +80,18 @@ def _plain(path: str) -> str:
     return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/") or "/"
 
 
+def _positions(file: str, wanted: dict[str, list[int]], patterns: dict[str, list[int]]) -> list[int]:
+    """Request positions that name this file, a folder above it, or a pattern over either."""
+    name = _plain(unquote(file))
+    steps = name.split("/")
+    spellings = ["/".join(steps[:n]) for n in range(len(steps), 1, -1)]
+    for spelling in spellings:
+        if spelling in wanted:
+            return wanted[spelling]
+    return [i for pattern, at in patterns.items() for i in at
+            if any(fnmatch.fnmatchcase(s, pattern) for s in spellings)]
+
+
 def with_file_order(spark: SparkSession, lines: DataFrame, paths: str | Sequence[str]) -> DataFrame:
     """``lines`` with ``file_idx``, the position of the file in the request.
 
@@ -92,25 +102,16 @@ def with_file_order(spark: SparkSession, lines: DataFrame, paths: str | Sequence
     if len(paths) == 1:
         return lines.withColumn("file_idx", F.lit(0))
     wanted: dict[str, list[int]] = {}
+    patterns: dict[str, list[int]] = {}
     for index, path in enumerate(paths):
-        wanted.setdefault(_plain(path), []).append(index)
-    globs = {p: i for p, i in wanted.items() if re.search(r"[*?\[{]", p)}
-    rows = []
-    for file in spark.read.text(list(dict.fromkeys(paths))).inputFiles():
-        name = _plain(unquote(file))
-        parts = name.split("/")
-        parents = ("/".join(parts[:n]) for n in range(len(parts), 0, -1))
-        hit = next((wanted[p] for p in parents if p in wanted), None)
-        if hit is None:
-            hit = [i for p in globs for i in globs[p] if _matches(name, p)]
-        if not hit:
-            hit = [i for p, i_s in wanted.items() for i in i_s if name.endswith("/" + p.lstrip("./"))]
-        rows.extend((file, index) for index in hit[: max(1, len(hit))])
+        plain = _plain(path)
+        if not plain.startswith("/"):
+            patterns.setdefault("*/" + plain.removeprefix("./"), []).append(index)
+        elif re.search(r"[*?\[{]", plain):
+            patterns.setdefault(plain, []).append(index)
+        else:
+            wanted.setdefault(plain, []).append(index)
+    files = spark.read.text(list(dict.fromkeys(paths))).inputFiles()
+    rows = [(file, index) for file in files for index in _positions(file, wanted, patterns)]
     order = durable(spark.createDataFrame(rows, "path string, file_idx int"))
     return lookup_join(lines, order, ["path"], how="inner")
-
-
-def _matches(name: str, glob: str) -> bool:
-    parents = name.split("/")
-    return any(fnmatch.fnmatch("/".join(parents[:n]), "*" + glob.lstrip(".")) for n in
-               range(len(parents), 0, -1))
