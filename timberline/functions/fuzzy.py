@@ -67,6 +67,10 @@ def text_matches(text: Column, search: str) -> Column:
         # A word holds only word characters, so other pieces can never stand in one.
         usable = [p for p in pieces(term) if re.fullmatch(r"[a-z0-9_]+", p)]
         candidates.append(any_of([lowered.contains(p) for p in usable]))
-        words = F.transform(F.split(text, r"\W+"), F.lower)
-        exact.append(F.exists(words, lambda w, t=term: (w != "") & word_matches(w, t)))
+        exact.append(_some_word(text, term))
     return all_of(candidates + exact)
+
+
+def _some_word(text: Column, term: str) -> Column:
+    words = F.transform(F.split(text, r"\W+"), F.lower)
+    return F.exists(words, lambda word: (word != "") & word_matches(word, term))

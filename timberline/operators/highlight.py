@@ -18,7 +18,7 @@ from timberline.functions.fuzzy import pieces, split_terms, within_typos
 
 SPANS = "array<struct<start:int,length:int>>"
 # A noncharacter that Unicode keeps for use inside a program.
-_MARK = "﷐"
+_MARK = "\ufdd0"
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -33,7 +33,7 @@ def _no_spans() -> Column:
 def _fold(text: Column, pattern: str, hit) -> Column:
     """Spans of the marked parts; ``hit(part)`` is (offset in the part, length), NULL for none."""
     # A mark in the text itself could be taken for ours; any other character has the same length.
-    clean = F.translate(text, _MARK, "�")
+    clean = F.translate(text, _MARK, "\ufffd")
     cuts = F.split(F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
 
     def step(state: Column, part: Column) -> Column:

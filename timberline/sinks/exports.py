@@ -11,7 +11,7 @@ from timberline.operators import stats
 EXPORT_FORMATS = ("csv", "json")
 
 # The header line, with its byte order mark and blanks, cut at the separators.
-_CSV_HEADER = ("﻿timestamp", " level", " message", " source ")
+_CSV_HEADER = ("\ufefftimestamp", " level", " message", " source ")
 
 
 def export_rows(entries: DataFrame) -> DataFrame:
