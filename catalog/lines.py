@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.sources.text_lines import table_lines
+from timberline.sources.text_lines import spread, table_lines
 
 _STAMP = "left(cast(ts as string), 19)"
 _MILLIS = "lpad(cast(event_id * 7 % 1000 as string), 3, '0')"
@@ -69,8 +69,11 @@ SYSLOG_SOURCE = "case o_orderkey % 3 when 0 then 'content.log' when 1 then 'auth
 FIRST_YEAR = 1995
 
 
+_KEYS = {"events": "event_id", "orders": "o_orderkey", "documents": "doc_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), _KEYS[table])
 
 
 def app_lines(spark: SparkSession, sf_dir: str, line: str = APP_LINE) -> DataFrame:

@@ -223,7 +223,7 @@ def sorted_by(by: str | None, descending: bool = False):
         entries = app_entries(spark, sf_dir).filter("passed")
         # The table has one order for all sources; the default order goes file by file.
         keep = ["line_id", "block"] + (["path"] if by is None else [])
-        entries = entries.select(*keep, "ts", "level", "level_ord", "message", "source")
+        entries = durable(entries.select(*keep, "ts", "level", "level_ord", "message", "source"))
         return ordering.with_position(ordering.sort_entries(entries, by, descending)).select(
             "position", "line_id", "ts", "level", "message", "source")
     return query

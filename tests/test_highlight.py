@@ -23,6 +23,8 @@ CASES = [
     ("x foo ﷐foo", "foo", [(2, 3), (7, 3)]),
     ("ERRORé ERROR", r"\bERROR\b", [(0, 5), (7, 5)]),
     ("", "a+", []),
+    ("ab" * 700, "[b]", [(2 * i + 1, 1) for i in range(700)]),
+    ("ab é" * 400, "ab", [(4 * i, 2) for i in range(400)]),
 ]
 
 

@@ -81,47 +81,30 @@ class TimeFormat:
     def parse(self, text: Column) -> Column:
         """NULL unless the whole text has this format and names a real time."""
         index = {field[0]: n for n, field in enumerate(self.fields, start=1)}
-        textual = {"MMM", "AP", "ap", "yy"} & set(self.fields)
-        if not textual:
-            # Only numbers: one regex pass moves them into ISO order.
-            def ref(letter, default):
-                return f"${{{letter}}}" if letter in index else default
-            named = self._named()
-            hour = ref("H", ref("h", "00"))
-            iso = (f"{ref('y', '1900')}-{ref('M', '01')}-{ref('d', '01')} "
-                   f"{hour}:{ref('m', '00')}:{ref('s', '00')}")
-            if "z" in index:
-                iso += "." + ref("z", "000")
-            iso = iso.replace("${m}", "${mi}").replace("${M}", "${mo}")
-            return iso_to_ts(F.when(text.rlike(self.pattern), F.regexp_replace(text, named, iso)))
-
-        def part(letter, default):
-            if letter not in index:
-                return F.lit(default)
-            return F.regexp_extract(text, self.pattern, index[letter])
-
-        year = part("y", "1900")
-        if "yy" in self.fields:
-            year = F.concat(F.lit("19"), year)
-        month = part("M", "01")
-        if "MMM" in self.fields:
-            month = month_number(month).cast("string")
-        hour = part("H", "00") if "H" in index else part("h", "00")
+        ref = lambda letter, default: f"${index[letter]}" if letter in index else default
+        century = "19" if "yy" in self.fields else ""
+        hour = ref("H", ref("h", "00"))
+        # One regular-expression pass moves the parts into a fixed order.
+        parts = [century + ref("y", "1900"), ref("M", "01"), ref("d", "01"), hour, ref("m", "00"),
+                 ref("s", "00"), ref("z", "0")]
         half = next((f for f in self.fields if f in ("AP", "ap")), None)
+        if not half and "MMM" not in self.fields:
+            layout = "{}-{}-{} {}:{}:{}.{}".format(*parts)
+            return iso_to_ts(F.when(text.rlike(self.pattern), F.regexp_replace(text, self.pattern, layout)))
+
+        layout = "|".join([*parts, ref(half[0], "") if half else ""])
+        moved = F.split(F.when(text.rlike(self.pattern), F.regexp_replace(text, self.pattern, layout)), r"\|")
+        part = lambda n: F.get(moved, F.lit(n))
+        month = month_number(part(1)).cast("string") if "MMM" in self.fields else part(1)
+        hour = part(3)
         if half:
             number = hour.try_cast("int")
             twelve = F.when(number.between(1, 12), number % 12)
-            clock = F.when(F.upper(part(half[0], "")) == "PM", twelve + 12).otherwise(twelve)
+            clock = F.when(F.upper(part(7)) == "PM", twelve + 12).otherwise(twelve)
             hour = (clock if "h" in index else number).cast("string")
-        iso = F.concat(
-            year, F.lit("-"), month, F.lit("-"), part("d", "01"), F.lit(" "), hour, F.lit(":"),
-            part("m", "00"), F.lit(":"), part("s", "00"), F.lit("."), part("z", "0"),
-        )
-        return iso_to_ts(F.when(text.rlike(self.pattern), iso))
-
-    def _named(self) -> str:
-        names = iter({"m": "mi", "M": "mo"}.get(f[0], f[0]) for f in self.fields)
-        return re.sub(r"(?<!\\)\((?!\?)", lambda _: f"(?<{next(names)}>", self.pattern)
+        return iso_to_ts(F.concat(
+            part(0), F.lit("-"), month, F.lit("-"), part(2), F.lit(" "), hour, F.lit(":"),
+            part(4), F.lit(":"), part(5), F.lit("."), part(6)))
 
 
 # --- bounds ------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Where a search text matches inside a message: ``ARRAY<STRUCT<start, length>>``.
 
 The matches are marked in one regular-expression pass, the marked text is cut at the marks,
-and a fold over the few cuts adds up the positions. Positions count characters from 0.
+and a fold over the parts adds up the positions. Positions count characters from 0.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ SPANS = "array<struct<start:int,length:int>>"
 # A noncharacter that Unicode keeps for use inside a program.
 _MARK = "\ufdd0"
 _WORD = r"[\p{L}\p{N}_]"
+# Parts folded at a time; even, so that every group starts between two matches.
+_GROUP = 256
 
 
 def _span(start: Column, length: Column) -> Column:
@@ -30,11 +32,22 @@ def _no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _fold(text: Column, pattern: str, hit) -> Column:
-    """Spans of the marked parts; ``hit(part)`` is (offset in the part, length), NULL for none."""
-    # A mark in the text itself could be taken for ours; any other character has the same length.
-    clean = F.translate(text, _MARK, "\ufffd")
-    cuts = F.split(F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+def _marked(text: Column, pattern: str) -> Column:
+    """The text cut at its matches: parts 0, 2, 4, ... lie between them, parts 1, 3, 5, ... are matches."""
+    # A mark in the text itself could be taken for ours; its substitute has the same length.
+    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, "\ufffd")).otherwise(text)
+    marked = F.regexp_replace(clean, pattern, f"{_MARK}$0{_MARK}")
+    # Two marks in a row are an empty match, or the end of one match where the next begins:
+    # without them the first is gone and the others are joined.
+    return F.split(F.replace(marked, F.lit(_MARK * 2), F.lit("")), _MARK, -1)
+
+
+def _fold(parts: Column, hit) -> Column:
+    """Spans in the matched parts; ``hit(part)`` is (offset in the part, length), NULL for none.
+
+    Appending to an array copies it. Parts are therefore folded in groups of a fixed size, and
+    the groups are put together at the end, so a line with very many matches stays linear.
+    """
 
     def step(state: Column, part: Column) -> Column:
         offset, length = hit(part)
@@ -47,13 +60,23 @@ def _fold(text: Column, pattern: str, hit) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("marked"), _no_spans().alias("spans"))
-    return F.aggregate(cuts, start, step, lambda state: state["spans"])
+    fold_group = lambda group: F.aggregate(group, start, step)
+
+    def join(state: Column, group: Column) -> Column:
+        moved = F.transform(group["spans"], lambda s: _span(s["start"] + state["at"], s["length"]))
+        return F.struct((state["at"] + group["at"]).alias("at"),
+                        F.concat(state["groups"], F.array(moved)).alias("groups"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _GROUP).cast("int"))
+    groups = F.transform(numbers, lambda n: fold_group(F.slice(parts, n * _GROUP + 1, _GROUP)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("groups"))
+    many = F.flatten(F.aggregate(groups, none, join, lambda state: state["groups"]))
+    return F.when(F.size(parts) <= _GROUP, fold_group(parts)["spans"]).otherwise(many)
 
 
 def regex_spans(text: Column, pattern: str) -> Column:
-    """Every non-empty match."""
-    java = patterns.to_java(pattern).text
-    return _fold(text, java, lambda part: (F.lit(0), F.nullif(F.length(part), F.lit(0))))
+    """Every non-empty match, touching ones joined."""
+    return _fold(_marked(text, patterns.to_java(pattern).text), lambda part: (F.lit(0), F.length(part)))
 
 
 def word_spans(text: Column, search: str) -> Column:
@@ -75,21 +98,30 @@ def word_spans(text: Column, search: str) -> Column:
                 within_typos(lowered, term), F.length(word))
         return offset, length
 
-    return _fold(text, candidate, hit)
+    return _fold(_marked(text, candidate), hit)
 
 
 def merge_spans(spans: Column) -> Column:
     """Spans in order, with those that overlap or touch joined into one."""
 
-    def step(merged: Column, span: Column) -> Column:
-        last = F.get(merged, F.size(merged) - 1)
-        reach = last["start"] + last["length"]
-        longer = F.greatest(reach, span["start"] + span["length"]) - last["start"]
-        joined = F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(_span(last["start"], longer)))
-        return F.when((F.size(merged) > 0) & (span["start"] <= reach), joined).otherwise(
-            F.concat(merged, F.array(_span(span["start"], span["length"]))))
+    def step(state: Column, span: Column) -> Column:
+        reach = F.greatest(state["reach"], span["start"] + span["length"])
+        apart = state["reach"].isNull() | (span["start"] > state["reach"])
+        closed = F.array(_span(state["start"], state["reach"] - state["start"]))
+        done = F.when(apart & state["reach"].isNotNull(), F.concat(state["done"], closed)).otherwise(state["done"])
+        return F.struct(
+            done.alias("done"),
+            F.when(apart, span["start"]).otherwise(state["start"]).alias("start"),
+            F.when(apart, span["start"] + span["length"]).otherwise(reach).alias("reach"),
+        )
+
+    def finish(state: Column) -> Column:
+        last = F.array(_span(state["start"], state["reach"] - state["start"]))
+        return F.when(state["reach"].isNull(), state["done"]).otherwise(F.concat(state["done"], last))
 
-    return F.aggregate(F.array_sort(spans), _no_spans(), step)
+    empty = F.lit(None).cast("int")
+    start = F.struct(_no_spans().alias("done"), empty.alias("start"), empty.alias("reach"))
+    return F.aggregate(F.array_sort(spans), start, step, finish)
 
 
 def highlight_spans(spark: SparkSession, text: Column, search: str) -> Column:
@@ -97,11 +129,12 @@ def highlight_spans(spark: SparkSession, text: Column, search: str) -> Column:
     if not search:
         return F.when(text.isNotNull(), _no_spans())
     if not patterns.looks_like_regex(search):
-        return merge_spans(word_spans(text, search))
+        # At most one span per word, and words do not touch: nothing to merge.
+        return word_spans(text, search)
     java = patterns.compile_check(spark, search, "search")
     if patterns.matches_empty(spark, java.text):
         return merge_spans(_spans_of_empty_matching(search)(text))
-    return merge_spans(regex_spans(text, search))
+    return regex_spans(text, search)
 
 
 def _spans_of_empty_matching(pattern: str):

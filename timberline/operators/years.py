@@ -93,7 +93,7 @@ def year_starts(lines: DataFrame, month: Column) -> tuple[DataFrame, DataFrame]:
     starts = starts.unionByName(
         _falls(blocks, ["path"], "block", "first_month", "last_month").select(*key))
 
-    wide = tables.durable(chunks.filter(F.col("spread") >= ROLLOVER_MONTHS).select(_CHUNK))
+    wide = chunks.filter(F.col("spread") >= ROLLOVER_MONTHS).select(_CHUNK)
     if not wide.isEmpty():
         inside = tables.lookup_join(lines, wide, _CHUNK, how="left_semi").filter(
             F.col("_month").isNotNull())
@@ -111,13 +111,13 @@ def count_year_starts(lines: DataFrame, starts: DataFrame, chunks: DataFrame,
     starts inside it (1024 at most), and lines meet their chunk in a shuffle join.
     """
     place = F.struct(F.col("block"), F.col("line_id"))
-    per_file = tables.durable(starts.groupBy("path").agg(F.count("*").alias("n")))
-    most = per_file.agg(F.max("n")).first()[0] or 0
+    per_file = starts.groupBy("path")
+    most = per_file.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     limit = tables.BROADCAST_BYTES if limit is None else limit
     if most <= EVENTS_PER_FILE and tables.measured_bytes(starts) <= limit:
-        lists = tables.durable(starts.groupBy("path").agg(
-            F.array_sort(F.collect_list(place)).alias("_starts")))
-        joined = tables.lookup_join(lines, lists, ["path"], limit=limit)
+        # The lists hold the measured rows, grouped: no larger than what was just checked.
+        lists = per_file.agg(F.array_sort(F.collect_list(place)).alias("_starts"))
+        joined = lines.join(F.broadcast(lists), "path", "left")
         passed = F.size(F.filter("_starts", lambda s: s <= place))
         return joined.withColumn(
             "rollovers", F.when(F.col("_starts").isNull(), 0).otherwise(passed)).drop("_starts")

@@ -16,7 +16,7 @@ from timberline.operators.filters import LogFilter
 from timberline.operators.structuring import CUSTOM, HEURISTIC, SYSLOG, Strategy
 from timberline.plans.durable import durable, lookup_join
 from timberline.sinks import exports
-from timberline.sources.text_lines import read_lines, with_file_order
+from timberline.sources.text_lines import base_name, input_files, read_lines, with_file_order
 
 
 @dataclass(frozen=True)
@@ -89,13 +89,17 @@ class Analysis:
 
     @cached_property
     def _files(self) -> DataFrame:
-        """One row per input file. Only file status is read, not content."""
+        """One row per input file. Only names and file status are read, not content."""
         if not self._from_files:
             return self.lines.groupBy("path", "source").agg(F.max("file_mtime").alias("file_mtime"))
+        paths = self.request.path_list
         meta = lambda name: F.col(f"_metadata.{name}")
-        return self.spark.read.format("binaryFile").load(list(dict.fromkeys(self.request.path_list))).select(
-            meta("file_path").alias("path"), meta("file_name").alias("source"),
-            meta("file_modification_time").alias("file_mtime"))
+        status = self.spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select(
+            meta("file_path").alias("path"), meta("file_modification_time").alias("file_mtime"))
+        names = self.spark.createDataFrame([(p,) for p in input_files(self.spark, paths)], "path string")
+        # The status scan skips empty files; they still count as files of the run.
+        return names.join(status, "path", "left").withColumn(
+            "source", base_name(F.substring_index("path", "/", -1)))
 
     @cached_property
     def formats(self) -> DataFrame:
@@ -128,8 +132,8 @@ class Analysis:
         """Start years voted for by the content, for the syslog files nothing else decides."""
         if self.request.syslog_year is not None:
             return None
-        open_files = durable(formats.filter(
-            (F.col("format") == SYSLOG) & years.file_name_year(F.col("source")).isNull()).select("path"))
+        open_files = formats.filter(
+            (F.col("format") == SYSLOG) & years.file_name_year(F.col("source")).isNull()).select("path")
         if open_files.isEmpty():
             return None
         lines = lookup_join(self.lines, open_files, ["path"], how="left_semi")
@@ -144,9 +148,9 @@ class Analysis:
         else:
             default = detection.default_format(strategies)
             # Most files have the default format: only the others are looked up.
-            others = durable(self.formats.filter(
+            others = self.formats.filter(
                 (F.col("format") != default) | (F.col("format") == SYSLOG)).select(
-                "path", "format", "start_year"))
+                "path", "format", "start_year")
             used = {row[0] for row in others.select("format").distinct().collect()} | {default}
             strategies = [s for s in strategies if s.name in used]
             if used == {default} and default != SYSLOG:
@@ -173,6 +177,15 @@ class Analysis:
         """Entries that pass the filter."""
         return self.entries.filter("passed")
 
+    @cached_property
+    def _kept(self) -> DataFrame:
+        """Results written once, as input of sorts.
+
+        A range sort reads its input twice, first to find the ranges; lines would be
+        structured twice.
+        """
+        return durable(self.results)
+
     @cached_property
     def cells(self) -> DataFrame:
         """The counter table, from one pass over the entries."""
@@ -205,7 +218,7 @@ class Analysis:
 
     def sorted(self, by: str | None = None, descending: bool = False) -> DataFrame:
         """Results in input order, or stably sorted by a column of the view."""
-        return ordering.sort_entries(self.results, by, descending, self.request.collation)
+        return ordering.sort_entries(self._kept, by, descending, self.request.collation)
 
     def view(self, by: str | None = None, descending: bool = False) -> DataFrame:
         return ordering.result_view(self.sorted(by, descending))

@@ -14,7 +14,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 # A side is broadcast only below this many bytes of text and rows, measured on the data.
 BROADCAST_BYTES = 64 << 20
-# Ways a hot key is spread over when a lookup side is too large to broadcast.
+# Least number of ways a hot key is spread over when a lookup side is too large to broadcast.
 SALTS = 64
 
 
@@ -62,14 +62,15 @@ def lookup_join(lines: DataFrame, table: DataFrame, keys: Sequence[str], how: st
     """Join a big frame with a (usually tiny) written lookup table.
 
     Below the size limit the table is broadcast and ``lines`` is not moved. Above it the
-    join shuffles, with the lookup rows repeated under ``SALTS`` salts, so that one key that
-    holds a large part of ``lines`` is spread over as many tasks.
+    join shuffles, with the lookup rows repeated under as many salts as there are shuffle
+    partitions, so that one key that holds a large part of ``lines`` is spread over all tasks.
     """
     limit = BROADCAST_BYTES if limit is None else limit
     if measured_bytes(table) <= limit:
         return lines.join(F.broadcast(table), list(keys), how)
-    salt = F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    count = max(SALTS, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64("line_id"), F.lit(count)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     joined = lines.withColumn("_salt", salt).join(
         table.withColumn("_salt", salts), [*keys, "_salt"], how)
     return joined.drop("_salt")

@@ -8,6 +8,7 @@ when the file was read as many blocks.
 from __future__ import annotations
 
 import fnmatch
+import posixpath
 import re
 from collections.abc import Sequence
 from urllib.parse import unquote
@@ -38,7 +39,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     # The id must be taken in the select on the scan: here it follows the file order.
     lines = text.select(
         meta("file_path").alias("path"),
-        meta("file_name").alias("source"),
+        base_name(meta("file_name")).alias("source"),
         meta("file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         meta("file_modification_time").alias("file_mtime"),
@@ -49,6 +50,22 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     ).otherwise(F.col("value")))
 
 
+def base_name(file_name: Column) -> Column:
+    """A file name without the escapes of the path it comes from."""
+    decoded = F.url_decode(F.replace(file_name, F.lit("+"), F.lit("%2B")))
+    return F.when(file_name.contains("%"), decoded).otherwise(file_name)
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table that comes in fewer partitions than there are cores, redistributed over them.
+
+    Structuring is bound by the processor, and a small table may be a single split. A table
+    of at least as many splits as cores is left where it is: no shuffle at scale.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def table_lines(table: DataFrame, value: Column, source: Column, line_id: Column,
                 block: Column | None = None, file_mtime: Column | None = None) -> DataFrame:
     """Lines from a table: ``line_id`` is its order column, ``block`` any range bucket of it."""
@@ -92,13 +109,22 @@ def _positions(file: str, wanted: dict[str, list[int]], patterns: dict[str, list
             if any(fnmatch.fnmatchcase(s, pattern) for s in spellings)]
 
 
-def with_file_order(spark: SparkSession, lines: DataFrame, paths: str | Sequence[str]) -> DataFrame:
+def input_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Every file a request reads, empty ones too, spelled as in the ``path`` of its lines.
+
+    Spark lists the files on the driver in any case; this hands out the names.
+    """
+    files = spark.read.text(list(dict.fromkeys(paths))).inputFiles()
+    # Local files are listed as file:///x, but each line says file:/x.
+    return [re.sub("^file:/+", "file:/", file) for file in files]
+
+
+def with_file_order(spark: SparkSession, lines: DataFrame, paths: Sequence[str]) -> DataFrame:
     """``lines`` with ``file_idx``, the position of the file in the request.
 
     A folder or glob takes one position; its files then follow by path. A path given twice
     counts twice, as two entries of the request.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
     if len(paths) == 1:
         return lines.withColumn("file_idx", F.lit(0))
     wanted: dict[str, list[int]] = {}
@@ -106,12 +132,14 @@ def with_file_order(spark: SparkSession, lines: DataFrame, paths: str | Sequence
     for index, path in enumerate(paths):
         plain = _plain(path)
         if not plain.startswith("/"):
-            patterns.setdefault("*/" + plain.removeprefix("./"), []).append(index)
+            tail = re.sub(r"^(\.\./)+", "", posixpath.normpath(plain))
+            patterns.setdefault("*/" + tail, []).append(index)
         elif re.search(r"[*?\[{]", plain):
             patterns.setdefault(plain, []).append(index)
         else:
             wanted.setdefault(plain, []).append(index)
-    files = spark.read.text(list(dict.fromkeys(paths))).inputFiles()
-    rows = [(file, index) for file in files for index in _positions(file, wanted, patterns)]
+    # A spelling not understood here costs the file its place in the order, never its lines.
+    rows = [(file, index) for file in input_files(spark, paths)
+            for index in _positions(file, wanted, patterns) or [len(paths)]]
     order = durable(spark.createDataFrame(rows, "path string, file_idx int"))
     return lookup_join(lines, order, ["path"], how="inner")
