@@ -27,7 +27,12 @@ EVERYTHING = LogFilter()
 def app_entries(spark: SparkSession, sf_dir: str, flt: LogFilter = EVERYTHING) -> DataFrame:
     lines = L.app_lines(spark, sf_dir)
     entries = structuring.structure(lines, [structuring.heuristic()])
-    return entries.withColumn("passed", flt.check(spark).predicate())
+    return entries.withColumn("passed", flt.check(spark).predicate(message=None))
+
+
+def app_results(spark: SparkSession, sf_dir: str, flt: LogFilter = EVERYTHING) -> DataFrame:
+    lines = L.app_lines(spark, sf_dir)
+    return structuring.structure(lines, [structuring.heuristic()], keep=flt.check(spark))
 
 
 def app_cells(spark, sf_dir, flt=EVERYTHING, keys=()) -> DataFrame:
@@ -35,7 +40,7 @@ def app_cells(spark, sf_dir, flt=EVERYTHING, keys=()) -> DataFrame:
 
 
 def passing(flt: LogFilter) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: app_entries(spark, sf, flt).filter("passed").select(*ENTRY)
+    return lambda spark, sf: app_results(spark, sf, flt).select(*ENTRY)
 
 
 def level_counts(spark, sf_dir):
@@ -215,12 +220,12 @@ def highlight_merge(spark, sf_dir):
 # --- order ---------------------------------------------------------------------------
 
 def result_view(spark, sf_dir):
-    return ordering.result_view(app_entries(spark, sf_dir).filter("passed"))
+    return ordering.result_view(app_results(spark, sf_dir))
 
 
 def sorted_by(by: str | None, descending: bool = False):
     def query(spark, sf_dir):
-        entries = app_entries(spark, sf_dir).filter("passed")
+        entries = app_results(spark, sf_dir)
         # The table has one order for all sources; the default order goes file by file.
         keep = ["line_id", "block"] + (["path"] if by is None else [])
         entries = durable(entries.select(*keep, "ts", "level", "level_ord", "message", "source"))

@@ -224,8 +224,16 @@ def test_structuring_works_on_a_stream(spark, airline, tmp_path):
 
 
 def test_plans(spark, airline):
-    run = analyze(spark, AnalysisRequest(str(airline), format="heuristic", filter=LogFilter(min_level="WARNING")))
-    plan = run.results.select("ts", "level")._jdf.queryExecution().executedPlan().toString()
+    flt = LogFilter(min_level="WARNING", time_range=TimeRange.between("2026-08-12", None), search="Ba.*")
+    run = analyze(spark, AnalysisRequest(str(airline), format="heuristic", filter=flt))
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plan = text(run.results.select("ts", "level"))
     # No Python, no shuffle, each expression once, and nothing that is not asked for.
     assert "Python" not in plan and "Exchange" not in plan and "Join" not in plan
     assert plan.count("regexp_extract(") == 2
+    plan = text(run.results.select("message"))
+    assert plan.count("regexp_extract(") == 3
+    # From the top: messages are cut above both filters, levels between them, times below.
+    message, level = plan.index("(?s)^(?:.{0,99}"), plan.index("(?i:")
+    first, second = plan.index(") Filter "), plan.rindex(") Filter ")
+    assert message < first < level < second < plan.index("(?s)^.*?\\d{4}")

@@ -106,24 +106,37 @@ class LogFilter:
                 patterns.compile_check(spark, text, what)
         return self
 
-    def predicate(self, is_valid: Column | str = "is_valid", ts: Column | str = "ts",
-                  level_ord: Column | str = "level_ord", raw_line: Column | str = "raw_line",
-                  message: Column | str = "message") -> Column:
-        """One conjunction, cheap conditions first; never NULL."""
-        col = lambda c: F.col(c) if isinstance(c, str) else c
-        is_valid, ts, level_ord = col(is_valid), col(ts), col(level_ord)
-        parts = [is_valid]
-        in_range = self.time_range.predicate(ts) if self.time_range else None
-        if in_range is not None:
-            parts.append(in_range)
+    def time_condition(self, is_valid: Column | str = "is_valid", ts: Column | str = "ts") -> Column:
+        """The part that needs no more than the time of an entry."""
+        in_range = self.time_range.predicate(_col(ts)) if self.time_range else None
+        return _col(is_valid) if in_range is None else _col(is_valid) & in_range
+
+    def other_conditions(self, text: Column, level_ord: Column | str = "level_ord") -> Column:
+        """Severity, exclusion and search, cheap conditions first."""
+        parts, level_ord = [], _col(level_ord)
         least = levels.ordinal(self.min_level) if self.min_level else levels.UNKNOWN
         if least != levels.UNKNOWN:
             parts.append((level_ord != levels.UNKNOWN) & (level_ord >= least))
-        if self.search or self.exclude:
-            # Only an entry that has no raw line is searched by its message.
-            text = F.coalesce(F.nullif(col(raw_line), F.lit("")), col(message))
-            if self.exclude:
-                parts.append(~exclude_predicate(text, self.exclude))
-            if self.search:
-                parts.append(search_predicate(text, self.search))
-        return F.coalesce(all_of(parts), F.lit(False))
+        if self.exclude:
+            parts.append(~exclude_predicate(text, self.exclude))
+        if self.search:
+            parts.append(search_predicate(text, self.search))
+        return all_of(parts)
+
+    def predicate(self, is_valid: Column | str = "is_valid", ts: Column | str = "ts",
+                  level_ord: Column | str = "level_ord", raw_line: Column | str = "raw_line",
+                  message: Column | str | None = "message") -> Column:
+        """Everything an entry must satisfy, as one conjunction; never NULL.
+
+        Only an entry without a raw line is searched by its message. Entries made from lines
+        always have one: with ``message=None`` the message need not be computed.
+        """
+        text = _col(raw_line)
+        if message is not None:
+            text = F.coalesce(F.nullif(text, F.lit("")), _col(message))
+        return F.coalesce(self.time_condition(is_valid, ts) & self.other_conditions(text, level_ord),
+                          F.lit(False))
+
+
+def _col(column: Column | str) -> Column:
+    return F.col(column) if isinstance(column, str) else column

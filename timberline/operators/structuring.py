@@ -2,7 +2,7 @@
 
 A strategy is a chain of projections. Each regular expression runs once per line, on
 text that earlier steps already cut, and all of it stays inside generated code. A line
-no strategy accepts keeps its row with ``is_valid = false``.
+no strategy accepts keeps its row with ``is_valid = false``; its other outputs are NULL.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from timberline.functions.text import (
     trim_space,
 )
 from timberline.functions.timestamps import DEFAULT_FORMAT, TimeFormat, iso_to_ts, us_to_iso
+from timberline.operators.filters import LogFilter
 
 HEURISTIC = "heuristic"
 SYSLOG = "syslog"
@@ -65,35 +66,39 @@ _SYSLOG = (
 )
 _SYSLOG_DATE = rf"^\w+\s+(\d{{1,2}})\s+({_CLOCK})"
 
-_OUTPUTS = ("ts", "level_ord", "message")
+
+Steps = Callable[[DataFrame, Column, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Strategy:
-    """One way to structure a line.
+    """One way to structure a line, in three stages.
 
-    ``steps(df, text, name)`` returns ``df`` with the columns ``<name>_ts``,
-    ``<name>_level_ord`` and ``<name>_message``; ``text`` is NULL on lines that belong to
-    another strategy. A NULL time means the line is not accepted.
+    Each stage maps ``(df, text, name)`` to ``df`` with one more column: ``<name>_ts``, then
+    ``<name>_level_ord``, then ``<name>_message``; later stages may use what earlier ones left.
+    ``text`` is NULL on lines that belong to another strategy. A NULL time means the line is
+    not accepted.
     """
 
     name: str
     label: str
-    steps: Callable[[DataFrame, Column, str], DataFrame]
-    # The steps used to score a sample, where they differ.
-    score_steps: Callable[[DataFrame, Column, str], DataFrame] | None = None
+    time: Steps
+    level: Steps
+    message: Steps
+    # The time stage used to score a sample, where it differs.
+    score: Steps | None = None
 
     @classmethod
     def from_columns(cls, name: str, label: str,
                      build: Callable[[Column], tuple[Column, Column, Column]]) -> Strategy:
         """A strategy from a function ``text -> (time, level text, message)``."""
-
-        def steps(df: DataFrame, text: Column, prefix: str) -> DataFrame:
-            ts, level, message = build(text)
-            return _with(df, prefix, ts=ts, level_ord=levels.level_ord(F.coalesce(level, F.lit(""))),
-                         message=F.coalesce(message, F.lit("")))
-
-        return cls(name, label, steps)
+        text_or_empty = lambda column: F.coalesce(column, F.lit(""))
+        return cls(
+            name, label,
+            lambda df, text, p: _with(df, p, ts=build(text)[0]),
+            lambda df, text, p: _with(df, p, level_ord=levels.level_ord(text_or_empty(build(text)[1]))),
+            lambda df, text, p: _with(df, p, message=text_or_empty(build(text)[2])),
+        )
 
 
 def _with(df: DataFrame, prefix: str, **columns: Column) -> DataFrame:
@@ -119,21 +124,24 @@ def _stamp_time(lead: Column, lenient: bool) -> Column:
 def heuristic(lenient: bool = False) -> Strategy:
     """Timestamp near the start, then a level word, then the message behind brackets and separator."""
 
-    def steps(df: DataFrame, text: Column, p: str) -> DataFrame:
-        col = lambda name: F.col(f"{p}_{name}")
-        df = _with(df, p, stamp=F.nullif(
-            F.regexp_extract(F.left(text, F.lit(STAMP_WINDOW)), _STAMP, 0), F.lit("")))
-        df = _with(df, p, ts=_stamp_time(col("stamp"), lenient), tail=after(text, col("stamp")))
-        df = _with(df, p, lead=F.regexp_extract(col("tail"), _LEVEL, 0))
-        df = _with(df, p, level_ord=levels.level_ord_at_end(col("lead")),
-                   rest=after(col("tail"), col("lead")))
-        df = _with(df, p, cut=after(col("rest"), F.regexp_extract(col("rest"), _LEAD, 0)))
-        df = _with(df, p, body=rtrim_space(col("cut")))
-        return _with(df, p, message=F.when(col("body") == "", trim_space(col("rest")))
-                     .otherwise(col("body"))).drop(
-            *[f"{p}_{c}" for c in ("stamp", "tail", "lead", "rest", "cut", "body")])
+    def time(df: DataFrame, text: Column, p: str) -> DataFrame:
+        stamp = F.regexp_extract(F.left(text, F.lit(STAMP_WINDOW)), _STAMP, 0)
+        df = _with(df, p, stamp=F.nullif(stamp, F.lit("")))
+        return _with(df, p, ts=_stamp_time(F.col(f"{p}_stamp"), lenient))
+
+    def level(df: DataFrame, text: Column, p: str) -> DataFrame:
+        df = _with(df, p, tail=after(text, F.col(f"{p}_stamp")))
+        df = _with(df, p, lead=F.regexp_extract(f"{p}_tail", _LEVEL, 0))
+        return _with(df, p, level_ord=levels.level_ord_at_end(F.col(f"{p}_lead")))
+
+    def message(df: DataFrame, text: Column, p: str) -> DataFrame:
+        rest, body = F.col(f"{p}_rest"), F.col(f"{p}_body")
+        df = _with(df, p, rest=after(F.col(f"{p}_tail"), F.col(f"{p}_lead")))
+        df = _with(df, p, cut=after(rest, F.regexp_extract(rest, _LEAD, 0)))
+        df = _with(df, p, body=rtrim_space(F.col(f"{p}_cut")))
+        return _with(df, p, message=F.when(body == "", trim_space(rest)).otherwise(body))
 
-    return Strategy(HEURISTIC, "Genel (zaman damgasi + seviye)", steps)
+    return Strategy(HEURISTIC, "Genel (zaman damgasi + seviye)", time, level, message)
 
 
 def syslog_head(text: Column) -> Column:
@@ -149,22 +157,25 @@ def syslog_month(text: Column) -> Column:
 def syslog(year: Column) -> Strategy:
     """Classic syslog; the text has no year, so it comes in as a column. Level is UNKNOWN."""
 
-    def steps_for(year: Column):
-        def steps(df: DataFrame, text: Column, p: str) -> DataFrame:
+    def time_in(year: Column) -> Steps:
+        def time(df: DataFrame, text: Column, p: str) -> DataFrame:
             head = F.col(f"{p}_head")
             df = _with(df, p, head=F.nullif(syslog_head(text), F.lit("")))
-            iso = F.concat(
+            return _with(df, p, ts=iso_to_ts(F.concat(
                 F.lpad(year.cast("string"), 4, "0"), F.lit("-"),
                 month_number(F.left(head, F.lit(3))).cast("string"), F.lit("-"),
                 F.regexp_extract(head, _SYSLOG_DATE, 1), F.lit(" "),
                 F.regexp_extract(head, _SYSLOG_DATE, 2),
-            )
-            return _with(df, p, ts=iso_to_ts(iso), level_ord=F.lit(levels.UNKNOWN),
-                         message=trim_space(after(text, head))).drop(f"{p}_head")
-        return steps
-
-    # A sample is scored with a leap year, so 29 February counts whatever the year turns out to be.
-    return Strategy(SYSLOG, "Syslog", steps_for(year), steps_for(F.lit(2000)))
+            )))
+        return time
+
+    return Strategy(
+        SYSLOG, "Syslog", time_in(year),
+        lambda df, text, p: _with(df, p, level_ord=F.lit(levels.UNKNOWN)),
+        lambda df, text, p: _with(df, p, message=trim_space(after(text, F.col(f"{p}_head")))),
+        # A sample is scored with a leap year, so 29 February counts whatever the year turns out to be.
+        score=time_in(F.lit(2000)),
+    )
 
 
 def custom(spark: SparkSession, pattern: str, time_format: str = DEFAULT_FORMAT) -> Strategy:
@@ -178,51 +189,66 @@ def custom(spark: SparkSession, pattern: str, time_format: str = DEFAULT_FORMAT)
             raise ValueError(f"line pattern has no group named '{group}' "
                              "(timestamp, level and message are required)")
     layout = TimeFormat.of(time_format)
+    part = lambda text, group: F.regexp_extract(text, java.text, java.groups[group])
 
-    def steps(df: DataFrame, text: Column, p: str) -> DataFrame:
-        part = lambda group: F.regexp_extract(text, java.text, java.groups[group])
+    def time(df: DataFrame, text: Column, p: str) -> DataFrame:
         # No match gives an empty timestamp text, which no format accepts.
-        df = _with(df, p, stamp=part("timestamp"))
-        return _with(df, p, ts=layout.parse(F.col(f"{p}_stamp")),
-                     level_ord=levels.level_ord(part("level")),
-                     message=part("message")).drop(f"{p}_stamp")
+        df = _with(df, p, stamp=part(text, "timestamp"))
+        return _with(df, p, ts=layout.parse(F.col(f"{p}_stamp")))
 
-    return Strategy(CUSTOM, "Ozel", steps)
+    return Strategy(
+        CUSTOM, "Ozel", time,
+        lambda df, text, p: _with(df, p, level_ord=levels.level_ord(part(text, "level"))),
+        lambda df, text, p: _with(df, p, message=part(text, "message")),
+    )
 
 
-def structure(lines: DataFrame, strategies: Sequence[Strategy], format_column: str = "format") -> DataFrame:
-    """Entries of ``lines``; with several strategies each line uses the one its format names."""
-    df, text = lines, F.col("value")
+def structure(lines: DataFrame, strategies: Sequence[Strategy], format_column: str = "format",
+              keep: LogFilter | None = None) -> DataFrame:
+    """Entries of ``lines``; with several strategies each line uses the one its format names.
+
+    With ``keep`` only entries that pass it are returned, and each condition is applied as
+    soon as its column exists: lines outside the time range are not searched for a level, and
+    messages are cut only from entries that pass.
+    """
+    value = F.col("value")
     single = len(strategies) == 1
-    for s in strategies:
-        df = s.steps(df, text if single else F.when(F.col(format_column) == s.name, text), s.name)
-
-    def pick(output: str) -> Column:
-        first, *others = strategies
-        chain = F.col(f"{first.name}_{output}")
-        if others:
-            chain = F.when(F.col(format_column) == first.name, chain)
-            for s in others:
-                chain = chain.when(F.col(format_column) == s.name, F.col(f"{s.name}_{output}"))
-        return chain
-
-    valid = F.col("is_valid")
-    df = df.withColumn("ts", pick("ts"))
+    columns = lines.columns
+
+    def stage(df: DataFrame, name: str, output: str) -> tuple[DataFrame, Column]:
+        chain = None
+        for s in strategies:
+            mine = F.col(format_column) == s.name
+            df = getattr(s, name)(df, value if single else F.when(mine, value), s.name)
+            found = F.col(f"{s.name}_{output}")
+            if single:
+                return df, found
+            chain = F.when(mine, found) if chain is None else chain.when(mine, found)
+        return df, chain
+
+    df, ts = stage(lines, "time", "ts")
+    df = df.withColumn("ts", ts)
     df = df.withColumn("is_valid", evaluated_once(F.col("ts").isNotNull()))
+    if keep is not None:
+        df = df.filter(keep.time_condition())
+    df, level_ord = stage(df, "level", "level_ord")
+    df = df.withColumn("level_ord", level_ord)
+    df = df.withColumn("level_ord", F.when(evaluated_once(F.col("is_valid")), F.col("level_ord")))
+    if keep is not None:
+        df = df.filter(keep.other_conditions(text=value))
+    df, message = stage(df, "message", "message")
     df = df.withColumns({
-        "ts": F.when(valid, F.col("ts")),
-        "level_ord": F.when(valid, pick("level_ord")),
-        "message": F.when(valid, pick("message")),
-        "raw_line": text,
+        "level": levels.level_name(F.col("level_ord")),
+        "message": F.when(F.col("is_valid"), message),
+        "raw_line": value,
     })
     if single:
         df = df.withColumn(format_column, F.lit(strategies[0].name))
-    df = df.withColumn("level", levels.level_name(F.col("level_ord")))
-    return df.drop(*[f"{s.name}_{output}" for s in strategies for output in _OUTPUTS])
+    own = [format_column, "ts", "is_valid", "level_ord", "level", "message", "raw_line"]
+    return df.select(*[c for c in columns if c not in own], *own)
 
 
 def accepted(lines: DataFrame, strategy: Strategy, flag: str) -> DataFrame:
     """``lines`` with a boolean column telling whether the strategy accepts the line."""
-    df = (strategy.score_steps or strategy.steps)(lines, F.col("value"), strategy.name)
-    return df.withColumn(flag, F.col(f"{strategy.name}_ts").isNotNull()).drop(
-        *[f"{strategy.name}_{output}" for output in _OUTPUTS])
+    df = (strategy.score or strategy.time)(lines, F.col("value"), strategy.name)
+    return df.withColumn(flag, F.col(f"{strategy.name}_ts").isNotNull()).select(*lines.columns, flag)

@@ -140,31 +140,33 @@ class Analysis:
         return years.elect_year(years.anchor_votes(lines))
 
     @cached_property
-    def entries(self) -> DataFrame:
-        """Every line with its structure and ``passed``; unparsed lines have ``is_valid = false``."""
+    def _tagged(self) -> tuple[DataFrame, list[Strategy]]:
+        """Lines ready to be structured, with format and year where needed, and the strategies used."""
         lines, strategies = self.lines, self._strategies
-        if len(strategies) == 1 and strategies[0].name != SYSLOG:
-            entries = structuring.structure(lines, strategies)
-        else:
-            default = detection.default_format(strategies)
-            # Most files have the default format: only the others are looked up.
-            others = self.formats.filter(
-                (F.col("format") != default) | (F.col("format") == SYSLOG)).select(
-                "path", "format", "start_year")
-            used = {row[0] for row in others.select("format").distinct().collect()} | {default}
-            strategies = [s for s in strategies if s.name in used]
-            if used == {default} and default != SYSLOG:
-                entries = structuring.structure(lines, strategies)
-            else:
-                tagged = lookup_join(lines, others, ["path"]).withColumn(
-                    "format", F.coalesce("format", F.lit(default)))
-                if SYSLOG in used:
-                    tagged = self._with_years(tagged)
-                entries = structuring.structure(tagged, strategies, "format")
-                entries = entries.drop("_year", "start_year", "rollovers")
         if self._from_files:
-            entries = with_file_order(self.spark, entries, self.request.path_list)
-        return entries.withColumn("passed", self.request.filter.predicate())
+            lines = with_file_order(self.spark, lines, self.request.path_list)
+        if len(strategies) == 1 and strategies[0].name != SYSLOG:
+            return lines, strategies
+        default = detection.default_format(strategies)
+        # Most files have the default format: only the others are looked up.
+        others = self.formats.filter(
+            (F.col("format") != default) | (F.col("format") == SYSLOG)).select("path", "format", "start_year")
+        # As many values as there are strategies.
+        used = {row[0] for row in others.select("format").distinct().collect()} | {default}
+        strategies = [s for s in strategies if s.name in used]
+        if len(strategies) == 1 and strategies[0].name != SYSLOG:
+            return lines, strategies
+        lines = lookup_join(lines, others, ["path"]).withColumn("format", F.coalesce("format", F.lit(default)))
+        return (self._with_years(lines) if SYSLOG in used else lines), strategies
+
+    def _structured(self, keep: LogFilter | None) -> DataFrame:
+        lines, strategies = self._tagged
+        return structuring.structure(lines, strategies, keep=keep).drop("_year", "start_year", "rollovers")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """Every line with its structure and ``passed``; unparsed lines have ``is_valid = false``."""
+        return self._structured(None).withColumn("passed", self.request.filter.predicate(message=None))
 
     def _with_years(self, tagged: DataFrame) -> DataFrame:
         month = F.when(F.col("format") == SYSLOG, structuring.syslog_month(F.col("value")))
@@ -174,8 +176,8 @@ class Analysis:
 
     @property
     def results(self) -> DataFrame:
-        """Entries that pass the filter."""
-        return self.entries.filter("passed")
+        """Entries that pass the filter; conditions are applied while lines are structured."""
+        return self._structured(self.request.filter)
 
     @cached_property
     def _kept(self) -> DataFrame:
