@@ -50,7 +50,9 @@ def test_counts_of_a_file(spark, airline):
     assert pairs(run.level_series) == LEVELS
 
 
-def test_mixed_formats_in_request_order(spark, airline, syslog, tmp_path):
+@pytest.mark.parametrize("named", [10_000, 0])
+def test_mixed_formats_in_request_order(spark, airline, syslog, tmp_path, monkeypatch, named):
+    monkeypatch.setattr("timberline.plans.analysis.NAMED_FILES", named)
     empty = tmp_path / "empty.log"
     empty.write_text("")
     plain = tmp_path / "plain.txt"

@@ -56,21 +56,24 @@ def text_matches(text: Column, search: str) -> Column:
     """Whether, for every term of ``search``, some word of the text matches it.
 
     Words are runs of ASCII letters, digits and ``_``. Most texts are settled by substring
-    tests on the pieces of the terms; only texts that pass them are split into words.
+    tests on the pieces of the terms. From texts that pass them only the words that hold a
+    piece are taken out and measured.
     """
     terms = [t.lower() for t in split_terms(search)]
-    if not terms:
-        return F.lit(True)
     lowered = F.lower(text)
     candidates, exact = [], []
     for term in terms:
         # A word holds only word characters, so other pieces can never stand in one.
         usable = [p for p in pieces(term) if re.fullmatch(r"[a-z0-9_]+", p)]
+        if not usable:
+            return F.lit(False)
         candidates.append(any_of([lowered.contains(p) for p in usable]))
-        exact.append(_some_word(text, term))
+        exact.append(_some_word(text, term, usable))
     return all_of(candidates + exact)
 
 
-def _some_word(text: Column, term: str) -> Column:
-    words = F.transform(F.split(text, r"\W+"), F.lower)
-    return F.exists(words, lambda word: (word != "") & word_matches(word, term))
+def _some_word(text: Column, term: str, held: list[str]) -> Column:
+    word = "[A-Za-z0-9_]"
+    pattern = f"(?i)(?<!{word}){word}*(?:{'|'.join(held)}){word}*"
+    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.exists(words, lambda found: word_matches(F.lower(found), term))

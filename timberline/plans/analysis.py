@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,11 @@ from timberline.operators.filters import LogFilter
 from timberline.operators.structuring import CUSTOM, HEURISTIC, SYSLOG, Strategy
 from timberline.plans.durable import durable, lookup_join
 from timberline.sinks import exports
-from timberline.sources.text_lines import base_name, input_files, read_lines, with_file_order
+from timberline.sources.text_lines import base_name, file_order, input_files, read_lines, with_file_order
+
+
+# Most files a scan is told apart by name; beyond it lines look up their file in a join.
+NAMED_FILES = 10_000
 
 
 @dataclass(frozen=True)
@@ -134,34 +138,70 @@ class Analysis:
             return None
         open_files = formats.filter(
             (F.col("format") == SYSLOG) & years.file_name_year(F.col("source")).isNull()).select("path")
-        if open_files.isEmpty():
+        named = self._named_files(open_files)
+        if named is not None:
+            if not named:
+                return None
+            lines = read_lines(self.spark, self.request.path_list, only=[row.path for row in named])
+        elif open_files.isEmpty():
             return None
-        lines = lookup_join(self.lines, open_files, ["path"], how="left_semi")
+        else:
+            lines = lookup_join(self.lines, open_files, ["path"], how="left_semi")
         return years.elect_year(years.anchor_votes(lines))
 
+    def _named_files(self, files: DataFrame) -> list | None:
+        """Rows of a per-file table if they are few enough to name in a scan, else None."""
+        if not self._from_files:
+            return None
+        rows = files.limit(NAMED_FILES + 1).collect()
+        return rows if len(rows) <= NAMED_FILES else None
+
     @cached_property
-    def _tagged(self) -> tuple[DataFrame, list[Strategy]]:
-        """Lines ready to be structured, with format and year where needed, and the strategies used."""
-        lines, strategies = self.lines, self._strategies
-        if self._from_files:
-            lines = with_file_order(self.spark, lines, self.request.path_list)
+    def _groups(self) -> list[tuple[DataFrame, list[Strategy]]]:
+        """Lines with the strategies they need, and with format and year where those need it.
+
+        Usually one group per format, each a scan of its own files, so that a strategy and the
+        passes it takes touch no others. Too many files of other than the default format to be
+        named, and lines from a table, make one group in which each line looks up its format.
+        """
+        strategies, paths = self._strategies, self.request.path_list
         if len(strategies) == 1 and strategies[0].name != SYSLOG:
-            return lines, strategies
+            return [(self.lines, strategies)]
         default = detection.default_format(strategies)
         # Most files have the default format: only the others are looked up.
         others = self.formats.filter(
             (F.col("format") != default) | (F.col("format") == SYSLOG)).select("path", "format", "start_year")
-        # As many values as there are strategies.
-        used = {row[0] for row in others.select("format").distinct().collect()} | {default}
-        strategies = [s for s in strategies if s.name in used]
-        if len(strategies) == 1 and strategies[0].name != SYSLOG:
-            return lines, strategies
-        lines = lookup_join(lines, others, ["path"]).withColumn("format", F.coalesce("format", F.lit(default)))
-        return (self._with_years(lines) if SYSLOG in used else lines), strategies
+        named = self._named_files(others)
+        if named is not None:
+            groups = []
+            for s in strategies:
+                mine = [row.path for row in named if row.format == s.name]
+                if mine:
+                    lines = read_lines(self.spark, paths, only=mine)
+                    groups.append((self._with_years(lookup_join(
+                        lines, others, ["path"])) if s.name == SYSLOG else lines, [s]))
+            if default != SYSLOG:
+                groups.insert(0, (read_lines(self.spark, paths, without=[row.path for row in named]),
+                                  strategies[:1]))
+            return groups
+        lines = lookup_join(self.lines, others, ["path"]).withColumn(
+            "format", F.coalesce("format", F.lit(default)))
+        has_syslog = not others.filter(F.col("format") == SYSLOG).isEmpty()
+        if not has_syslog:
+            strategies = [s for s in strategies if s.name != SYSLOG]
+        return [(self._with_years(lines) if has_syslog else lines, strategies)]
 
     def _structured(self, keep: LogFilter | None) -> DataFrame:
-        lines, strategies = self._tagged
-        return structuring.structure(lines, strategies, keep=keep).drop("_year", "start_year", "rollovers")
+        parts = [structuring.structure(lines, strategies, keep=keep).drop("_year", "start_year", "rollovers")
+                 for lines, strategies in self._groups]
+        entries = reduce(DataFrame.unionByName, parts)
+        if self._from_files:
+            entries = with_file_order(entries, self._file_order)
+        return entries
+
+    @cached_property
+    def _file_order(self) -> DataFrame | None:
+        return file_order(self.spark, self.request.path_list)
 
     @cached_property
     def entries(self) -> DataFrame:

@@ -22,9 +22,13 @@ LINE_COLUMNS = ("path", "source", "block", "line_id", "file_mtime", "value")
 _MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], only: Sequence[str] | None = None,
+               without: Sequence[str] = ()) -> DataFrame:
     """Lines of UTF-8 text files; a missing or unreadable path fails the run.
 
+    ``only`` and ``without`` pick files by their ``path``. The others are dropped from the file
+    list while planning and not opened.
+
     The text source splits large files and packs small ones, so work follows bytes, not
     files. Several passes over the lines must see the same splits, which depend on the
     number of cores unless the minimum partition number is set; it is pinned here.
@@ -36,6 +40,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         spark.conf.set(_MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     text = spark.read.option("lineSep", "\n").text(paths)
     meta = lambda name: F.col(f"_metadata.{name}")
+    if only is not None:
+        text = text.filter(meta("file_path").isin(list(only)))
+    if without:
+        text = text.filter(~meta("file_path").isin(list(without)))
     # The id must be taken in the select on the scan: here it follows the file order.
     lines = text.select(
         meta("file_path").alias("path"),
@@ -119,14 +127,14 @@ def input_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [re.sub("^file:/+", "file:/", file) for file in files]
 
 
-def with_file_order(spark: SparkSession, lines: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """``lines`` with ``file_idx``, the position of the file in the request.
+def file_order(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
+    """``path, file_idx``: the positions of each file in the request; None if it has only one.
 
     A folder or glob takes one position; its files then follow by path. A path given twice
     counts twice, as two entries of the request.
     """
     if len(paths) == 1:
-        return lines.withColumn("file_idx", F.lit(0))
+        return None
     wanted: dict[str, list[int]] = {}
     patterns: dict[str, list[int]] = {}
     for index, path in enumerate(paths):
@@ -141,5 +149,11 @@ def with_file_order(spark: SparkSession, lines: DataFrame, paths: Sequence[str])
     # A spelling not understood here costs the file its place in the order, never its lines.
     rows = [(file, index) for file in input_files(spark, paths)
             for index in _positions(file, wanted, patterns) or [len(paths)]]
-    order = durable(spark.createDataFrame(rows, "path string, file_idx int"))
+    return durable(spark.createDataFrame(rows, "path string, file_idx int"))
+
+
+def with_file_order(lines: DataFrame, order: DataFrame | None) -> DataFrame:
+    """``lines`` with ``file_idx``, by which results of several files are ordered."""
+    if order is None:
+        return lines.withColumn("file_idx", F.lit(0))
     return lookup_join(lines, order, ["path"], how="inner")
