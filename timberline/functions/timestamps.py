@@ -142,8 +142,3 @@ def display_text(ts: Column) -> Column:
     text = ts.cast("string")
     padded = F.when(F.length(text) == 19, F.concat(text, F.lit(".000"))).otherwise(F.rpad(text, 23, "0"))
     return F.left(padded, F.lit(23))
-
-
-def hour_start(ts: Column) -> Column:
-    """Hour bucket text ``yyyy-MM-dd HH:00``."""
-    return F.concat(F.left(ts.cast("string"), F.lit(13)), F.lit(":00"))

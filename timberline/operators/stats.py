@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions import levels
-from timberline.functions.timestamps import hour_start
 
 
 def count_cells(entries: DataFrame, passed: Column | str = "passed", keys: tuple[str, ...] = ()) -> DataFrame:

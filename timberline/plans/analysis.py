@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from timberline.functions.timestamps import DEFAULT_FORMAT, TimeFormat
 from timberline.operators import detection, highlight, ordering, stats, structuring, years
 from timberline.operators.filters import LogFilter
-from timberline.operators.structuring import CUSTOM, HEURISTIC, SYSLOG, Strategy
+from timberline.operators.structuring import HEURISTIC, SYSLOG, Strategy
 from timberline.plans.durable import durable, lookup_join
 from timberline.sinks import exports
 from timberline.sources.text_lines import base_name, file_order, input_files, read_lines, with_file_order
