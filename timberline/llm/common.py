@@ -57,7 +57,7 @@ def with_text_columns(df: DataFrame, text: str, fields: Sequence[tuple[str, str]
     kept_frame = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([f for f in kept_frame.schema.fields])
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
     place = kept.index(text)
     places = [kept.index(c) for c in extra]
 
