@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe_codec, chat_format, secret_scan
-from timberline.llm.common import table
+from timberline.llm import bpe_codec, chat_format, range_shards, rule_ledger, secret_scan
+from timberline.llm.common import table, written
 
 WORD_BPE = "word_bpe_49k.json"
+SHARDS = 24
 
 
 def vocabulary_path(name: str) -> str:
@@ -18,6 +19,30 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = rule_ledger.ledger(docs)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        rule_ledger.rejects(rule_ledger.BASE).alias("base_failed"),
+        (~rule_ledger.rejects(rule_ledger.STRICT)).alias("kept"),
+        "failed_bits",
+    )
+
+
+def op7_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    narrow = written(table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    ), "shard-keys")
+    # Equal texts are neighbours in this order, and the id divides them where they are too many.
+    placed = range_shards.assign_shards(narrow, F.col("size"), [F.col("text_crc32"), F.col("doc_id")], SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs).drop("text")
@@ -58,7 +83,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op5_rule_ledger": op5_rule_ledger,
         "op6_secret_scan": op6_secret_scan,
+        "op7_range_shards": op7_range_shards,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_chat_format": op10_chat_format,
     }
