@@ -104,3 +104,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     narrow = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"),
                          *[F.col(f"`{c}`").alias(f"_x_{c}") for c in extra])
     return narrow.join(F.broadcast(ids), "_id")
+
+
+# Keys that a broadcast of hot keys holds at most; with it a key's rows may be any part of the input.
+HOT_KEYS = 10_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row per key and the key's rows in ``big``.
+
+    Keys with more than ``total`` / HOT_KEYS rows number fewer than HOT_KEYS: they are broadcast, so
+    their rows stay where they are, and the shuffle only meets keys that are small.
+    """
+    hot = small.where(F.col(count) > max(1000, total // HOT_KEYS))
+    names = [c for c in small.columns if c != key]
+    marked = big.join(F.broadcast(hot), key, "left")
+    there = marked.where(F.col(count).isNotNull())
+    rest = marked.where(F.col(count).isNull()).drop(*names).join(small, key)
+    return there.unionByName(rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe_codec, chat_format, range_shards, rule_ledger, secret_scan
+from timberline.llm import bpe_codec, chat_format, range_shards, rule_ledger, secret_scan, simhash_ball
 from timberline.llm.common import table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash_ball.near_copies(docs)
+    return found.select("doc_id", simhash_ball.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = rule_ledger.ledger(docs)
@@ -83,6 +89,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_simhash_ball": op3_simhash_ball,
         "op5_rule_ledger": op5_rule_ledger,
         "op6_secret_scan": op6_secret_scan,
         "op7_range_shards": op7_range_shards,
