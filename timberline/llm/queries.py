@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe_codec, chat_format, range_shards, rule_ledger, secret_scan, simhash_ball
+from timberline.llm import bpe_codec, chat_format, qgram_leaks, range_shards, rule_ledger, secret_scan, simhash_ball
 from timberline.llm.common import table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +25,13 @@ def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_ball.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op4_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = qgram_leaks.with_leaks(docs, table(spark, sf_dir, "benchmark")).where(qgram_leaks.has_leak())
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = rule_ledger.ledger(docs)
@@ -90,6 +97,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_simhash_ball": op3_simhash_ball,
+        "op4_qgram_leaks": op4_qgram_leaks,
         "op5_rule_ledger": op5_rule_ledger,
         "op6_secret_scan": op6_secret_scan,
         "op7_range_shards": op7_range_shards,
