@@ -95,7 +95,7 @@ class Codec:
         self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
         self.split = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+").findall
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.speculated = self.merged = 0
 
@@ -213,9 +213,9 @@ class Codec:
         fine = self.pairs.__getitem__
         for word, r, x, k in zip(words, raw, ids, keys):
             if all(map(fine, k)):
-                self.words[word] = x
+                self.words[word] = tuple(x)  # tuples of numbers cost the garbage collector nothing
             else:
-                self.words[word] = self.merge(r)
+                self.words[word] = tuple(self.merge(r))
                 self.merged += 1
         self.speculated += len(words)
 
@@ -240,7 +240,7 @@ class Codec:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         if not self.words:
-            self.words.update({t: [i] for t, i in self.special.items()})
+            self.words.update({t: (i,) for t, i in self.special.items()})
         new: set[str] = set()
         for words in parts:
             new.update(set(words).difference(self.words))
