@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe_codec, chat_format, qgram_leaks, range_shards, rule_ledger, secret_scan, simhash_ball
-from timberline.llm.common import table, written
+from timberline.llm import (
+    bpe_codec,
+    chat_format,
+    qgram_leaks,
+    quality_fm,
+    range_shards,
+    rule_ledger,
+    secret_scan,
+    simhash_ball,
+    toxic_segments,
+)
+from timberline.llm.common import in_fold, table, written
 
 WORD_BPE = "word_bpe_49k.json"
 SHARDS = 24
+TOXIC_FROM = 0.7
 
 
 def vocabulary_path(name: str) -> str:
@@ -19,6 +30,25 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    machine = quality_fm.fit(docs, table(spark, sf_dir, "labels"), ~held_out, metadata=["n_chars"])
+    scored = quality_fm.score(docs, machine, metadata=["n_chars"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_fold(F.col("doc_id"), 3, 1)
+    model = toxic_segments.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxic_segments.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+                         F.size("passages").alias("n_passages"))
+
+
 def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash_ball.near_copies(docs)
@@ -96,6 +126,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_fm": op1_quality_fm,
+        "op2_toxic_segments": op2_toxic_segments,
         "op3_simhash_ball": op3_simhash_ball,
         "op4_qgram_leaks": op4_qgram_leaks,
         "op5_rule_ledger": op5_rule_ledger,
