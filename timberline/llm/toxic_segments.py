@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme-value theory.
 
 Every token has a score: the log-odds of toxic against other texts, with a Dirichlet prior. Tokens are
-words and the beginnings of words; the prior of a longer beginning is the estimate of the shorter one, and
-only significant estimates are kept. All other tokens cost a constant. A linear scan over running sums finds
+words and the beginnings of words; a word has the score of its longest token with a significant one, and
+costs a constant without. A linear scan over running sums finds
 all maximal segments (Ruzzo and Tompa, 1999). A segment of score S in a text of n tokens is expected
 K n exp(-lambda S) times by chance (Karlin and Altschul, 1990); the evidence of a text is the sum of the
 negative logarithms of these numbers over its significant segments, and a logistic function makes it a
@@ -30,10 +30,12 @@ from timberline.llm.common import labelled_sample, with_text_columns, written
 
 MAX_LABELLED = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
-# Least deviations from the prior, least texts and least share of toxic texts for a token to count.
-LEAST_Z = 4.0
+# A token counts from so many toxic texts and such a share of toxic words on; MARGIN is in nats, on top
+# of the logarithm of the number of tokens tested.
 LEAST_TEXTS = 3
-PRIOR = 2.0
+LEAST_SHARE = 0.85
+MARGIN = 1.0
+PRIOR = 0.5
 DRIFT = -0.25
 MOST_SCORE = 8.0
 CACHED_WORDS = 400_000
@@ -82,7 +84,7 @@ class Model:
     scores: dict[str, float]
     scale: float  # lambda
     log_k: float
-    slope: float
+    slopes: list[float]
     offset: float
     floor: float
 
@@ -111,55 +113,55 @@ class Model:
     def probability(self, evidence: float) -> float:
         if not self.scores:
             return self.floor
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.sqrt(evidence) + self.offset))))
+        x = float(views(np.float64(evidence)) @ self.slopes) + self.offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, parent, toxic, n): in how many texts of a task each token of either class occurs."""
-    counts: Counter = Counter()
+    """(token, toxic, texts, words): for each class, texts with the token, and different words with it in each text."""
+    texts: Counter = Counter()
+    words: Counter = Counter()
 
     def flush():
-        keys = list(counts)
+        keys = list(words)
         batch = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array([k[2] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())],
-            names=["token", "parent", "toxic", "n"])
-        counts.clear()
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+             pa.array([texts[k] for k in keys], pa.int64()), pa.array(list(words.values()), pa.int64())],
+            names=["token", "toxic", "texts", "words"])
+        texts.clear()
+        words.clear()
         return batch
 
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen = set()
-            for word in set(words_of((text or "").lower())):
-                parent = ""
-                for token in tokens_of(word):
-                    seen.add((token, parent, label))
-                    parent = token
-            counts.update(seen)
-            if len(counts) > 500_000:
+            here = [(token, label) for word in set(words_of((text or "").lower())) for token in tokens_of(word)]
+            words.update(here)
+            texts.update(set(here))
+            if len(words) > 500_000:
                 yield flush()
-    if counts:
+    if words:
         yield flush()
 
 
 def token_scores(sample: DataFrame, rates: dict[int, int]) -> dict[str, float]:
-    """Log-odds of significant tokens, by Dirichlet estimates that fall back from longer to shorter tokens."""
-    rows = sample.select("_text", "_label").mapInArrow(_token_rows, "token string, parent string, toxic int, n bigint")
-    counts = written(rows.groupBy("token", "parent").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y"), F.sum("n").alias("n"))
-        .where(F.col("n") >= LEAST_TEXTS), "toxic-tokens")
-    toxic, total = rates[1], rates[0] + rates[1]
-    base = toxic / total
-    # Share of toxic texts: the token's own texts, and PRIOR texts at the share of all.
+    """Log-odds of significant tokens with a Dirichlet prior of PRIOR words at the share of all texts.
+
+    Significant: the share of toxic words is so far above the prior that, over all tokens tested, less
+    than one would get there by chance (a Chernoff bound).
+    """
+    rows = sample.select("_text", "_label").mapInArrow(_token_rows, "token string, toxic int, texts bigint, words bigint")
+    toxic = lambda c: F.sum(F.when(F.col("toxic") == 1, F.col(c)).otherwise(0))
+    counts = written(rows.groupBy("token").agg(toxic("texts").alias("toxic_texts"), toxic("words").alias("y"), F.sum("words").alias("n"))
+                     .where(F.col("n") >= LEAST_TEXTS), "toxic-tokens")
+    base = rates[1] / (rates[0] + rates[1])
+    tested = counts.count()
+    raw = F.col("y") / F.col("n")
     share = (F.col("y") + PRIOR * base) / (F.col("n") + PRIOR)
-    spread = F.sqrt(F.lit(base * (1 - base)) / F.col("n"))
-    own = counts.select("token", "parent", "n", share.alias("share"), ((F.col("y") / F.col("n") - base) / spread).alias("z"))
-    kept = own.where((F.col("z") >= LEAST_Z) & (F.col("share") >= 0.5)).collect()
-    out = {}
-    # Shorter tokens first: a longer one is kept only for what it adds, and with its parent as prior.
-    for r in sorted(kept, key=lambda r: len(r.token)):
-        out[r.token] = min(MOST_SCORE, math.log(r.share / (1 - r.share)) - math.log(base / (1 - base)))
-    return out
+    x_log = lambda x, over: F.when(x > 0, x * F.log(x / over)).otherwise(0.0)
+    bound = F.col("n") * (x_log(raw, base) + x_log(1 - raw, 1 - base))
+    kept = counts.select("token", share.alias("share")).where(
+        (F.col("toxic_texts") >= LEAST_TEXTS) & (raw > base) & (bound >= math.log(max(tested, 1)) + MARGIN) & (share >= LEAST_SHARE)).collect()
+    return {r.token: min(MOST_SCORE, math.log(r.share / (1 - r.share)) - math.log(base / (1 - base))) for r in kept}
 
 
 def chance(model: Model, texts: list[list[float]]) -> tuple[float, float]:
@@ -186,19 +188,30 @@ def chance(model: Model, texts: list[list[float]]) -> tuple[float, float]:
     return scale, (float(np.mean(gumbel)) - euler if gumbel else 0.0)
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset by Newton steps."""
-    design = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + shrink * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + shrink * np.eye(2)
-        move = np.linalg.solve(hessian, gradient)
-        w -= np.clip(move, -2, 2)
-        if np.abs(move).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
+def views(evidence: np.ndarray) -> np.ndarray:
+    """Two rising views of evidence: whether there is any to speak of, and how much."""
+    return np.stack([1 - np.exp(-evidence / 3), np.sqrt(evidence)], axis=-1)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, shrink: float = 1e-2) -> tuple[list[float], float]:
+    """Slopes and offset by Newton steps; a slope that would fall is left out, so more evidence never scores less."""
+    used = list(range(x.shape[1]))
+    while True:
+        design = np.concatenate([x[:, used], np.ones((len(x), 1))], axis=1)
+        w = np.zeros(design.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            gradient = design.T @ (p - y) + shrink * w
+            hessian = (design * (p * (1 - p))[:, None]).T @ design + shrink * np.eye(len(w))
+            move = np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+            w -= move
+            if np.abs(move).max() < 1e-8:
+                break
+        falling = [u for u, v in zip(used, w) if v < 0]
+        if not falling:
+            slopes = dict(zip(used, w.tolist()))
+            return [slopes.get(i, 0.0) for i in range(x.shape[1])], float(w[-1])
+        used.remove(min(falling, key=lambda u: w[used.index(u)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", key: str = "doc_id",
@@ -211,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
                      .where("_n = 1").drop("_n", "_hash"), "toxic-sample")
     rates = {0: 0, 1: 0} | {r._label: r["count"] for r in sample.groupBy("_label").count().collect()}
     if not rates[0] or not rates[1]:
-        return Model({}, 1.0, 0.0, 0.0, 0.0, 1.0 if rates[1] else 0.0)
-    model = Model(token_scores(sample, rates), 1.0, 0.0, 1.0, 0.0, rates[1] / (rates[0] + rates[1]))
+        return Model({}, 1.0, 0.0, [], 0.0, 1.0 if rates[1] else 0.0)
+    model = Model(token_scores(sample, rates), 1.0, 0.0, [], 0.0, rates[1] / (rates[0] + rates[1]))
     if not model.scores:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -241,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     full = [scores(r) for r in rows]
     model.scale, model.log_k = chance(model, [f.tolist() for f, r in zip(full, rows) if not r.label])
     evidence = np.array([model.evidence(f) for f in full])
-    model.slope, model.offset = logistic_fit(np.sqrt(evidence), np.array([r.label for r in rows], float))
+    model.slopes, model.offset = logistic_fit(views(evidence), np.array([r.label for r in rows], float))
     return model
 
 
