@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timberline.llm import (
     bpe_codec,
     chat_format,
+    lattice_lm,
     qgram_leaks,
     quality_fm,
     range_shards,
@@ -19,6 +20,7 @@ from timberline.llm import (
 from timberline.llm.common import in_fold, table, written
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 SHARDS = 24
 TOXIC_FROM = 0.7
 
@@ -105,6 +107,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_fold(F.col("doc_id"), 5, 1)
+    scored = lattice_lm.score(docs, ~held_out, vocabulary_path(PIECES))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
@@ -133,6 +142,7 @@ def queries() -> dict:
         "op5_rule_ledger": op5_rule_ledger,
         "op6_secret_scan": op6_secret_scan,
         "op7_range_shards": op7_range_shards,
+        "op8_lattice_lm": op8_lattice_lm,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_chat_format": op10_chat_format,
     }
