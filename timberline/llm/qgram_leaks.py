@@ -223,7 +223,7 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", leaks: s
     items = benchmark.select(F.col(f"`{item}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t"))
     chars = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    out, parts = df, []
+    out, parts = df.drop(leaks), []
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in own.collect()], q, rate))

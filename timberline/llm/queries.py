@@ -9,6 +9,7 @@ from timberline.llm import (
     bpe_codec,
     chat_format,
     lattice_lm,
+    oracles,
     qgram_leaks,
     quality_fm,
     range_shards,
@@ -149,4 +150,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_rule_ledger": oracles.RULE_LEDGER, "op10_chat_format": oracles.CHAT_FORMAT}

@@ -137,13 +137,16 @@ def linked(prints: np.ndarray, left: np.ndarray, depth: int, label: np.ndarray)
     if many > WORDS_AT_ONCE and depth < BITS:
         step = min(4, BITS - depth)
         part = (prints >> np.uint64(BITS - depth - step)) & np.uint64((1 << step) - 1)
+        pairs = [np.empty((2, 0), np.int64)]
         for value in range(1 << step):
             rest = left - _ones(part ^ np.uint64(value))
             own = places[rest >= 0]
             if len(own) > 1:
-                sub = label[own].copy()
+                sub = np.arange(len(own))
                 linked(prints[own], rest[own], depth + step, sub)
-                _lower(label, own, sub)
+                joined = np.flatnonzero(sub != np.arange(len(own)))
+                pairs.append(np.stack([own[joined], own[sub[joined]]]))
+        _join(label, *np.concatenate(pairs, axis=1))
         return
     group, owner = _meetings(prints, left, depth)
     if not len(group):
@@ -161,17 +164,14 @@ def linked(prints: np.ndarray, left: np.ndarray, depth: int, label: np.ndarray)
             return
 
 
-def _lower(label: np.ndarray, own: np.ndarray, sub: np.ndarray) -> None:
-    """Takes over what a part found; where two labels meet, the larger one follows the smaller."""
-    old = label[own]
-    low, high = np.minimum(old, sub), np.maximum(old, sub)
-    np.minimum.at(label, high, low)
-    np.minimum.at(label, own, low)
-    while True:
-        nxt = label[label]
-        if np.array_equal(nxt, label):
-            return
-        label[:] = nxt
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lowers labels until the ends of every pair have the same."""
+    while not np.array_equal(label[a], label[b]):
+        least = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], least)
+            np.minimum.at(label, end, least)
+        np.minimum(label, label[label], out=label)
 
 
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
