@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.sources.text_lines import spread, table_lines
+from timberline.sources.text_lines import table_lines
 
 _STAMP = "left(cast(ts as string), 19)"
 _MILLIS = "lpad(cast(event_id * 7 % 1000 as string), 3, '0')"
@@ -69,11 +69,8 @@ SYSLOG_SOURCE = "case o_orderkey % 3 when 0 then 'content.log' when 1 then 'auth
 FIRST_YEAR = 1995
 
 
-_KEYS = {"events": "event_id", "orders": "o_orderkey", "documents": "doc_id"}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), _KEYS[table])
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def app_lines(spark: SparkSession, sf_dir: str, line: str = APP_LINE) -> DataFrame:
@@ -87,7 +84,7 @@ def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff("o_orderdate", F.lit(f"{FIRST_YEAR}-01-01"))
     return table_lines(
         read(spark, sf_dir, "orders"), F.expr(SYSLOG_LINE), F.expr(SYSLOG_SOURCE),
-        F.shiftleft(day.cast("bigint"), 40) + F.col("o_orderkey"), block=day,
+        F.shiftleft(day.cast("bigint"), 40) + F.col("o_orderkey"), block=F.shiftright(day, 8),
         file_mtime=F.lit("2011-06-01 12:00:00+00:00"))
 
 
@@ -96,4 +93,4 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return table_lines(docs, F.col("line"), F.concat(F.lit("doc-"), F.col("lang"), F.lit(".txt")),
-                       F.shiftleft("doc_id", 20) + F.col("line_no"))
+                       F.shiftleft("doc_id", 20) + F.col("line_no"), block=F.shiftright("doc_id", 16))

@@ -128,13 +128,13 @@ def built_in(year=None) -> list[Strategy]:
 
 
 def format_detection(spark, sf_dir):
-    return detection.detect_formats(mixed_lines(spark, sf_dir), built_in(), first_block_only=False).select(
+    return detection.detect_formats(mixed_lines(spark, sf_dir), built_in()).select(
         "source", "score_heuristic", "score_syslog", "format", "detected")
 
 
 def mixed_format_parse(spark, sf_dir):
     lines, strategies = mixed_lines(spark, sf_dir), built_in(F.lit(1997))
-    formats = durable(detection.detect_formats(lines, strategies, first_block_only=False).select("path", "format"))
+    formats = durable(detection.detect_formats(lines, strategies).select("path", "format"))
     return structuring.structure(lookup_join(lines, formats, ["path"]), strategies).select(
         "source", "line_id", "format", "ts", "level", "message")
 
@@ -147,16 +147,17 @@ def registered_strategy(spark, sf_dir):
     pipe = Strategy.from_columns("pipe", "Pipe separated", lambda text: (
         F.regexp_extract(text, r"^([^|]*)\|", 1).try_cast("timestamp_ntz"),
         F.regexp_extract(text, r"\|(\w+)\|", 1), F.regexp_extract(text, r"([^|]*)$", 1)))
-    piped = table_lines(L.read(spark, sf_dir, "events"), F.expr(O.PIPE), F.lit("pipe.txt"), F.col("event_id"))
+    piped = table_lines(L.read(spark, sf_dir, "events"), F.expr(O.PIPE), F.lit("pipe.txt"), F.col("event_id"),
+                        F.shiftright("event_id", 20))
     lines = L.app_lines(spark, sf_dir).unionByName(piped)
-    return detection.detect_formats(lines, [*built_in(), pipe], first_block_only=False).select(
+    return detection.detect_formats(lines, [*built_in(), pipe]).select(
         "source", "score_heuristic", "score_syslog", "score_pipe", "format", "detected")
 
 
 def syslog_year_rollover(spark, sf_dir):
     lines = L.syslog_lines(spark, sf_dir)
-    starts, chunks = years.year_starts(lines, structuring.syslog_month(F.col("value")))
-    counted = years.count_year_starts(lines, starts, chunks).withColumn("_year", F.col("rollovers") + L.FIRST_YEAR)
+    found = years.year_starts(lines, structuring.syslog_month(F.col("value")))
+    counted = years.count_year_starts(lines, found).withColumn("_year", F.col("rollovers") + L.FIRST_YEAR)
     entries = structuring.structure(counted, [structuring.syslog(F.col("_year"))])
     return entries.filter("is_valid").select(
         "source", "line_id", F.year("ts").alias("year"), F.month("ts").cast("bigint").alias("month"))

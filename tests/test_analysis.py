@@ -10,27 +10,27 @@ from pyspark.sql import functions as F
 from timberline import AnalysisRequest, LogFilter, Strategy, TimeRange, analyze
 from timberline.operators import structuring
 from timberline.sinks import exports
-from timberline.sources.text_lines import read_lines
+from timberline.sources.text_lines import file_head_sample, read_lines
 
-LEVELS = {"INFO": 33, "DEBUG": 2, "WARNING": 7, "ERROR": 9, "CRITICAL": 3}
+LEVELS = {"INFO": 21, "TRACE": 4, "WARNING": 11, "ERROR": 6, "CRITICAL": 5}
 
 
 @pytest.fixture
-def airline(tmp_path):
-    """54 lines of a sample with known counts, and one broken line as number 14."""
+def harbour(tmp_path):
+    """47 lines with known counts, and one torn line as number 20."""
     words = [w for w, n in LEVELS.items() for _ in range(n)]
-    hours = ["06"] * 23 + ["07"] * 16 + ["08"] * 13 + ["09"] * 2
-    rows = [f"[2026-08-12 {h}:{i:02d}:03] {w}: Bağlantı {i}; pnr=TK{i % 9}X" for i, (w, h) in enumerate(zip(words, hours))]
-    rows.insert(13, "--- corrupted line, sensor buffer overflow, skip ---")
-    path = tmp_path / "airline.log"
+    hours = ["06"] * 15 + ["07"] * 18 + ["08"] * 12 + ["11"] * 2
+    rows = [f"[2019-10-06 {h}:{i:02d}:47] {w}: Bağlama {i}; pier=K{i % 9}Q" for i, (w, h) in enumerate(zip(words, hours))]
+    rows.insert(19, "~~ torn page ~~")
+    path = tmp_path / "harbour.log"
     path.write_bytes("\r\n".join(rows).encode())
     return path
 
 
 @pytest.fixture
 def syslog(tmp_path):
-    path = tmp_path / "auth 2007.log"
-    path.write_text("Dec 31 23:59:59 h sshd[1]: Failed password\nJan  1 00:00:01 h sshd[1]: Accepted password\n")
+    path = tmp_path / "lock 1976.log"
+    path.write_text("Oct 30 08:09:10 h sluice[1]: gate opens\nFeb 11 12:13:14 h sluice[1]: gate shuts\n")
     return path
 
 
@@ -38,38 +38,38 @@ def pairs(df):
     return {r[0]: r[-1] for r in df.collect()}
 
 
-def test_counts_of_a_file(spark, airline):
-    run = analyze(spark, AnalysisRequest(str(airline)))
+def test_counts_of_a_file(spark, harbour):
+    run = analyze(spark, AnalysisRequest(str(harbour)))
     assert run.counters.first().asDict() == {
-        "total_lines": 55, "parsed_lines": 54, "unparsed_lines": 1, "filtered_in": 54}
+        "total_lines": 48, "parsed_lines": 47, "unparsed_lines": 1, "filtered_in": 47}
     assert pairs(run.by_level) == LEVELS
-    assert [r.level for r in run.by_level.collect()] == ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
+    assert [r.level for r in run.by_level.collect()] == ["TRACE", "INFO", "WARNING", "ERROR", "CRITICAL"]
     assert [tuple(r) for r in run.by_hour.collect()] == [
-        ("2026-08-12 06:00", 23), ("2026-08-12 07:00", 16), ("2026-08-12 08:00", 13), ("2026-08-12 09:00", 2)]
-    assert [tuple(r) for r in run.coverage.collect()] == [("airline.log", "heuristic", 55, 54)]
+        ("2019-10-06 06:00", 15), ("2019-10-06 07:00", 18), ("2019-10-06 08:00", 12), ("2019-10-06 11:00", 2)]
+    assert [tuple(r) for r in run.coverage.collect()] == [("harbour.log", "heuristic", 48, 47)]
     assert pairs(run.level_series) == LEVELS
 
 
 @pytest.mark.parametrize("named", [10_000, 0])
-def test_mixed_formats_in_request_order(spark, airline, syslog, tmp_path, monkeypatch, named):
+def test_mixed_formats_in_request_order(spark, harbour, syslog, tmp_path, monkeypatch, named):
     monkeypatch.setattr("timberline.plans.analysis.NAMED_FILES", named)
     empty = tmp_path / "empty.log"
     empty.write_text("")
     plain = tmp_path / "plain.txt"
     plain.write_text("hello\nworld\n\n")
-    paths = [str(syslog), str(plain), str(empty), str(airline)]
+    paths = [str(syslog), str(plain), str(empty), str(harbour)]
     run = analyze(spark, AnalysisRequest(paths))
     formats = {r.source: (r.format, r.detected, r.start_year, r.year_origin) for r in run.formats.collect()}
     assert formats == {
-        "auth 2007.log": ("syslog", "syslog", 2007, "auto"), "plain.txt": ("heuristic", "unknown", None, None),
-        "empty.log": ("heuristic", "unknown", None, None), "airline.log": ("heuristic", "heuristic", None, None)}
+        "lock 1976.log": ("syslog", "syslog", 1976, "auto"), "plain.txt": ("heuristic", "unknown", None, None),
+        "empty.log": ("heuristic", "unknown", None, None), "harbour.log": ("heuristic", "heuristic", None, None)}
     rows = run.sorted().collect()
-    assert [r.source for r in rows] == ["auth 2007.log"] * 2 + ["airline.log"] * 54
+    assert [r.source for r in rows] == ["lock 1976.log"] * 2 + ["harbour.log"] * 47
     assert [r.raw_line for r in rows[2:]] == [
-        line for line in airline.read_bytes().decode().split("\r\n") if line.startswith("[")]
-    assert [str(r.ts) for r in rows[:2]] == ["2007-12-31 23:59:59", "2008-01-01 00:00:01"]
+        line for line in harbour.read_bytes().decode().split("\r\n") if line.startswith("[")]
+    assert [str(r.ts) for r in rows[:2]] == ["1976-10-30 08:09:10", "1977-02-11 12:13:14"]
     summary = run.summary.first()
-    assert (summary.result_count, summary.file_count, summary.total_lines, summary.unparsed_lines) == (56, 4, 60, 4)
+    assert (summary.result_count, summary.file_count, summary.total_lines, summary.unparsed_lines) == (49, 4, 53, 4)
     assert (summary.syslog_files, summary.unknown_files, summary.heuristic_files) == (1, 2, 1)
 
 
@@ -92,30 +92,64 @@ def test_scan_keeps_lines(spark, tmp_path):
     assert values == ["one", "", "two\rhalf", " three", " last "]
 
 
-def test_missing_file_fails_the_run(spark, airline):
+def test_hidden_files_are_refused_or_reported(spark, tmp_path):
+    for name in ("a.log", "_b.log", ".c.log"):
+        (tmp_path / name).write_text("2024-01-01 00:00:00 INFO x\n" * 3)
+    for name in ("_b.log", ".c.log"):
+        with pytest.raises(ValueError, match="begin with"):
+            analyze(spark, AnalysisRequest([f"{tmp_path}/a.log", f"{tmp_path}/{name}"])).counters.collect()
+    with pytest.warns(UserWarning, match="_b.log"):
+        assert read_lines(spark, str(tmp_path)).count() == 3
+
+
+@pytest.mark.parametrize("split", [400, 90])
+def test_samples_do_not_depend_on_splits(spark, tmp_path, split):
+    path = tmp_path / "late.log"
+    rows = [f"no stamp in line {i:02d}" + " " * 40 for i in range(12)] + [f"2024-01-01 00:00:{i:02d} INFO x" for i in range(30)]
+    path.write_text("\n".join(rows) + "\n")
+    (tmp_path / "few.log").write_text("one\ntwo\n")
+    whole = [r.value for r in file_head_sample(spark, [str(path)]).orderBy("block", "line_id").collect()]
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        paths = [str(path), str(tmp_path / "few.log")]
+        assert read_lines(spark, str(path)).select("block").distinct().count() > 3
+        rows_ = file_head_sample(spark, paths).orderBy("block", "line_id").collect()
+        assert [r.value for r in rows_ if r.source == "late.log"] == whole == rows[:20]
+        assert sum(r.source == "few.log" for r in rows_) == 2
+        formats = {r.source: r.detected for r in analyze(spark, AnalysisRequest(paths)).formats.collect()}
+        assert formats == {"late.log": "heuristic", "few.log": "unknown"}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_missing_file_fails_the_run(spark, harbour):
     with pytest.raises(AnalysisException):
-        analyze(spark, AnalysisRequest([str(airline), str(airline) + ".gone"])).counters.collect()
+        analyze(spark, AnalysisRequest([str(harbour), str(harbour) + ".gone"])).counters.collect()
 
 
-def test_filtered_run(spark, airline):
-    flt = LogFilter(time_range=TimeRange.between("2026-08-12T07:00:00", None), min_level="error", search="baglanti pnr",
-                    exclude="TK1X")
-    run = analyze(spark, AnalysisRequest(str(airline), filter=flt, format="heuristic"))
-    rows = [r for r in airline.read_bytes().decode().split("\r\n") if r.startswith("[") and r[12:14] >= "07"
-            and ("ERROR" in r or "CRITICAL" in r) and "TK1X" not in r]
-    # 'baglanti' is too far from the pieces that ASCII words leave of the Turkish word.
-    assert run.results.count() == 0 and run.counters.first().parsed_lines == 54
+def test_filtered_run(spark, harbour):
+    flt = LogFilter(time_range=TimeRange.between("2019-10-06T07:00:00", None), min_level="error", search="baglama pier",
+                    exclude="K1Q")
+    run = analyze(spark, AnalysisRequest(str(harbour), filter=flt, format="heuristic"))
+    rows = [r for r in harbour.read_bytes().decode().split("\r\n") if r.startswith("[") and r[12:14] >= "07"
+            and ("ERROR" in r or "CRITICAL" in r) and "K1Q" not in r]
+    # 'baglama' is too far from the pieces that ASCII words leave of the Turkish word.
+    assert run.results.count() == 0 and run.counters.first().parsed_lines == 47
     assert run.summary.first().range_is_empty
-    flt = LogFilter(flt.time_range, flt.min_level, "lant pnr", flt.exclude)
-    run = analyze(spark, AnalysisRequest(str(airline), filter=flt, format="heuristic"))
+    flt = LogFilter(flt.time_range, flt.min_level, "lama pier", flt.exclude)
+    run = analyze(spark, AnalysisRequest(str(harbour), filter=flt, format="heuristic"))
     assert [r.raw_line for r in run.sorted().collect()] == rows
     assert not run.summary.first().range_is_empty
     spans = run.highlighted().select("message", "spans").collect()
-    assert all([m[s.start:s.start + s.length] for s in found] == ["lant", "pnr"] for m, found in spans)
+    assert all([m[s.start:s.start + s.length] for s in found] == ["lama", "pier"] for m, found in spans)
 
 
-def test_sorting_is_stable_in_both_directions(spark, airline):
-    run = analyze(spark, AnalysisRequest(str(airline), format="heuristic"))
+def test_sorting_is_stable_in_both_directions(spark, harbour):
+    run = analyze(spark, AnalysisRequest(str(harbour), format="heuristic"))
     base = [(r.level_ord, r.ts, r.message) for r in run.sorted().collect()]
     pick = lambda **kw: [(r.level_ord, r.ts, r.message) for r in run.sorted(**kw).collect()]
     assert pick(by="level") == sorted(base, key=lambda r: r[0])
@@ -148,32 +182,50 @@ def parts(folder, suffix):
 def test_csv_bytes(spark, tmp_path):
     messages = ['plain', 'semi;colon', 'say "hi"', ' lead', '#hash', "it's, ok", 'tab\tin', 'back\\slash', 'ğ', '"', 'cr\rin']
     (tmp_path / "c.log").write_bytes("".join(
-        f"[2026-08-12 06:00:{i:02d}] INFO x: {m}\n" for i, m in enumerate(messages)).encode())
+        f"[2016-02-09 06:00:{i:02d}] INFO x: {m}\n" for i, m in enumerate(messages)).encode())
     pattern = r"^\[(?<timestamp>[^\]]*)\] (?<level>\w+) x: (?<message>.*)$"
     run = analyze(spark, AnalysisRequest(str(tmp_path / "c.log"), line_pattern=pattern))
     for _ in range(2):  # the second export replaces the first
         assert run.export(path=str(tmp_path / "out")) == "csv"
     quote = lambda m: '"' + m.replace('"', '""') + '"' if any(c in m for c in ';"\r') else m
     want = "﻿timestamp; level; message; source \n" + "".join(
-        f"2026-08-12T06:00:{i:02d};INFO;{quote(m)};c.log\n" for i, m in enumerate(messages))
+        f"2016-02-09T06:00:{i:02d};INFO;{quote(m)};c.log\n" for i, m in enumerate(messages))
     got = parts(tmp_path / "out", ".csv").decode()
     assert got.replace(want[:want.index("\n") + 1], "") == want[want.index("\n") + 1:]
     assert got.startswith("﻿timestamp; level; message; source \n")
     assert {r.message for r in exports.read_csv(spark, str(tmp_path / "out")).collect()} >= set(messages[:4])
 
 
-def test_json_export(spark, airline, tmp_path):
-    run = analyze(spark, AnalysisRequest(str(airline), export_format="JSON", output_path=str(tmp_path / "out")))
+def test_json_export(spark, harbour, tmp_path):
+    run = analyze(spark, AnalysisRequest(str(harbour), export_format="JSON", output_path=str(tmp_path / "out")))
     assert run.export(by="level") == "json"
     rows = [json.loads(line) for line in parts(tmp_path / "out/entries", ".json").decode().splitlines()]
     assert list(rows[0]) == ["timestamp", "level", "message", "source"]
     assert Counter(r["level"] for r in rows) == LEVELS
-    assert [r["level"] for r in rows] == [w for w in ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL") for _ in range(LEVELS[w])]
+    assert [r["level"] for r in rows] == [w for w in ("TRACE", "INFO", "WARNING", "ERROR", "CRITICAL") for _ in range(LEVELS[w])]
     stats = json.loads(parts(tmp_path / "out/stats", ".json"))
     assert stats == {
-        "totalLines": 55, "parsedLines": 54, "unparsedLines": 1, "filteredInCount": 54, "countsByLevel": LEVELS,
-        "countsByHourBucket": {"2026-08-12 06:00": 23, "2026-08-12 07:00": 16, "2026-08-12 08:00": 13, "2026-08-12 09:00": 2}}
+        "totalLines": 48, "parsedLines": 47, "unparsedLines": 1, "filteredInCount": 47, "countsByLevel": LEVELS,
+        "countsByHourBucket": {"2019-10-06 06:00": 15, "2019-10-06 07:00": 18, "2019-10-06 08:00": 12, "2019-10-06 11:00": 2}}
     assert list(stats["countsByLevel"]) == sorted(LEVELS)
+    rows = [json.loads(line) for line in parts(tmp_path / "out/counters", ".json").decode().splitlines()]
+    assert {r["key"]: r["n"] for r in rows if r["kind"] == "level"} == LEVELS
+    assert {r["key"]: r["n"] for r in rows if r["kind"] == "lines"} == {
+        "total_lines": 48, "parsed_lines": 47, "unparsed_lines": 1, "filtered_in": 47}
+
+
+def test_export_as_the_scan_brings_it(spark, harbour, tmp_path):
+    flt = LogFilter(min_level="error")
+    run = analyze(spark, AnalysisRequest(str(harbour), format="heuristic", filter=flt))
+    assert run.export(path=str(tmp_path / "out"), name="json", ordered=False) == "json"
+    rows = [json.loads(line) for line in parts(tmp_path / "out/entries", ".json").decode().splitlines()]
+    assert Counter(r["level"] for r in rows) == {k: LEVELS[k] for k in ("ERROR", "CRITICAL")}
+    stats = json.loads(parts(tmp_path / "out/stats", ".json"))
+    assert (stats["totalLines"], stats["parsedLines"], stats["filteredInCount"]) == (48, 47, 11)
+    written = run._export_input(None)[0]
+    assert "raw_line" not in written.columns and "value" not in written.columns
+    plan = run._structured(flt)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_export_format_choice():
@@ -197,37 +249,39 @@ def test_patterns_are_checked_before_reading(spark):
             analyze(spark, AnalysisRequest("/does/not/exist", **options))
 
 
-def test_own_strategy_takes_part_in_detection(spark, airline, tmp_path):
+def test_own_strategy_takes_part_in_detection(spark, harbour, tmp_path):
     (tmp_path / "p.txt").write_text("2024-01-01 01:00:00|warn|hello\n" * 3)
     pipe = Strategy.from_columns("pipe", "Pipe", lambda t: (
         F.regexp_extract(t, r"^([^|]*)\|", 1).try_cast("timestamp_ntz"),
         F.regexp_extract(t, r"\|(\w+)\|", 1), F.regexp_extract(t, r"([^|]*)$", 1)))
-    run = analyze(spark, AnalysisRequest([str(tmp_path / "p.txt"), str(airline)], strategies=(pipe,)))
+    run = analyze(spark, AnalysisRequest([str(tmp_path / "p.txt"), str(harbour)], strategies=(pipe,)))
     # The heuristic accepts these lines as well, and wins the tie.
-    assert {r.source: r.format for r in run.formats.collect()} == {"p.txt": "heuristic", "airline.log": "heuristic"}
+    assert {r.source: r.format for r in run.formats.collect()} == {"p.txt": "heuristic", "harbour.log": "heuristic"}
+    assert run.summary.first().pipe_files == 0
     (tmp_path / "p.txt").write_text("x" * 40 + "\n2024|warn|x\n")
     never = Strategy.from_columns("any", "Any", lambda t: (
         F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"), F.lit("info"), F.upper(t)))
-    run = analyze(spark, AnalysisRequest([str(tmp_path / "p.txt"), str(airline)], strategies=(pipe, never)))
-    assert {r.source: r.label for r in run.formats.collect()} == {"p.txt": "Any", "airline.log": "Any"}
-    assert run.results.count() == 57
+    run = analyze(spark, AnalysisRequest([str(tmp_path / "p.txt"), str(harbour)], strategies=(pipe, never)))
+    assert (run.summary.first().any_files, run.summary.first().file_count) == (2, 2)
+    assert {r.source: r.label for r in run.formats.collect()} == {"p.txt": "Any", "harbour.log": "Any"}
+    assert run.results.count() == 50
 
 
-def test_structuring_works_on_a_stream(spark, airline, tmp_path):
+def test_structuring_works_on_a_stream(spark, harbour, tmp_path):
     (tmp_path / "in").mkdir()
-    os.link(airline, tmp_path / "in/airline.log")
+    os.link(harbour, tmp_path / "in/harbour.log")
     lines = spark.readStream.option("lineSep", "\n").text(str(tmp_path / "in"))
     entries = structuring.structure(lines, [structuring.heuristic()])
     passed = entries.filter(LogFilter(min_level="ERROR").predicate())
     query = (passed.select("level").writeStream.format("memory").queryName("errors")
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     query.awaitTermination(60)
-    assert pairs(spark.sql("SELECT level, count(*) FROM errors GROUP BY level")) == {"ERROR": 9, "CRITICAL": 3}
+    assert pairs(spark.sql("SELECT level, count(*) FROM errors GROUP BY level")) == {"ERROR": 6, "CRITICAL": 5}
 
 
-def test_plans(spark, airline):
-    flt = LogFilter(min_level="WARNING", time_range=TimeRange.between("2026-08-12", None), search="Ba.*")
-    run = analyze(spark, AnalysisRequest(str(airline), format="heuristic", filter=flt))
+def test_plans(spark, harbour):
+    flt = LogFilter(min_level="WARNING", time_range=TimeRange.between("2019-10-06", None), search="Ba.*")
+    run = analyze(spark, AnalysisRequest(str(harbour), format="heuristic", filter=flt))
     text = lambda df: df._jdf.queryExecution().executedPlan().toString()
     plan = text(run.results.select("ts", "level"))
     # No Python, no shuffle, each expression once, and nothing that is not asked for.

@@ -13,6 +13,7 @@ CASES = [
     ("Bağlantı koptu", "lant", [(3, 4)]),
     ("aXbXX", "X+", [(1, 1), (3, 2)]),
     ("aXbXX", "X*", [(1, 1), (3, 2)]),
+    ("xax", "(?=a)|a", [(1, 1)]),
     ("aaa", "[a]", [(0, 3)]),
     ("ab", "|a", [(0, 1)]),
     ("foo bar", "zzz", []),
@@ -67,3 +68,11 @@ def test_merge(spark):
             else:
                 want.append([p, 1])
         assert [[s.start, s.length] for s in got] == want and edges <= set(covered)
+
+
+def test_merging_very_many_spans(spark):
+    n = 50_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        (i * 3).cast("int").alias("start"), F.when(i % 2 == 0, 3).otherwise(1).alias("length"))).alias("s"))
+    got = df.select(merge_spans(F.col("s")).alias("m")).select(F.size("m"), F.col("m")[0], F.element_at("m", -1)).first()
+    assert (got[0], tuple(got[1]), tuple(got[2])) == (n // 2, (0, 4), ((n - 2) * 3, 4))

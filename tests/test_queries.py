@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog import oracles, queries
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def db():
 
 
 def test_every_query_has_checking_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, db, name):
     assert compare(spark, db, SF_DIR, name) is None
 

@@ -9,6 +9,7 @@ class, group names are narrower. ``to_java`` rewrites exactly those places.
 from __future__ import annotations
 
 import re
+from re import _parser
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -26,8 +27,10 @@ _NOT_BOUNDARY = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 _POSIX = {
     "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower",
     "punct": "Punct", "graph": "Graph", "print": "Print", "blank": "Blank", "cntrl": "Cntrl",
-    "xdigit": "XDigit", "space": "Space",
+    "xdigit": "XDigit", "space": "Space", "ascii": "ASCII",
 }
+# Flags that mean the same on both sides.
+_SAME_FLAGS = frozenset("imsx-")
 
 _TOKEN = re.compile(
     r"""(?P<quoted>\\Q.*?(?:\\E|$))
@@ -35,6 +38,7 @@ _TOKEN = re.compile(
       | (?P<escape>\\.)
       | (?P<posix>\[:(?P<neg>\^?)(?P<cls>[a-z]+):\])
       | (?P<name>\(\?(?:P?<|')(?P<group>[A-Za-z_]\w*)[>'])
+      | (?P<flags>\(\?(?P<letters>[a-zA-Z^-]+)[:)])
       | (?P<open>\()
       | (?P<setopen>\[\^?\]?)
       | (?P<setclose>\])
@@ -49,6 +53,8 @@ class JavaPattern:
 
     text: str
     groups: dict[str, int]
+    # Whether blanks may be ignored in it and '#' may start a comment.
+    comments: bool = False
 
 
 def looks_like_regex(text: str) -> bool:
@@ -59,7 +65,7 @@ def to_java(pattern: str) -> JavaPattern:
     out: list[str] = ["(?d)"]
     groups: dict[str, int] = {}
     count = 0
-    in_set = False
+    in_set = comments = False
     for match in _TOKEN.finditer(pattern):
         token = match.group(0)
         if in_set:
@@ -75,6 +81,13 @@ def to_java(pattern: str) -> JavaPattern:
             if name not in groups:
                 raise ValueError(f"pattern refers to an unknown group '{name}': {pattern}")
             out.append(f"\\k<g{groups[name]}>")
+        elif match["flags"]:
+            letters = match["letters"]
+            # Others differ between the dialects, as U, J and n do, or are known to one of them only.
+            if not _SAME_FLAGS.issuperset(letters) or "xx" in letters:
+                raise ValueError(f"the flags '{letters}' are not supported: {pattern}")
+            comments |= "x" in letters.partition("-")[0]
+            out.append(token)
         elif match["open"]:
             if not pattern.startswith(("?", "*"), match.end()):
                 count += 1
@@ -88,12 +101,16 @@ def to_java(pattern: str) -> JavaPattern:
             out.append(_NOT_BOUNDARY)
         else:
             out.append(token)
-    return JavaPattern("".join(out), groups)
+    return JavaPattern("".join(out), groups, comments)
 
 
 def _inside_set(match: re.Match) -> str:
     token = match.group(0)
-    if match["posix"] and match["cls"] in _POSIX:
+    if match["posix"]:
+        if match["cls"] == "word":
+            return "\\W" if match["neg"] else "\\w"
+        if match["cls"] not in _POSIX:
+            raise ValueError(f"unknown character class '{token}'")
         return f"\\{'P' if match['neg'] else 'p'}{{{_POSIX[match['cls']]}}}"
     if match["escape"] or match["quoted"]:
         return "\\x08" if token == "\\b" else token
@@ -102,6 +119,9 @@ def _inside_set(match: re.Match) -> str:
         return token.replace("[", "\\[").replace("^", "\\^")
     if match["setclose"]:
         return token
+    # Java would ignore blanks and comments inside a class as well.
+    if token.isspace() or token == "#":
+        return f"\\{token}"
     return token.replace("[", "\\[").replace("&", "\\&")
 
 
@@ -109,6 +129,23 @@ def matches_empty(spark: SparkSession, java_pattern: str) -> bool:
     return spark.range(1).select(F.lit("").rlike(java_pattern)).first()[0]
 
 
+def may_match_empty(spark: SparkSession, pattern: str, java_pattern: str) -> bool:
+    """Whether a match can be empty, be it only next to certain characters.
+
+    The least length of a match is taken from Python's parser, which knows most of the dialect.
+    """
+    if matches_empty(spark, java_pattern):
+        return True
+    try:
+        return _parser.parse(python_spelling(pattern), re.ASCII).getwidth()[0] == 0
+    except re.error:
+        return False
+
+
+def python_spelling(pattern: str) -> str:
+    return re.sub(r"\(\?<([A-Za-z_])", r"(?P<\1", pattern)
+
+
 def compile_check(spark: SparkSession, pattern: str, what: str) -> JavaPattern:
     """Translate and compile a pattern before any row is read; ValueError if it is invalid."""
     java = to_java(pattern)

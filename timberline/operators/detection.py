@@ -43,10 +43,13 @@ def choose_format(scores: DataFrame, strategies: Sequence[Strategy]) -> DataFram
     })
 
 
-def detect_formats(lines: DataFrame, strategies: Sequence[Strategy],
-                   first_block_only: bool = True) -> DataFrame:
+def detect_formats(lines: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
     """One row per file: ``path, source, file_mtime, score_*, format, detected``."""
-    sample = head_sample(lines, SAMPLE_LINES, first_block_only)
+    return detect_from_sample(head_sample(lines, SAMPLE_LINES), strategies)
+
+
+def detect_from_sample(sample: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
+    """The same from the first lines of each file."""
     return choose_format(score_samples(sample, strategies), strategies)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import patterns
 from timberline.functions.fuzzy import pieces, split_terms, within_typos
+from timberline.functions.planning import once
 
 SPANS = "array<struct<start:int,length:int>>"
 # A noncharacter that Unicode keeps for use inside a program.
@@ -67,11 +68,14 @@ def _fold(parts: Column, hit) -> Column:
         return F.struct((state["at"] + group["at"]).alias("at"),
                         F.concat(state["groups"], F.array(moved)).alias("groups"))
 
-    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _GROUP).cast("int"))
-    groups = F.transform(numbers, lambda n: fold_group(F.slice(parts, n * _GROUP + 1, _GROUP)))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("groups"))
-    many = F.flatten(F.aggregate(groups, none, join, lambda state: state["groups"]))
-    return F.when(F.size(parts) <= _GROUP, fold_group(parts)["spans"]).otherwise(many)
+    def folded(parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _GROUP).cast("int"))
+        groups = F.transform(numbers, lambda n: fold_group(F.slice(parts, n * _GROUP + 1, _GROUP)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("groups"))
+        many = F.flatten(F.aggregate(groups, none, join, lambda state: state["groups"]))
+        return F.when(F.size(parts) <= _GROUP, fold_group(parts)["spans"]).otherwise(many)
+
+    return once(parts, folded)
 
 
 def regex_spans(text: Column, pattern: str) -> Column:
@@ -102,26 +106,29 @@ def word_spans(text: Column, search: str) -> Column:
 
 
 def merge_spans(spans: Column) -> Column:
-    """Spans in order, with those that overlap or touch joined into one."""
+    """Spans in order, with those that overlap or touch joined into one.
 
-    def step(state: Column, span: Column) -> Column:
-        reach = F.greatest(state["reach"], span["start"] + span["length"])
-        apart = state["reach"].isNull() | (span["start"] > state["reach"])
-        closed = F.array(_span(state["start"], state["reach"] - state["start"]))
-        done = F.when(apart & state["reach"].isNotNull(), F.concat(state["done"], closed)).otherwise(state["done"])
-        return F.struct(
-            done.alias("done"),
-            F.when(apart, span["start"]).otherwise(state["start"]).alias("start"),
-            F.when(apart, span["start"] + span["length"]).otherwise(reach).alias("reach"),
-        )
+    A span begins a new one if it starts behind all earlier ends. The furthest ends so far are
+    found by doubling: each round looks back twice as far, so n spans take n log n steps.
+    """
+
+    def with_ends(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda s: s["start"] + s["length"])
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + F.lit(1))).cast("int"))
+        # An index below zero has no value, which the greatest of both passes over.
+        look_back = lambda reach, n: F.transform(
+            reach, lambda x, i: F.greatest(x, F.get(reach, i - F.call_function("shiftleft", F.lit(1), n))))
+        return once(F.aggregate(rounds, ends, look_back), lambda reach: islands(ordered, reach))
 
-    def finish(state: Column) -> Column:
-        last = F.array(_span(state["start"], state["reach"] - state["start"]))
-        return F.when(state["reach"].isNull(), state["done"]).otherwise(F.concat(state["done"], last))
+    def islands(ordered: Column, reach: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        heads = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i)["start"] > F.get(reach, i - 1)))
+        return once(heads, lambda at: F.transform(at, lambda i, k: _span(
+            F.get(ordered, i)["start"],
+            F.get(reach, F.coalesce(F.get(at, k + 1), F.size(ordered)) - 1) - F.get(ordered, i)["start"])))
 
-    empty = F.lit(None).cast("int")
-    start = F.struct(_no_spans().alias("done"), empty.alias("start"), empty.alias("reach"))
-    return F.aggregate(F.array_sort(spans), start, step, finish)
+    merged = once(F.array_sort(spans), with_ends)
+    return F.when(F.size(spans) > 0, merged).when(spans.isNotNull(), _no_spans())
 
 
 def highlight_spans(spark: SparkSession, text: Column, search: str) -> Column:
@@ -132,7 +139,7 @@ def highlight_spans(spark: SparkSession, text: Column, search: str) -> Column:
         # At most one span per word, and words do not touch: nothing to merge.
         return word_spans(text, search)
     java = patterns.compile_check(spark, search, "search")
-    if patterns.matches_empty(spark, java.text):
+    if patterns.may_match_empty(spark, search, java.text):
         return merge_spans(_spans_of_empty_matching(search)(text))
     return regex_spans(text, search)
 
@@ -143,7 +150,7 @@ def _spans_of_empty_matching(pattern: str):
     After an empty match the next one may start at the same place if it is not empty, a rule
     Java's matcher does not have and Python's has.
     """
-    python = re.sub(r"\(\?<([A-Za-z_])", r"(?P<\1", pattern)
+    python = patterns.python_spelling(pattern)
     try:
         compiled = re.compile(python, re.ASCII)
     except re.error as error:

@@ -12,12 +12,12 @@ SORT_COLUMNS = ("timestamp", "level", "message", "source")
 # Locale-aware text order; UTF8_BINARY compares bytes.
 DEFAULT_COLLATION = "UNICODE"
 
-_INPUT_ORDER = ("file_idx", "path", "block", "line_id")
+INPUT_ORDER = ("file_idx", "path", "block", "line_id")
 
 
 def input_order(df: DataFrame) -> list[Column]:
     """Files as requested, lines as they stand in them."""
-    return [F.col(c) for c in _INPUT_ORDER if c in df.columns]
+    return [F.col(c) for c in INPUT_ORDER if c in df.columns]
 
 
 def sort_keys(df: DataFrame, by: str | None = None, descending: bool = False,

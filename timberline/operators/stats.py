@@ -7,6 +7,8 @@ and not read again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,15 @@ def all_groupings(cells: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(cells: DataFrame, formats: DataFrame, range_on: bool) -> DataFrame:
+def run_summary(cells: DataFrame, formats: DataFrame, range_on: bool,
+                names: Sequence[str] = ("heuristic", "syslog", "custom")) -> DataFrame:
     """One row: results, files, lines, unparsed lines, files per format, and whether the time
-    range left nothing."""
+    range left nothing. ``names`` are the formats that take part, registered ones too; each has
+    a column, and so has unknown."""
     counters = line_counters(cells)
     files = formats.groupBy().agg(
         F.count("*").alias("file_count"),
-        *[F.count_if(F.col("detected") == d).alias(f"{d}_files")
-          for d in ("heuristic", "syslog", "custom", "unknown")],
+        *[F.count_if(F.col("detected") == d).alias(f"{d}_files") for d in (*names, "unknown")],
     )
     # Both sides are a global aggregate: exactly one row each.
     return counters.select(

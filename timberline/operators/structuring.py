@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import levels, patterns
-from timberline.functions.planning import evaluated_once
+from timberline.functions.planning import computed_once, evaluated_once
 from timberline.functions.text import (
     MONTH_PATTERN,
     WHITESPACE,
@@ -39,6 +39,9 @@ BRACKET_PRESET = (
     r"^\[(?<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]\s+(?<level>\w+):\s*(?<message>.*)$"
 )
 
+# A noncharacter that Unicode keeps for use inside a program.
+_MARK = "\ufdd1"
+
 _DAY = r"\d{4}-\d{2}-\d{2}"
 _CLOCK = r"\d{2}:\d{2}:\d{2}"
 
@@ -91,13 +94,19 @@ class Strategy:
     @classmethod
     def from_columns(cls, name: str, label: str,
                      build: Callable[[Column], tuple[Column, Column, Column]]) -> Strategy:
-        """A strategy from a function ``text -> (time, level text, message)``."""
+        """A strategy from a function ``text -> (time, level text, message)``, built once per line."""
         text_or_empty = lambda column: F.coalesce(column, F.lit(""))
+
+        def time(df: DataFrame, text: Column, p: str) -> DataFrame:
+            ts, level, message = build(text)
+            own = F.struct(ts.alias("ts"), level.alias("level"), message.alias("message"))
+            df = _with(df, p, own=computed_once(own))
+            return _with(df, p, ts=F.col(f"{p}_own.ts"))
+
         return cls(
-            name, label,
-            lambda df, text, p: _with(df, p, ts=build(text)[0]),
-            lambda df, text, p: _with(df, p, level_ord=levels.level_ord(text_or_empty(build(text)[1]))),
-            lambda df, text, p: _with(df, p, message=text_or_empty(build(text)[2])),
+            name, label, time,
+            lambda df, text, p: _with(df, p, level_ord=levels.level_ord(text_or_empty(F.col(f"{p}_own.level")))),
+            lambda df, text, p: _with(df, p, message=text_or_empty(F.col(f"{p}_own.message"))),
         )
 
 
@@ -141,6 +150,7 @@ def heuristic(lenient: bool = False) -> Strategy:
         df = _with(df, p, body=rtrim_space(F.col(f"{p}_cut")))
         return _with(df, p, message=F.when(body == "", trim_space(rest)).otherwise(body))
 
+    # Fixed value: the label.
     return Strategy(HEURISTIC, "Genel (zaman damgasi + seviye)", time, level, message)
 
 
@@ -161,8 +171,10 @@ def syslog(year: Column) -> Strategy:
         def time(df: DataFrame, text: Column, p: str) -> DataFrame:
             head = F.col(f"{p}_head")
             df = _with(df, p, head=F.nullif(syslog_head(text), F.lit("")))
+            # No time format has years of five digits: such a line is not accepted.
+            four = F.when(year.between(1, 9999), F.lpad(year.cast("string"), 4, "0"))
             return _with(df, p, ts=iso_to_ts(F.concat(
-                F.lpad(year.cast("string"), 4, "0"), F.lit("-"),
+                four, F.lit("-"),
                 month_number(F.left(head, F.lit(3))).cast("string"), F.lit("-"),
                 F.regexp_extract(head, _SYSLOG_DATE, 1), F.lit(" "),
                 F.regexp_extract(head, _SYSLOG_DATE, 2),
@@ -181,7 +193,8 @@ def syslog(year: Column) -> Strategy:
 def custom(spark: SparkSession, pattern: str, time_format: str = DEFAULT_FORMAT) -> Strategy:
     """A user pattern with the named groups ``timestamp``, ``level`` and ``message``.
 
-    The pattern is searched, not anchored. It is checked here, before any row is read.
+    The pattern is searched, not anchored. It is checked here, before any row is read. It runs
+    once per line: the groups of its first match are laid out behind marks, and the line is cut there.
     """
     java = patterns.compile_check(spark, pattern, "line pattern")
     for group in ("timestamp", "level", "message"):
@@ -189,27 +202,32 @@ def custom(spark: SparkSession, pattern: str, time_format: str = DEFAULT_FORMAT)
             raise ValueError(f"line pattern has no group named '{group}' "
                              "(timestamp, level and message are required)")
     layout = TimeFormat.of(time_format)
-    part = lambda text, group: F.regexp_extract(text, java.text, java.groups[group])
+    # The shortest lead makes the match the first one; a line break ends a comment of the pattern.
+    whole = f"^(?s:.*?)(?:{java.text}{chr(10) if java.comments else ''})(?s:.*)$"
+    laid_out = "".join(f"{_MARK}${java.groups[g]}" for g in ("timestamp", "level", "message"))
+    part = lambda p, n: F.get(F.col(f"{p}_parts"), F.lit(n))
 
     def time(df: DataFrame, text: Column, p: str) -> DataFrame:
-        # No match gives an empty timestamp text, which no format accepts.
-        df = _with(df, p, stamp=part(text, "timestamp"))
+        # Without a match the text stays as it is, and has no mark at its start.
+        df = _with(df, p, parts=computed_once(F.split(F.regexp_replace(text, whole, laid_out), _MARK, 4)))
+        df = _with(df, p, stamp=F.when((part(p, 0) == "") & part(p, 3).isNotNull(), part(p, 1)))
         return _with(df, p, ts=layout.parse(F.col(f"{p}_stamp")))
 
     return Strategy(
         CUSTOM, "Ozel", time,
-        lambda df, text, p: _with(df, p, level_ord=levels.level_ord(part(text, "level"))),
-        lambda df, text, p: _with(df, p, message=part(text, "message")),
+        lambda df, text, p: _with(df, p, level_ord=levels.level_ord(F.coalesce(part(p, 2), F.lit("")))),
+        lambda df, text, p: _with(df, p, message=F.coalesce(part(p, 3), F.lit(""))),
     )
 
 
 def structure(lines: DataFrame, strategies: Sequence[Strategy], format_column: str = "format",
-              keep: LogFilter | None = None) -> DataFrame:
+              keep: LogFilter | None = None, count: Observation | None = None) -> DataFrame:
     """Entries of ``lines``; with several strategies each line uses the one its format names.
 
     With ``keep`` only entries that pass it are returned, and each condition is applied as
     soon as its column exists: lines outside the time range are not searched for a level, and
-    messages are cut only from entries that pass.
+    messages are cut only from entries that pass. ``count`` observes ``total`` and ``parsed``,
+    the lines before any condition, whenever the result is written.
     """
     value = F.col("value")
     single = len(strategies) == 1
@@ -229,6 +247,8 @@ def structure(lines: DataFrame, strategies: Sequence[Strategy], format_column: s
     df, ts = stage(lines, "time", "ts")
     df = df.withColumn("ts", ts)
     df = df.withColumn("is_valid", evaluated_once(F.col("ts").isNotNull()))
+    if count is not None:
+        df = df.observe(count, F.count("*").alias("total"), F.count_if("is_valid").alias("parsed"))
     if keep is not None:
         df = df.filter(keep.time_condition())
     df, level_ord = stage(df, "level", "level_ord")

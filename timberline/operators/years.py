@@ -4,13 +4,16 @@ Inside a file the year goes up by one wherever the month falls back by six or mo
 one syslog line to the next. Finding those places needs the order of the lines, but not a
 task per file: almost everywhere a stretch of lines stays within five months, and then only
 its ends matter. So the lines are first reduced, inside each scan task, to one row per chunk
-of 1024 line ids. Only chunks whose months lie far enough apart are looked at line by line,
+of line ids, which holds about 1024 lines. Only chunks whose months lie far enough apart are looked at line by line,
 chunk ends are compared inside their block, and block ends inside their file. What comes out
 is the short list of lines at which a year begins.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +21,12 @@ from timberline.functions.text import MONTH_PATTERN, month_number
 from timberline.plans import durable as tables
 
 ROLLOVER_MONTHS = 6
+# Lines of a chunk, as a power of two; also the width of a chunk where ids have no gaps.
 CHUNK_BITS = 10
-# Longest list of year starts per file that a line is compared with one by one.
-EVENTS_PER_FILE = 512
 
 YEAR_MIN, YEAR_MAX = 1000, 9999
 
+# The head of a syslog line, and a full date inside one.
 _CLOCK = r"\d{2}:\d{2}:\d{2}"
 _PREFIX = rf"^({MONTH_PATTERN})\s+(\d{{1,2}})\s+({_CLOCK})\s+"
 _ANCHOR = (
@@ -33,6 +36,14 @@ _ANCHOR = (
 _CHUNK = ["path", "block", "chunk"]
 
 
+class YearStarts(NamedTuple):
+    """Written tables: ``starts`` (path, block, chunk, line_id) and ``chunks``, 2^bits line ids each."""
+
+    starts: DataFrame
+    chunks: DataFrame
+    bits: int
+
+
 def prefix_month(text: Column) -> Column:
     """Month of a line that starts like syslog, host and process not required, else NULL."""
     return F.when(text.rlike(_PREFIX), month_number(F.left(text, F.lit(3))))
@@ -49,18 +60,25 @@ def local_year(moment: Column, zone: str) -> Column:
     return F.year(F.convert_timezone(None, F.lit(zone), moment))
 
 
+def chunk_bits(lines: DataFrame) -> int:
+    """Width of a chunk, as a power of two of line ids, that holds about 1024 of these lines.
+
+    The gaps between ids are measured: the id range of the blocks over their lines.
+    """
+    blocks = lines.groupBy("path", "block").agg(
+        F.count("*").alias("n"), (F.max("line_id") - F.min("line_id") + 1).cast("double").alias("width"))
+    total = blocks.agg(F.sum("n").alias("n"), F.sum("width").alias("width")).first()
+    gap = total.width / total.n if total.n else 1.0
+    return min(62, CHUNK_BITS + max(0, round(math.log2(gap))))
+
+
 def _chunks(lines: DataFrame) -> DataFrame:
     """Ends and spread of the months of each chunk; lines without a month do not count."""
-    at = F.when(F.col("_month").isNotNull(), F.col("line_id"))
-    return (
-        lines.groupBy(_CHUNK)
-        .agg(
-            F.min(at).alias("first_id"),
-            F.min_by("_month", at).alias("first_month"),
-            F.max_by("_month", at).alias("last_month"),
-            (F.max("_month") - F.min("_month")).alias("spread"),
-        )
-        .filter(F.col("first_id").isNotNull())
+    return lines.filter(F.col("_month").isNotNull()).groupBy(_CHUNK).agg(
+        F.min("line_id").alias("first_id"),
+        F.min_by("_month", "line_id").alias("first_month"),
+        F.max_by("_month", "line_id").alias("last_month"),
+        (F.max("_month") - F.min("_month")).alias("spread"),
     )
 
 
@@ -71,15 +89,16 @@ def _falls(rows: DataFrame, group: list[str], order: str, first: str, last: str)
         F.col("_before") - F.col(first) >= ROLLOVER_MONTHS)
 
 
-def year_starts(lines: DataFrame, month: Column) -> tuple[DataFrame, DataFrame]:
-    """The lines at which a new year begins, and the chunk table they were found with.
+def year_starts(lines: DataFrame, month: Column, bits: int | None = None) -> YearStarts:
+    """The lines at which a new year begins, with the chunk table they were found with.
 
-    ``month`` is NULL on lines that do not count. The first result has the columns
-    ``path, block, chunk, line_id``; both are written tables.
+    ``month`` is NULL on lines that do not count. ``bits`` is the width of a chunk;
+    it is measured unless given, as it is for files, whose lines are numbered without gaps.
     """
+    bits = chunk_bits(lines) if bits is None else bits
     lines = lines.select(
         "path", "block", "line_id", month.alias("_month"),
-        F.shiftright("line_id", CHUNK_BITS).alias("chunk"))
+        F.shiftright("line_id", bits).alias("chunk"))
     chunks = tables.durable(_chunks(lines))
     key = ["path", "block", "chunk", F.col("first_id").alias("line_id")]
 
@@ -99,28 +118,33 @@ def year_starts(lines: DataFrame, month: Column) -> tuple[DataFrame, DataFrame]:
             F.col("_month").isNotNull())
         starts = starts.unionByName(
             _falls(inside, _CHUNK, "line_id", "_month", "_month").select(*_CHUNK, "line_id"))
-    return tables.durable(starts), chunks
+    return YearStarts(tables.durable(starts), chunks, bits)
 
 
-def count_year_starts(lines: DataFrame, starts: DataFrame, chunks: DataFrame,
-                      limit: int | None = None) -> DataFrame:
+def count_year_starts(lines: DataFrame, found: YearStarts, limit: int | None = None) -> DataFrame:
     """``lines`` with ``rollovers``, the number of year starts of the file up to that line.
 
-    Real files have few year starts, so they fit into one array per file that is broadcast,
-    and no line is moved. Where they do not, each chunk gets the count before it and the
-    starts inside it (1024 at most), and lines meet their chunk in a shuffle join.
+    Real files have few year starts, so their measured lists are broadcast, no line is moved, and
+    each line is placed in its file's list by halving. Where they do not fit, each chunk gets the
+    count before it and the starts inside it, and lines meet their chunk in a shuffle join.
     """
+    starts, chunks, bits = found
     place = F.struct(F.col("block"), F.col("line_id"))
-    per_file = starts.groupBy("path")
-    most = per_file.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     limit = tables.BROADCAST_BYTES if limit is None else limit
-    if most <= EVENTS_PER_FILE and tables.measured_bytes(starts) <= limit:
+    if tables.measured_bytes(starts) <= limit:
         # The lists hold the measured rows, grouped: no larger than what was just checked.
-        lists = per_file.agg(F.array_sort(F.collect_list(place)).alias("_starts"))
-        joined = lines.join(F.broadcast(lists), "path", "left")
-        passed = F.size(F.filter("_starts", lambda s: s <= place))
-        return joined.withColumn(
-            "rollovers", F.when(F.col("_starts").isNull(), 0).otherwise(passed)).drop("_starts")
+        lists = starts.groupBy("path").agg(F.array_sort(F.collect_list(place)).alias("_starts"))
+        halves = F.transform(F.sequence(F.floor(F.log2(F.size("_starts"))).cast("int"), F.lit(0), F.lit(-1)),
+                             lambda k: F.call_function("shiftleft", F.lit(1), k))
+        joined = lines.join(F.broadcast(lists.withColumn("_halves", halves)), "path", "left")
+
+        def step(at: Column, width: Column) -> Column:
+            further = at + width
+            reached = (further <= F.size("_starts")) & (F.get("_starts", further - 1) <= place)
+            return F.when(reached, further).otherwise(at)
+
+        return joined.withColumn("rollovers", F.coalesce(
+            F.aggregate("_halves", F.lit(0), step), F.lit(0))).drop("_starts", "_halves")
 
     inside = starts.groupBy(_CHUNK).agg(F.array_sort(F.collect_list("line_id")).alias("_starts"))
     own = chunks.select(_CHUNK).join(inside, _CHUNK, "left").withColumn(
@@ -135,22 +159,22 @@ def count_year_starts(lines: DataFrame, starts: DataFrame, chunks: DataFrame,
         .select(*_CHUNK, (F.col("_carry") + F.col("_inner")).cast("int").alias("_base"), "_starts")
     )
     # Lines of a chunk without any month are not in the table: they do not get a year either.
-    joined = lines.withColumn("chunk", F.shiftright("line_id", CHUNK_BITS)).join(base, _CHUNK, "left")
+    joined = lines.withColumn("chunk", F.shiftright("line_id", bits)).join(base, _CHUNK, "left")
     own_starts = F.coalesce(F.size(F.filter("_starts", lambda s: s <= F.col("line_id"))), F.lit(0))
     return joined.withColumn("rollovers", F.coalesce("_base", F.lit(0)) + own_starts).drop(
         "chunk", "_base", "_starts")
 
 
-def anchor_votes(lines: DataFrame) -> DataFrame:
+def anchor_votes(lines: DataFrame, bits: int | None = None) -> DataFrame:
     """``path, year, votes``: first years suggested by full dates inside the lines.
 
     A date counts if its month, day and time repeat the head of its own line; what it
     suggests is its year less the year starts of the file up to that line.
     """
-    starts, chunks = year_starts(lines, prefix_month(F.col("value")))
+    found_starts = year_starts(lines, prefix_month(F.col("value")), bits)
     # Lines without a full date are dropped before the year starts are counted.
     dated = lines.filter(F.col("value").rlike(_PREFIX) & F.col("value").rlike(_ANCHOR))
-    dated = count_year_starts(dated, starts, chunks)
+    dated = count_year_starts(dated, found_starts)
     head = lambda n: F.regexp_extract("value", _PREFIX, n)
     found = lambda n: F.regexp_extract_all("value", F.lit(_ANCHOR), F.lit(n))
     dates = dated.select(

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import date
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.timestamps import DEFAULT_FORMAT, TimeFormat
@@ -16,7 +16,7 @@ from timberline.operators.filters import LogFilter
 from timberline.operators.structuring import HEURISTIC, SYSLOG, Strategy
 from timberline.plans.durable import durable, lookup_join
 from timberline.sinks import exports
-from timberline.sources.text_lines import base_name, file_order, input_files, read_lines, with_file_order
+from timberline.sources.text_lines import base_name, file_head_sample, file_order, input_files, read_lines, with_file_order
 
 
 # Most files a scan is told apart by name; beyond it lines look up their file in a join.
@@ -113,7 +113,9 @@ class Analysis:
             only = F.lit(strategies[0].name)
             table = self._files.withColumns({"format": only, "detected": only})
         else:
-            found = detection.detect_formats(self.lines, strategies, self._from_files)
+            found = (detection.detect_from_sample(
+                file_head_sample(self.spark, r.path_list, detection.SAMPLE_LINES), strategies)
+                if self._from_files else detection.detect_formats(self.lines, strategies))
             if self._from_files:
                 # A file without lines has no sample and is reported as unknown.
                 found = self._files.join(found.select("path", "format", "detected"), "path", "left")
@@ -147,7 +149,11 @@ class Analysis:
             return None
         else:
             lines = lookup_join(self.lines, open_files, ["path"], how="left_semi")
-        return years.elect_year(years.anchor_votes(lines))
+        return years.elect_year(years.anchor_votes(lines, self._chunk_bits))
+
+    @property
+    def _chunk_bits(self) -> int | None:
+        return years.CHUNK_BITS if self._from_files else None
 
     def _named_files(self, files: DataFrame) -> list | None:
         """Rows of a per-file table if they are few enough to name in a scan, else None."""
@@ -191,9 +197,10 @@ class Analysis:
             strategies = [s for s in strategies if s.name != SYSLOG]
         return [(self._with_years(lines) if has_syslog else lines, strategies)]
 
-    def _structured(self, keep: LogFilter | None) -> DataFrame:
-        parts = [structuring.structure(lines, strategies, keep=keep).drop("_year", "start_year", "rollovers")
-                 for lines, strategies in self._groups]
+    def _structured(self, keep: LogFilter | None, counts: Sequence[Observation | None] | None = None) -> DataFrame:
+        parts = [structuring.structure(lines, strategies, keep=keep, count=count)
+                 .drop("_year", "start_year", "rollovers", "value")
+                 for (lines, strategies), count in zip(self._groups, counts or [None] * len(self._groups))]
         entries = reduce(DataFrame.unionByName, parts)
         if self._from_files:
             entries = with_file_order(entries, self._file_order)
@@ -210,8 +217,7 @@ class Analysis:
 
     def _with_years(self, tagged: DataFrame) -> DataFrame:
         month = F.when(F.col("format") == SYSLOG, structuring.syslog_month(F.col("value")))
-        starts, chunks = years.year_starts(tagged, month)
-        counted = years.count_year_starts(tagged, starts, chunks)
+        counted = years.count_year_starts(tagged, years.year_starts(tagged, month, self._chunk_bits))
         return counted.withColumn("_year", F.col("start_year") + F.col("rollovers"))
 
     @property
@@ -228,6 +234,25 @@ class Analysis:
         """
         return durable(self.results)
 
+    def _export_input(self, by: str | None) -> tuple[DataFrame, DataFrame]:
+        """What an export needs of the results, written in one pass, and the counters of that pass.
+
+        All lines are counted on the way, before any condition; level and hour are counted from
+        the written rows.
+        """
+        counts = [Observation() for _ in self._groups]
+        results = self._structured(self.request.filter, counts)
+        keys = {"ts", "level", "level_ord", "message", "source", *ordering.INPUT_ORDER}
+        rows = durable(results.select(*[c for c in results.columns if c in keys]))
+        total = sum(c.get["total"] for c in counts)
+        parsed = sum(c.get["parsed"] for c in counts)
+        passed = rows.withColumns({"is_valid": F.lit(True), "passed": F.lit(True)})
+        cells = durable(stats.count_cells(passed))
+        kept = cells.agg(F.sum("n")).first()[0] or 0
+        others = self.spark.createDataFrame(
+            [(False, False, total - parsed), (True, False, parsed - kept)], "is_valid boolean, passed boolean, n bigint")
+        return rows, cells.unionByName(others.filter("n > 0"), allowMissingColumns=True)
+
     @cached_property
     def cells(self) -> DataFrame:
         """The counter table, from one pass over the entries."""
@@ -256,7 +281,8 @@ class Analysis:
     @property
     def summary(self) -> DataFrame:
         time_range = self.request.filter.time_range
-        return stats.run_summary(self.cells, self.formats, time_range is not None)
+        names = dict.fromkeys(["heuristic", "syslog", "custom", *(s.name for s in self._strategies)])
+        return stats.run_summary(self.cells, self.formats, time_range is not None, tuple(names))
 
     def sorted(self, by: str | None = None, descending: bool = False) -> DataFrame:
         """Results in input order, or stably sorted by a column of the view."""
@@ -271,14 +297,19 @@ class Analysis:
         return self.results.withColumn("spans", spans)
 
     def export(self, by: str | None = None, descending: bool = False,
-               path: str | None = None, name: str | None = None) -> str:
-        """Write the results in the given order, to the path of the request unless another is given."""
+               path: str | None = None, name: str | None = None, ordered: bool = True) -> str:
+        """Write the results in the given order, to the path of the request unless another is given.
+
+        With ``ordered=False`` they are written as the scan brings them, without moving any.
+        """
         path, name = path or self.request.output_path, name or self.request.export_format
         if path is None:
             raise ValueError("an export needs an output path")
         name = exports.export_format(path, name)
-        cells = self.cells if name == "json" else None
-        return exports.export(self.sorted(by, descending), cells, path, name)
+        rows, cells = self._export_input(by)
+        if ordered:
+            rows = ordering.sort_entries(rows, by, descending, self.request.collation)
+        return exports.export(rows, cells, path, name)
 
 
 def analyze(spark: SparkSession, request: AnalysisRequest, lines: DataFrame | None = None) -> Analysis:

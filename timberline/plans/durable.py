@@ -18,9 +18,22 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
+_written: list[str] = []
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """For sessions on one machine, as in tests: names a temporary folder where none is set.
+
+    A cluster must name a folder that all executors share.
+    """
+    master = spark.conf.get("spark.master", "")
+    if spark.conf.get(CHECKPOINT_DIR, None) or not (master == "local" or master.startswith("local[")):
+        return
+    spark.conf.set(CHECKPOINT_DIR, _local_folder())
+
+
 @functools.cache
-def _local_scratch() -> str:
-    """One temporary folder per process, for local sessions only."""
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="timberline-")
 
 
@@ -28,10 +41,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        root = _local_scratch()
-    return f"{root.rstrip('/')}/timberline-{uuid.uuid4().hex}"
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/timberline-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the scratch tables this process has written so far; call it when no result of them is in use."""
+    while _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -60,9 +60,23 @@ def stats_document(cells: DataFrame) -> DataFrame:
     return counters.join(levels, "_one").join(hours, "_one").drop("_one")
 
 
+def counter_rows(cells: DataFrame) -> DataFrame:
+    """The counters as rows ``kind, key, n``: however many hours there are, no row grows."""
+    total = stats.line_counters(cells).unpivot(
+        [], ["total_lines", "parsed_lines", "unparsed_lines", "filtered_in"], "key", "n")
+    return (total.select(F.lit("lines").alias("kind"), "key", "n")
+            .unionByName(stats.counts_by_level(cells).select(F.lit("level").alias("kind"), F.col("level").alias("key"), "n"))
+            .unionByName(stats.counts_by_hour(cells).select(F.lit("hour").alias("kind"), F.col("hour_bucket").alias("key"), "n")))
+
+
 def write_json(entries: DataFrame, cells: DataFrame, path: str) -> None:
-    """``entries/`` as JSON lines in the order of the rows, ``stats/`` as one JSON object."""
+    """``entries/`` as JSON lines in the order of the rows, ``counters/`` as rows of counters.
+
+    ``stats/`` has the counters as one JSON object, a view for readers that expect it: its map of
+    hours is as long as the time span of the result.
+    """
     export_rows(entries).write.mode("overwrite").json(f"{path}/entries", ignoreNullFields=False)
+    counter_rows(cells).write.mode("overwrite").json(f"{path}/counters")
     stats_document(cells).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import re
+import warnings
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -22,37 +23,96 @@ LINE_COLUMNS = ("path", "source", "block", "line_id", "file_mtime", "value")
 _MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
 
 
+def check_paths(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Refuses request paths that name a file Spark's scans pass over in silence.
+
+    Names that begin with ``_`` or ``.`` count as hidden. One that is asked for by name is an
+    error; hidden files that a folder or a pattern would take in are reported in a warning. This
+    looks at each path of the request, not at each file.
+    """
+    hidden = lambda name: name.startswith(("_", "."))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(conf)
+        found = list(system.globStatus(place) or [])
+        skipped = [f.getPath().getName() for f in found if f.isFile() and hidden(f.getPath().getName())]
+        if skipped and (len(found) == 1 or not re.search(r"[*?\[{]", path)):
+            raise ValueError(f"files whose names begin with '_' or '.' can't be scanned; rename or copy: {path}")
+        for folder in (f.getPath() for f in found if f.isDirectory()):
+            skipped += [f.getPath().getName() for f in system.listStatus(folder)
+                        if f.isFile() and hidden(f.getPath().getName()) and f.getPath().getName() != "_SUCCESS"]
+        if skipped:
+            warnings.warn(f"hidden files below {path} are not read: {', '.join(sorted(skipped)[:20])}", stacklevel=3)
+
+
+def _scan_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for scans, in which the number of splits is pinned.
+
+    Several passes over the lines must see the same splits. These depend on the number of
+    cores, which can change while a run lasts, unless the least number of splits is set. The
+    caller's session is left as it is.
+    """
+    if spark.conf.get(_MIN_PARTITIONS, None):
+        return spark
+    known = _SCAN_SESSIONS.get(id(spark))
+    if known is None or known[0] is not spark:
+        own = spark.newSession()
+        _SCAN_SESSIONS[id(spark)] = known = (spark, own, str(spark.sparkContext.defaultParallelism))
+    own = known[1]
+    for key in _SPLIT_SETTINGS:
+        value = spark.conf.get(key, None)
+        if value is not None:
+            own.conf.set(key, value)
+    own.conf.set(_MIN_PARTITIONS, known[2])
+    return own
+
+
+# Place of a file that is not in the table of the request's files.
+LAST_FILE = 2**31 - 1
+# What a scan's splits depend on.
+_SPLIT_SETTINGS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionNum")
+_SCAN_SESSIONS: dict[int, tuple[SparkSession, SparkSession, str]] = {}
+
+
+def _in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` as a frame of the given session: united with no rows of that session, which plans away."""
+    nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in df.schema.fields)
+    return spark.sql(f"SELECT {nothing} WHERE false").union(df)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], only: Sequence[str] | None = None,
-               without: Sequence[str] = ()) -> DataFrame:
-    """Lines of UTF-8 text files; a missing or unreadable path fails the run.
+               without: Sequence[str] = (), block_end: bool = False) -> DataFrame:
+    """Lines of UTF-8 text files; a missing, unreadable or hidden path fails the run.
 
     ``only`` and ``without`` pick files by their ``path``. The others are dropped from the file
-    list while planning and not opened.
+    list while planning and not opened. ``block_end`` adds ``_last_block``, whether the line's
+    block is the last of its file.
 
-    The text source splits large files and packs small ones, so work follows bytes, not
-    files. Several passes over the lines must see the same splits, which depend on the
-    number of cores unless the minimum partition number is set; it is pinned here.
+    The text source splits large files and packs small ones, so work follows bytes, not files.
     """
     paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     if not paths:
         raise ValueError("no input file is given")
-    if not spark.conf.get(_MIN_PARTITIONS, None):
-        spark.conf.set(_MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
-    text = spark.read.option("lineSep", "\n").text(paths)
+    check_paths(spark, paths)
+    text = _scan_session(spark).read.option("lineSep", "\n").text(paths)
     meta = lambda name: F.col(f"_metadata.{name}")
     if only is not None:
         text = text.filter(meta("file_path").isin(list(only)))
     if without:
         text = text.filter(~meta("file_path").isin(list(without)))
     # The id must be taken in the select on the scan: here it follows the file order.
-    lines = text.select(
-        meta("file_path").alias("path"),
-        base_name(meta("file_name")).alias("source"),
-        meta("file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_id"),
-        meta("file_modification_time").alias("file_mtime"),
-        F.col("value"),
-    )
+    columns = {
+        "path": meta("file_path"),
+        "source": base_name(meta("file_name")),
+        "block": meta("file_block_start"),
+        "line_id": F.monotonically_increasing_id(),
+        "file_mtime": meta("file_modification_time"),
+        "value": F.col("value"),
+    }
+    if block_end:
+        columns["_last_block"] = meta("file_block_start") + meta("file_block_length") >= meta("file_size")
+    lines = _in_session(spark, text.select(*[c.alias(n) for n, c in columns.items()]))
     return lines.withColumn("value", F.when(
         F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")
     ).otherwise(F.col("value")))
@@ -64,42 +124,54 @@ def base_name(file_name: Column) -> Column:
     return F.when(file_name.contains("%"), decoded).otherwise(file_name)
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """A table that comes in fewer partitions than there are cores, redistributed over them.
+def table_lines(table: DataFrame, value: Column, source: Column, line_id: Column,
+                block: Column, file_mtime: Column | None = None) -> DataFrame:
+    """Lines from a table: ``line_id`` is its order column, ``block`` a range bucket of it.
 
-    Structuring is bound by the processor, and a small table may be a single split. A table
-    of at least as many splits as cores is left where it is: no shuffle at scale.
+    Work in line order is done block by block, so a block should hold what a task can sort.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
-
-
-def table_lines(table: DataFrame, value: Column, source: Column, line_id: Column,
-                block: Column | None = None, file_mtime: Column | None = None) -> DataFrame:
-    """Lines from a table: ``line_id`` is its order column, ``block`` any range bucket of it."""
     return table.select(
         source.alias("path"),
         source.alias("source"),
-        (F.lit(0) if block is None else block).cast("bigint").alias("block"),
+        block.cast("bigint").alias("block"),
         line_id.cast("bigint").alias("line_id"),
         (F.lit(None) if file_mtime is None else file_mtime).cast("timestamp").alias("file_mtime"),
         value.alias("value"),
     )
 
 
-def head_sample(lines: DataFrame, count: int = 20, first_block_only: bool = True) -> DataFrame:
-    """The first ``count`` lines of each file.
-
-    The window keeps ``count`` rows per file inside each task before anything is shuffled.
-    Files start with block 0; lines of a table may not, which ``first_block_only`` tells.
-    """
-    if first_block_only:
-        lines = lines.filter(F.col("block") == 0)
+def _first(lines: DataFrame, count: int) -> DataFrame:
+    """The window keeps ``count`` rows per file inside each task before anything is shuffled."""
     order = Window.partitionBy("path").orderBy("block", "line_id")
     return lines.withColumn("_rank", F.row_number().over(order)).filter(
         F.col("_rank") <= count).drop("_rank")
 
 
+def head_sample(lines: DataFrame, count: int = 20) -> DataFrame:
+    """The first ``count`` lines of each file of a table of lines.
+
+    Places are ranked without the texts; the few texts are then looked up.
+    """
+    keys = ["path", "block", "line_id"]
+    return lookup_join(lines, durable(_first(lines.select(*keys), count)), keys, how="left_semi")
+
+
+def file_head_sample(spark: SparkSession, paths: Sequence[str], count: int = 20) -> DataFrame:
+    """The first ``count`` lines of each text file, however the files are split.
+
+    The first block of a file nearly always has them. Only files whose first block has fewer
+    and is not the whole file are read once more, up to their end.
+    """
+    lines = read_lines(spark, paths, block_end=True)
+    head = durable(_first(lines.filter(F.col("block") == 0), count))
+    short = (head.groupBy("path").agg(F.count("*").alias("n"), F.max("_last_block").alias("whole"))
+             .filter((F.col("n") < count) & ~F.col("whole")).select("path"))
+    if short.isEmpty():
+        return head.drop("_last_block")
+    longer = _first(lookup_join(lines, durable(short), ["path"], how="left_semi"), count)
+    return lookup_join(head, durable(short), ["path"], how="left_anti").unionByName(longer).drop("_last_block")
+
+
 def _plain(path: str) -> str:
     """A path without scheme, authority and escapes, for comparing two spellings of it."""
     return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/") or "/"
@@ -122,6 +194,7 @@ def input_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
     Spark lists the files on the driver in any case; this hands out the names.
     """
+    check_paths(spark, list(dict.fromkeys(paths)))
     files = spark.read.text(list(dict.fromkeys(paths))).inputFiles()
     # Local files are listed as file:///x, but each line says file:/x.
     return [re.sub("^file:/+", "file:/", file) for file in files]
@@ -156,4 +229,6 @@ def with_file_order(lines: DataFrame, order: DataFrame | None) -> DataFrame:
     """``lines`` with ``file_idx``, by which results of several files are ordered."""
     if order is None:
         return lines.withColumn("file_idx", F.lit(0))
-    return lookup_join(lines, order, ["path"], how="inner")
+    # A file that the order table spells in another way comes last; its lines are never lost.
+    return lookup_join(lines, order, ["path"], how="left").withColumn(
+        "file_idx", F.coalesce("file_idx", F.lit(LAST_FILE)))
