@@ -21,7 +21,7 @@ _BODY = """concat('user=', cast(user_id as string), ' kind=', event_type, ' valu
 
 # One kind of line in twenty each, the bracket style for the rest.
 APP_LINE = f"""case event_id % 20
- when 0 then concat('--- corrupted line, event=', cast(event_id as string), ', skip ---')
+ when 0 then concat('== torn page ', cast(event_id as string), ' corrupted ==')
  when 1 then concat('[', {_STAMP}, '] heartbeat user=', cast(user_id as string))
  when 2 then concat(replace({_STAMP}, ' ', 'T'), ' ', {_LEVEL}, ' ', {_BODY})
  when 3 then concat(substr(cast(ts as string), 6, 2), '/', substr(cast(ts as string), 9, 2), '/',
@@ -46,6 +46,11 @@ LOG4J_LINE = f"""case when event_id % 10 = 0 then concat({_STAMP}, ' ', {_LEVEL}
  else concat({_STAMP}, ',', {_MILLIS}, ' ', {_LEVEL}, ' [thread-', cast(user_id % 7 as string),
  '] org.shop.', event_type, ': ', {_BODY}) end"""
 
+# Day first and no seconds; for a pattern of one's own. Some lines have no such month, some no words.
+NODE_LINE = f"""case when event_id % 10 = 0 then concat('node-', cast(event_id as string), ' idle')
+ else concat(substr({_STAMP}, 9, 2), '/', case when event_id % 10 = 1 then '13' else substr({_STAMP}, 6, 2) end, '/',
+ substr({_STAMP}, 1, 4), ' ', substr({_STAMP}, 12, 5), ' <', {_LEVEL}, '> node-', cast(user_id % 7 as string), ' says ', {_BODY}) end"""
+
 _MONTHS = "'JanFebMarAprMayJunJulAugSepOctNovDec'"
 _OMONTH = f"substr({_MONTHS}, month(o_orderdate) * 3 - 2, 3)"
 _OTIME = """concat(lpad(cast(o_orderkey % 24 as string), 2, '0'), ':', lpad(cast(o_orderkey % 60 as string), 2, '0'), ':',

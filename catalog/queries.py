@@ -60,8 +60,10 @@ def stats_grouping_sets(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    request = AnalysisRequest(filter=LogFilter(time_range=TimeRange.between("2031-01-01", None)))
-    return analyze(spark, request, L.app_lines(spark, sf_dir)).summary
+    """Files of every built-in format and of a registered one, with a range and a level that leave some entries."""
+    flt = LogFilter(time_range=TimeRange.between("2024-01-10", None), min_level="ERROR")
+    request = AnalysisRequest(filter=flt, strategies=(pipe_strategy(),), syslog_year=L.FIRST_YEAR)
+    return analyze(spark, request, mixed_lines(spark, sf_dir).unionByName(pipe_lines(spark, sf_dir))).summary
 
 
 def level_series(spark, sf_dir):
@@ -103,10 +105,9 @@ def syslog_parse(spark, sf_dir):
 
 
 def custom_regex_parse(spark, sf_dir):
-    pattern = (r"^(?<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) (?<level>\w+) "
-               r"\[[^\]]*\] [^:]+: (?<message>.*)$")
-    strategy = structuring.custom(spark, pattern, "yyyy-MM-dd HH:mm:ss,zzz")
-    return structuring.structure(L.app_lines(spark, sf_dir, L.LOG4J_LINE), [strategy]).select(
+    pattern = r"^(?<timestamp>\d{2}/\d{2}/\d{4} \d{2}:\d{2}) <(?<level>\w+)> node-\d+ says (?<message>.*)$"
+    strategy = structuring.custom(spark, pattern, "dd/MM/yyyy HH:mm")
+    return structuring.structure(L.app_lines(spark, sf_dir, L.NODE_LINE), [strategy]).select(
         "line_id", "ts", "is_valid", "level", "message")
 
 
@@ -143,14 +144,20 @@ def format_report(spark, sf_dir):
     return analyze(spark, AnalysisRequest(), mixed_lines(spark, sf_dir)).formats.drop("path")
 
 
-def registered_strategy(spark, sf_dir):
-    pipe = Strategy.from_columns("pipe", "Pipe separated", lambda text: (
+def pipe_strategy() -> Strategy:
+    return Strategy.from_columns("pipe", "Pipe separated", lambda text: (
         F.regexp_extract(text, r"^([^|]*)\|", 1).try_cast("timestamp_ntz"),
         F.regexp_extract(text, r"\|(\w+)\|", 1), F.regexp_extract(text, r"([^|]*)$", 1)))
-    piped = table_lines(L.read(spark, sf_dir, "events"), F.expr(O.PIPE), F.lit("pipe.txt"), F.col("event_id"),
-                        F.shiftright("event_id", 20))
-    lines = L.app_lines(spark, sf_dir).unionByName(piped)
-    return detection.detect_formats(lines, [*built_in(), pipe]).select(
+
+
+def pipe_lines(spark, sf_dir) -> DataFrame:
+    return table_lines(L.read(spark, sf_dir, "events"), F.expr(O.PIPE), F.lit("pipe.txt"), F.col("event_id"),
+                       F.shiftright("event_id", 20))
+
+
+def registered_strategy(spark, sf_dir):
+    lines = L.app_lines(spark, sf_dir).unionByName(pipe_lines(spark, sf_dir))
+    return detection.detect_formats(lines, [*built_in(), pipe_strategy()]).select(
         "source", "score_heuristic", "score_syslog", "score_pipe", "format", "detected")
 
 
@@ -175,6 +182,18 @@ def syslog_year_precedence(spark, sf_dir):
     return run.formats.select("source", "start_year", "year_origin")
 
 
+def syslog_year_explicit(spark, sf_dir):
+    run = analyze(spark, AnalysisRequest(format="syslog", syslog_year=1989), L.syslog_lines(spark, sf_dir))
+    return run.formats.select("source", "start_year", "year_origin")
+
+
+def syslog_year_of_file_time(spark, sf_dir):
+    """Files just written, whose names and lines tell no year."""
+    lines = L.syslog_lines(spark, sf_dir).filter("source = 'plain.log'")
+    run = analyze(spark, AnalysisRequest(written_logs(spark, lines, "line_id"), format="syslog"))
+    return run.formats.select("format", "start_year", "year_origin").distinct()
+
+
 # --- filters -------------------------------------------------------------------------
 
 def relative_range(spark, sf_dir):
@@ -192,6 +211,14 @@ def search_fuzzy_documents(spark, sf_dir):
         "source", "line_id", F.col("value").alias("line"))
 
 
+def search_message_fallback(spark, sf_dir):
+    """Entries of another origin, half of them without a raw line: the message is searched instead."""
+    flt = LogFilter(search=O.FUZZY_SEARCH, exclude="kind=click")
+    entries = app_entries(spark, sf_dir).withColumn(
+        "raw_line", F.when(F.col("line_id") % 2 == 0, F.lit("")).otherwise(F.col("raw_line")))
+    return entries.filter(flt.check(spark).predicate()).select(*ENTRY)
+
+
 COMBINED = LogFilter(
     time_range=TimeRange.between("2024-01-03", "2024-01-25T12:00:00"), min_level="info",
     search="purchas", exclude="worker")
@@ -243,6 +270,26 @@ def written(spark: SparkSession, lines: DataFrame) -> str:
     return folder
 
 
+def written_logs(spark: SparkSession, lines: DataFrame, order: str) -> str:
+    """Lines in order over a few files ``log-<n>.log``: names that other folders have as well, and no year."""
+    folder = scratch_dir(spark)
+    lines.repartitionByRange(4, order).sortWithinPartitions(order).select("value").write.text(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().getName() for f in system.listStatus(place(folder)) if f.getPath().getName().startswith("part-"))
+    for n, name in enumerate(parts):
+        system.rename(place(f"{folder}/{name}"), place(f"{folder}/log-{n}.log"))
+    return folder
+
+
+def request_order(spark, sf_dir):
+    """Three folders with files of the same names, in an order that is not that of their paths."""
+    lines = L.app_lines(spark, sf_dir)
+    folders = [written_logs(spark, lines.filter(F.col("line_id") % 3 == k), "line_id") for k in range(3)]
+    run = analyze(spark, AnalysisRequest([folders[2], folders[0], folders[1]], format="heuristic"))
+    return ordering.with_position(run.sorted()).select("position", "ts", "level", "message")
+
+
 def text_scan_roundtrip(spark, sf_dir):
     lines = L.app_lines(spark, sf_dir).unionByName(L.doc_lines(spark, sf_dir))
     return read_lines(spark, written(spark, lines)).groupBy("value").agg(F.count("*").alias("n"))
@@ -259,7 +306,8 @@ def app_analysis(spark, sf_dir, **options):
 def export_csv(spark, sf_dir):
     folder = scratch_dir(spark)
     app_analysis(spark, sf_dir, export_format="csv", output_path=folder).export(by="timestamp")
-    return exports.read_csv(spark, folder)
+    rows = exports.read_csv(spark, folder, place=True)
+    return ordering.with_position(rows.orderBy("_file", "_block", "_line")).drop("_file", "_block", "_line")
 
 
 def export_json(spark, sf_dir):
@@ -288,7 +336,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         custom_regex_parse, default_preset_parse, format_detection, mixed_format_parse, format_report,
         registered_strategy, syslog_year_rollover, syslog_year_anchor_vote, syslog_year_precedence, relative_range,
         search_fuzzy_documents, highlight_regex, highlight_fuzzy, highlight_merge, result_view, text_scan_roundtrip,
-        file_analysis_levels, export_csv, export_json, export_json_stats,
+        file_analysis_levels, request_order, syslog_year_explicit, syslog_year_of_file_time, search_message_fallback, export_csv, export_json, export_json_stats,
     ]
     found = {query.__name__: query for query in named}
     found |= {
@@ -298,6 +346,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             datetime(2024, 1, 10, 8, 15, 30), datetime(2024, 1, 12, 21, 40, 1)))),
         "level_threshold": passing(LogFilter(min_level="ERROR")),
         "search_regex": passing(LogFilter(search=r"user=1\d+ kind=(view|error)")),
+        "search_posix_class": passing(LogFilter(search=r"kind=[[:word:]]{6}[[:space:]]")),
         "search_fuzzy": passing(LogFilter(search=O.FUZZY_SEARCH)),
         "exclude_regex": passing(LogFilter(exclude=r"worker-[0-3]|value=\d{4,}")),
         "exclude_terms": passing(LogFilter(exclude="KIND=view Corrupted")),

@@ -35,13 +35,16 @@ def write_csv(entries: DataFrame, path: str) -> None:
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8")
 
 
-def read_csv(spark, path: str) -> DataFrame:
-    """An export read back."""
-    return spark.read.csv(
+def read_csv(spark, path: str, place: bool = False) -> DataFrame:
+    """An export read back; ``place`` adds the columns ``_file, _block, _line`` that order the rows as written."""
+    rows = spark.read.csv(
         path, schema="timestamp string, level string, message string, source string", sep=";",
         header=True, quote='"', escape='"', multiLine=False, enforceSchema=True,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    ).na.fill("")
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    if place:
+        rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                           F.monotonically_increasing_id().alias("_line"))
+    return rows.na.fill("")
 
 
 def stats_document(cells: DataFrame) -> DataFrame:
