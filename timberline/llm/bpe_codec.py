@@ -13,10 +13,12 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,9 +28,11 @@ from tokenizers import Tokenizer
 from timberline.llm.common import with_text_columns
 
 # Entries of the per-task caches; a full cache is emptied, which costs time only.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 CACHED_PAIRS = 500_000
 NEVER = np.int64(1) << 40
+# Stands for the end of a word where words are one long text of byte characters.
+_END = "\u0100"
 # Symbols up to which a plain list is quicker than a heap.
 SHORT = 64
 # Below this letter Python lower-cases as the vocabulary's normaliser does, but for a final sigma.
@@ -45,6 +49,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _class_of(kind: str) -> str:
+    """The characters below PLAIN_END of a general category, for use inside a set."""
+    return "".join(re.escape(chr(c)) for c in range(ord(PLAIN_END)) if unicodedata.category(chr(c))[0] == kind)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -90,13 +99,20 @@ class Codec:
         self.reach = {}
         for raw in chain(self.inner, self.final):
             self.reach[raw[:2]] = max(len(raw), self.reach.get(raw[:2], 1))
+        self.matcher = ahocorasick.Automaton()
+        for known, end in ((self.inner, ""), (self.final, _END)):
+            for raw, i in known.items():
+                self.matcher.add_word(raw.decode("latin-1") + end, (len(raw) + len(end)) << 32 | i)
+        self.matcher.make_automaton()
         marks = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
         self.marks = re.compile(f"({marks})")
         self.split_ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
+        letters, numbers = (_class_of(kind) for kind in "LN")
+        self.split_plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_SPACE}{letters}{numbers}]+").findall
         self.split = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+").findall
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}  # ids as packed numbers of four bytes
+        self.known_pairs, self.known_fine = np.array([-1]), np.array([True])
         self.speculated = self.merged = 0
 
     def first_crossing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,28 +212,61 @@ class Codec:
                 offer(before[i])
         return [i for i in ids if i >= 0]
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of many words, in one scan: tokens, and where each word's tokens start."""
+        text = _END.join([w.decode("latin-1") for w in words]) + _END
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        found = np.array(list(self.matcher.iter_long(text)), np.int64).reshape(-1, 2)
+        word = np.searchsorted(stops, found[:, 0])
+        tokens = found[:, 1] & 0xFFFFFFFF
+        # A scan can take the last byte as one within a word and leave the end over: propose again, end in mind.
+        covered = np.bincount(word, found[:, 1] >> 32, len(words)).astype(np.int64)
+        missed = np.flatnonzero(covered != np.diff(stops, prepend=-1))
+        counts = np.bincount(word, minlength=len(words))
+        if len(missed):
+            again = [self.propose(words[i]) for i in missed.tolist()]
+            part = np.ones(len(words), bool)
+            part[missed] = False
+            kept = part[word]
+            word = np.concatenate([word[kept], np.repeat(missed, [len(x) for x in again])])
+            tokens = np.concatenate([tokens[kept], np.fromiter(chain.from_iterable(again), np.int64)])
+            order = np.argsort(word, kind="stable")
+            word, tokens = word[order], tokens[order]
+            counts = np.bincount(word, minlength=len(words))
+        return tokens, np.concatenate([[0], np.cumsum(counts)])
+
+    def compatible(self, keys: np.ndarray) -> np.ndarray:
+        """For each pair of tokens whether no merge crosses between them; known pairs are looked up."""
+        unique, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known_pairs, unique), len(self.known_pairs) - 1)
+        fine = self.known_fine[at]
+        new = np.flatnonzero(self.known_pairs[at] != unique)
+        if len(new):
+            fine[new] = self.first_crossing(unique[new] >> 32, unique[new] & 0xFFFFFFFF) == NEVER
+            if len(self.known_pairs) > CACHED_PAIRS:
+                self.known_pairs, self.known_fine = np.array([-1]), np.array([True])
+            pairs = np.concatenate([self.known_pairs, unique[new]])
+            order = np.argsort(pairs)
+            self.known_pairs, self.known_fine = pairs[order], np.concatenate([self.known_fine, fine[new]])[order]
+        return fine[back]
+
     def learn(self, words: Iterable[str]) -> None:
         """Encodes words not cached: all are proposed, all pairs checked at once, failing words merged."""
         words = list(words)
         raw = [w.encode() for w in words]
-        ids = [self.propose(w) for w in raw]
-        keys = [[a << 32 | b for a, b in zip(x, x[1:])] for x in ids]
-        new = set(chain.from_iterable(keys)).difference(self.pairs)
-        if len(self.pairs) + len(new) > CACHED_PAIRS:
-            self.pairs.clear()
-            new = set(chain.from_iterable(keys))
-        if new:
-            new = np.fromiter(new, np.int64, len(new))
-            good = self.first_crossing(new >> 32, new & 0xFFFFFFFF) == NEVER
-            self.pairs.update(zip(new.tolist(), good.tolist()))
-        fine = self.pairs.__getitem__
-        for word, r, x, k in zip(words, raw, ids, keys):
-            if all(map(fine, k)):
-                self.words[word] = tuple(x)  # tuples of numbers cost the garbage collector nothing
-            else:
-                self.words[word] = tuple(self.merge(r))
-                self.merged += 1
+        tokens, starts = self.propose_all(raw)
+        inside = np.ones(max(len(tokens) - 1, 0), bool)
+        inside[starts[1:-1] - 1] = False  # pairs within a word only
+        first = np.flatnonzero(inside)
+        bad = first[~self.compatible(tokens[first] << 32 | tokens[first + 1])]
+        failing = np.zeros(len(words), bool)
+        failing[np.searchsorted(starts, bad, "right") - 1] = True
+        ids, begin = tokens.astype(np.int32).tobytes(), (4 * starts).tolist()
+        self.words.update({w: ids[a:b] for w, a, b in zip(words, begin, begin[1:])})
+        for k in np.flatnonzero(failing).tolist():
+            self.words[words[k]] = array("i", self.merge(raw[k])).tobytes()
         self.speculated += len(words)
+        self.merged += int(failing.sum())
 
     def pieces(self, text: str) -> list[str]:
         """Words as the vocabulary's splitter makes them, special tokens among them."""
@@ -232,28 +281,36 @@ class Codec:
         if text.isascii():
             return self.split_ascii(text.lower())
         if max(text) < PLAIN_END and "Σ" not in text and unicodedata.is_normalized("NFC", text):
-            return self.split(text.lower())
+            return self.split_plain(text.lower())
         return self.split(self.normalizer.normalize_str(text))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids start; one more start at the end."""
         parts = [self.pieces(t) for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         if not self.words:
-            self.words.update({t: (i,) for t, i in self.special.items()})
-        new: set[str] = set()
-        for words in parts:
-            new.update(set(words).difference(self.words))
-        if new:
+            self.words.update({t: array("i", [i]).tobytes() for t, i in self.special.items()})
+        if new := set(chain.from_iterable(parts)).difference(self.words):
             self.learn(new)
         get = self.words.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in parts]
+        packed = [b"".join(map(get, words)) for words in parts]
+        starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int64)
+        return np.frombuffer(b"".join(packed), np.int32), starts
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, starts = self.encode_packed(texts)
+        return [x.tolist() for x in np.split(ids, starts[1:-1])]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token strings joined by spaces: the vocabulary names no other decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec per worker process and file: the tables take a second to build."""
@@ -267,7 +324,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         coder = codec(path)
 
         def step(texts):
-            return [pa.array(coder.encode(texts), pa.list_(pa.int32()))]
+            return [_lists(*coder.encode_packed(texts))]
 
         return step
 
@@ -281,11 +338,9 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         coder = codec(path)
 
         def step(texts):
-            coded = coder.encode(texts)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int32)
-            values = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
-            decoded = [coder.decode(x) for x in coded]
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(decoded, pa.string())]
+            ids, starts = coder.encode_packed(texts)
+            decoded = [coder.decode(ids[a:b].tolist()) for a, b in zip(starts, starts[1:])]
+            return [_lists(ids, starts), pa.array(decoded, pa.string())]
 
         return step
 
