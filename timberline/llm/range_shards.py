@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Boundaries are a fixed number, whatever the input: ranges per shard, and sampled keys per range.
+# Boundaries and draws are a fixed number, whatever the input: ranges per shard, and sampled keys per range.
 RANGES_PER_SHARD = 8
 SAMPLES_PER_RANGE = 64
 # A range above so many times its share is divided again.
@@ -27,15 +27,15 @@ ROUNDS = 3
 
 
 def _sampled_keys(rows: DataFrame, count: int) -> list:
-    """At most ``count`` keys, drawn without replacement with chances in proportion to size.
+    """About ``count`` keys, drawn with chances in proportion to size.
 
-    Each row gets an exponential time with its size as rate, from a hash of its key; the earliest are
-    drawn. Spark keeps the best ``count`` of each task only.
+    A key is drawn if the hash of it, as a number between 0 and 1, is below its share of the draws.
+    Equal keys are drawn together and count once, so tasks hand on no more than is drawn.
     """
-    uniform = (F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = (rows.select("_key", (-F.log(uniform) / F.greatest(F.col("_size"), F.lit(1))).alias("_t"))
-             .orderBy("_t", "_key").limit(count))
-    return [r[0] for r in drawn.collect()]
+    total = rows.agg(F.sum(F.greatest(F.col("_size"), F.lit(1)))).first()[0] or 1
+    uniform = F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    chance = F.greatest(F.col("_size"), F.lit(1)) * (count / total)
+    return [r[0] for r in rows.where(uniform < chance).select("_key").distinct().collect()]
 
 
 def _order(key) -> tuple:
