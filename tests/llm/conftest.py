@@ -27,7 +27,9 @@ def odd_wide(odd):
     """The same with extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("score", "passages", "fingerprint", "fp", "component", "leaks", "spans", "shard", "slot", "ids", "decoded", "n_words", "failed_bits", "row", "word")
+    names = ("Score", "passages", "fingerprint", "fp", "component", "leaks", "spans", "shard", "slot", "ids", "decoded", "n_words", "failed_bits", "row", "word",
+             "_words", "_lines", "_id", "_hash", "_n", "_row", "_key", "_text", "_text_hash", "_size", "_range", "_rank", "_begin", "_redacted",
+             "_label", "k0", "text_hash", "component_id", "n_tokens", "trains")
     return odd.withColumns({n: F.lit("x") for n in names})
 
 

@@ -35,6 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of ``df`` has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def fold(key: Column, count: int) -> Column:
     """crc32 of the key as text, modulo ``count``; null keys are in no fold."""
     return F.crc32(key.cast("string").cast("binary")) % count
@@ -112,8 +125,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     Ids with several labels take the largest. The ids are at most ``bound`` rows, so they are
     broadcast and the documents stay where they are.
     """
-    ids = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & usable)
-           .groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & usable)
+    # Far more labels than the bound are thinned by the hash first, so that tasks hand on a bounded part.
+    thin = min(1.0, 2.0 * bound / max(1, known.count()))
+    if thin < 1:
+        known = known.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(11)), F.lit(1 << 30)) < int(thin * (1 << 30)))
+    ids = (known.groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
            .orderBy(F.xxhash64("_id"), "_id").limit(bound))
     narrow = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"),
                          *[F.col(f"`{c}`").alias(f"_x_{c}") for c in extra])

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.llm.common import whole_row
+
 # Boundaries and draws are a fixed number, whatever the input: ranges per shard, and sampled keys per range.
 RANGES_PER_SHARD = 8
 SAMPLES_PER_RANGE = 64
@@ -74,10 +76,11 @@ def assign_shards(df: DataFrame, size: Column, key: Sequence[Column], shards: in
     records apart: then a hot value of the others is divided like any range. Columns of ``df`` called
     shard or slot are replaced.
     """
-    rows = df.drop("shard", "slot").withColumns({
-        "_size": F.coalesce(size, F.lit(0)).cast("long"),
-        "_key": F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]),
-    })
+    rows = df.select(
+        whole_row(df.drop("shard", "slot")).alias("_row"),
+        F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
+        F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("_key"),
+    )
     key_type = rows.schema["_key"].dataType
     n_ranges = shards * ranges_per_shard
     boundaries = _quantiles(_sampled_keys(rows, n_ranges * SAMPLES_PER_RANGE), n_ranges)
@@ -115,4 +118,4 @@ def assign_shards(df: DataFrame, size: Column, key: Sequence[Column], shards: in
 
 
 def _bare(rows: DataFrame) -> DataFrame:
-    return rows.drop(*[c for c in ("_size", "_key", "_range", "_begin", "_rank") if c in rows.columns])
+    return rows.select("_row.*", "shard", "slot")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.common import unused
+
 WINDOW = 8
 # White space between words, and the symbols counted.
 SPACE = " \t\n\x0b\x0c\r"
@@ -105,18 +107,19 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(whole, blank), lambda w: w != "")
     lines = F.filter(F.split(whole, "\n"), lambda line: F.translate(line, SPACE, "") != "")
     letters = F.translate(whole, SPACE, "")
+    by_word, by_line = unused(df, "_words"), unused(df, "_lines")
     measured = {
-        "_words": bound_once(words, of_words),
-        "_lines": bound_once(lines, of_lines),
+        by_word: bound_once(words, of_words),
+        by_line: bound_once(lines, of_lines),
         "word_chars": F.char_length(letters).cast("long"),
         "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long"),
         "n_capitals": (F.char_length(whole) - F.char_length(F.regexp_replace(whole, r"\p{Lu}", ""))).cast("long"),
     }
     out = df.withColumns(measured)
     return out.withColumns({
-        "n_words": F.col("_words.n_words"), "n_repeat_words": F.col("_words.n_repeat_words"),
-        "n_lines": F.col("_lines.n_lines"), "n_dup_lines": F.col("_lines.n_dup_lines"),
-    }).drop("_words", "_lines")
+        "n_words": F.col(f"{by_word}.n_words"), "n_repeat_words": F.col(f"{by_word}.n_repeat_words"),
+        "n_lines": F.col(f"{by_line}.n_lines"), "n_dup_lines": F.col(f"{by_line}.n_dup_lines"),
+    }).drop(by_word, by_line)
 
 
 def ledger(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:

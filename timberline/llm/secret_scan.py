@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import with_text_columns
+from timberline.llm.common import unused, with_text_columns
 
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
@@ -56,7 +57,8 @@ _DATE = re.compile(r"(?a)(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1
                    r"|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 _LONGEST_DATE = 10
 _LONGEST_UNIT = 8
-LN10 = math.log(10)
+# Longer values are not remembered between texts.
+_CACHED_LENGTH = 200
 
 
 def _alphabet(text: str) -> int:
@@ -79,9 +81,17 @@ def _runs(value: str, follows) -> list[int]:
     return ends
 
 
-@lru_cache(maxsize=50_000)
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation; linear in the length of the value."""
+    return _known_cost(value) if len(value) <= _CACHED_LENGTH else _least_cost(value)
+
+
+@lru_cache(maxsize=50_000)
+def _known_cost(value: str) -> float:
+    return _least_cost(value)
+
+
+def _least_cost(value: str) -> float:
     if not value:
         return 0.0
     low = value.lower()
@@ -124,6 +134,17 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans that cover the same places, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     """All spans by start, then kind; base kinds first, the method's own where no base span lies."""
     low = text.lower()
@@ -134,15 +155,12 @@ def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
         spans += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
-        taken = sorted((s, e) for _, s, e, _ in spans)
-        at = 0
+        taken = _united([(s, e) for _, s, e, _ in spans])
         for m in _CONTEXT.finditer(text):
             group = m.lastindex
             start, end = m.span(group)
-            while at < len(taken) and taken[at][1] <= start:
-                at += 1
-            # An overlapping base span may end later than ones that start after it, so look at all near ones.
-            if any(s < end and e > start for s, e in taken[max(0, at - 2):at + 3]):
+            at = bisect_right(taken, (end - 1, end)) - 1  # the last base span that starts before the end
+            if at >= 0 and taken[at][1] > start:
                 continue
             if (cost := guess_cost(m[group])) >= LEAST_LOG10_GUESSES:
                 spans.append(("guess", start, end, cost))
@@ -178,7 +196,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
     def make():
         return lambda texts: [pa.array([redacted(t, mark) for t in texts], pa.string())]
 
-    names = df.columns
-    done = with_text_columns(df, text, [("_redacted", "string")], make)
-    clean = F.when(F.col(f"`{text}`").isNotNull(), F.col("_redacted")).alias(text)
+    names, new = df.columns, unused(df, "_redacted")
+    done = with_text_columns(df, text, [(new, "string")], make)
+    clean = F.when(F.col(f"`{text}`").isNotNull(), F.col(new)).alias(text)
     return done.select(*[clean if c == text else F.col(f"`{c}`") for c in names])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.llm.common import join_counted, with_text_columns, written
+from timberline.llm.common import join_counted, whole_row, with_text_columns, written
 
 BITS = 64
 SHINGLE = 4
@@ -262,10 +262,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", distance: i
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("text_hash").alias("hash")))
     winners = written(found.groupBy("component").agg(first.alias("w")).select(
         F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash")), "kept")
-    names = df.columns
-    rows = df.withColumn("_row_hash", F.xxhash64(F.col(f"`{text}`")))
-    kept = rows.join(winners, rows[key].eqNullSafe(winners["_id"]) & (rows["_row_hash"] == winners["_hash"]))
-    # Fully equal rows are one group: the join has them together already.
-    others = [F.col(f"`{c}`") for c in names if c not in (key, text)]
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_text_hash"), whole_row(df).alias("_row"))
+    kept = rows.join(winners, rows["_key"].eqNullSafe(winners["_id"]) & (rows["_text_hash"] == winners["_hash"]))
+    # Rows of one key and text are one group: the join has them together already.
+    others = [F.col("_row").getField(c) for c in df.columns if c not in (key, text)]
     one = Window.partitionBy("_id", "_hash").orderBy(*(others or [F.col("_hash")]))
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*[F.col(f"`{c}`") for c in names])
+    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
