@@ -27,8 +27,8 @@ from timberline.llm.common import with_text_columns
 Q = 10
 EDIT_RATE = 0.08
 LEAST_CHARS = 2 * Q
-# Characters of the benchmark in a block.
-BLOCK_CHARS = 16_000_000
+# Characters of the benchmark in a block; its index takes about 30 bytes a character.
+BLOCK_CHARS = 2_000_000
 LEAKS_TYPE = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 _ARROW_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 _TABLE_BITS = 22
@@ -107,7 +107,7 @@ def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RAT
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[_slot(distinct)] = True
     return Index([i for i, _ in items], [t for _, t in items], edits, lengths - q + 1 - edits * q, distinct,
-                 np.append(first, len(hashes)), item[order], place[order], table, q)
+                 np.append(first, len(hashes)), item[order].astype(np.int32), place[order].astype(np.int32), table, q)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def bands(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int]]:
     many = index.first[which + 1] - index.first[which]
     posting = np.repeat(index.first[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
     at = np.repeat(at, many)
-    item = index.item[posting]
+    item = index.item[posting].astype(np.int64)
     text = np.searchsorted(starts, at, "right") - 1
     # Diagonals of different texts are kept apart by the length of the longest item and its slack.
     gap = 2 * max(map(len, index.texts)) + 2
