@@ -164,17 +164,24 @@ def token_scores(sample: DataFrame, rates: dict[int, int]) -> dict[str, float]:
     return {r.token: min(MOST_SCORE, math.log(r.share / (1 - r.share)) - math.log(base / (1 - base))) for r in kept}
 
 
-def chance(model: Model, texts: list[list[float]]) -> tuple[float, float]:
-    """lambda and log K from score rows of texts that are not toxic.
+def full_row(n: int, places: Sequence[int], gains: Sequence[float]) -> np.ndarray:
+    """The scores of a text of n tokens from its positive ones."""
+    row = np.full(n, DRIFT)
+    row[list(places)] = gains
+    return row
+
+
+def chance(model: Model, texts: Sequence[tuple[int, Sequence[int], Sequence[float]]]) -> tuple[float, float]:
+    """lambda and log K from texts that are not toxic, given by length and positive tokens.
 
     lambda solves E[exp(lambda s)] = 1 for the scores of their tokens, every positive score being seen
     half a time more than it was; K is the one for which the largest segments have the mean of an
     extreme-value distribution.
     """
-    values = Counter(round(s, 3) for row in texts for s in row)
+    values = Counter(round(s, 3) for _, _, gains in texts for s in gains)
     for s in set(round(v, 3) for v in model.scores.values()):
         values[s] += 0.5
-    values[DRIFT] += 1
+    values[DRIFT] += 1 + sum(n - len(gains) for n, _, gains in texts)
     s = np.array(list(values))
     p = np.array(list(values.values())) / sum(values.values())
     low, high = 1e-6, 20.0
@@ -182,8 +189,11 @@ def chance(model: Model, texts: list[list[float]]) -> tuple[float, float]:
         middle = (low + high) / 2
         low, high = (low, middle) if np.log(np.sum(p * np.exp(np.minimum(middle * s, 300)))) > 0 else (middle, high)
     scale = low
-    best = [(max((x for x, _, _ in maximal_segments(np.array(row))), default=0.0), len(row)) for row in texts if len(row)]
-    gumbel = [scale * x - math.log(n) for x, n in best]
+    gumbel = []
+    for n, places, gains in texts:
+        if n:
+            best = max((x for x, _, _ in maximal_segments(full_row(n, places, gains))), default=0.0) if len(gains) else 0.0
+            gumbel.append(scale * best - math.log(n))
     euler = 0.5772156649
     return scale, (float(np.mean(gumbel)) - euler if gumbel else 0.0)
 
@@ -246,14 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
         run, "id bigint, label int, n bigint, places array<bigint>, gains array<double>").collect()
     rows.sort(key=lambda r: r.id)
 
-    def scores(r):
-        out = np.full(r.n, DRIFT)
-        out[r.places] = r.gains
-        return out
-
-    full = [scores(r) for r in rows]
-    model.scale, model.log_k = chance(model, [f.tolist() for f, r in zip(full, rows) if not r.label])
-    evidence = np.array([model.evidence(f) for f in full])
+    texts = [(r.n, r.places, r.gains) for r in rows]
+    model.scale, model.log_k = chance(model, [t for t, r in zip(texts, rows) if not r.label])
+    evidence = np.array([model.evidence(full_row(*t)) if len(t[2]) else 0.0 for t in texts])
     model.slopes, model.offset = logistic_fit(views(evidence), np.array([r.label for r in rows], float))
     return model
 
