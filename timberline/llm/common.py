@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timberline.plans.durable import use_local_folder
+
 # Texts handed to one vectorised step: as many as reach this many characters.
 CHUNK_CHARS = 2_000_000
 
@@ -104,7 +106,11 @@ def with_text_columns(df: DataFrame, text: str, fields: Sequence[tuple[str, str]
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares, named by ``spark.checkpoint.dir``."""
+    """A new path in the folder that the cluster shares, named by ``spark.checkpoint.dir``.
+
+    Only a session on one machine, where nothing is named, gets a folder of its own.
+    """
+    use_local_folder(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
