@@ -14,6 +14,7 @@ component. Components without an id (all null) have a null component id. An empt
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -235,6 +236,20 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = written(smaller.where("hi <> lo").union(least.select("u", "m")).distinct(), "links")
 
 
+def in_components(rows: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], node: str, key: str) -> DataFrame:
+    """``rows`` (key, text_hash, node) with the component of each and its smallest key; ``edges`` links nodes, or makes links of them."""
+    nodes = written(rows.groupBy(node).agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-nodes")
+    roots = components(edges(nodes) if callable(edges) else edges).toDF(node, "root")
+    placed = nodes.join(roots, node, "left").select(node, "least", "n", F.coalesce("root", node).alias("component"))
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    # A component of very many nodes is a hot key too.
+    ids = written(ids, "component-ids")
+    total = nodes.count()
+    of_node = written(join_counted(placed.select(node, F.col("n").alias("n_rows"), "component"), ids, "component", "n", total)
+                      .select(node, "component", "component_id", F.col("n_rows").alias("n")), "components")
+    return join_counted(rows, of_node, node, "n", rows.count()).select(key, "text_hash", node, "component", "component_id")
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per row of ``df``: its key, fingerprint, text_hash, component (a fingerprint) and component_id.
 
@@ -243,22 +258,17 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", distance
     """
     narrow = df.select(F.col(f"`{key}`").alias(key), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("_text"))
     rows = written(with_fingerprint(narrow, "_text", "fp").drop("_text"), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(links(prints.select("fp"), distance)).toDF("fp", "root")
-    placed = prints.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    # A component of very many fingerprints is a hot key too.
-    ids = written(ids, "component-ids")
-    total = prints.count()
-    of_print = written(join_counted(placed.select("fp", F.col("n").alias("n_rows"), "component"), ids, "component", "n", total)
-                       .select("fp", "component", "component_id", F.col("n_rows").alias("n")), "components")
-    return (join_counted(rows, of_print, "fp", "n", rows.count())
-            .select(key, "text_hash", F.col("fp").alias("fingerprint"), "component", "component_id"))
+    found = in_components(rows, lambda prints: links(prints.select("fp"), distance), "fp", key)
+    return found.select(key, "text_hash", F.col("fp").alias("fingerprint"), "component", "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """``df`` with one row of each component: the smallest key (null last), then text hash, then other columns."""
-    found = near_copies(df, key, text, distance)
+    return keep_first(df, near_copies(df, key, text, distance), key, text)
+
+
+def keep_first(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with one row of each component of ``found`` (key, text_hash, component), chosen as in ``keep_one``."""
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("text_hash").alias("hash")))
     winners = written(found.groupBy("component").agg(first.alias("w")).select(
         F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash")), "kept")
