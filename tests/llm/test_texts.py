@@ -66,6 +66,16 @@ def test_own_spans_lie_outside_base_spans():
     assert secret_scan.redacted("a pwd: x9$Qw!7zLm2# b", "[S]") == "a pwd: [S] b"
 
 
+@pytest.mark.parametrize("value", ["Tr0ub4dor&3xyz!Q", "abcdefgh&", "Password1!x?y", "k8fj3kd92!0123456789abcdef0123456789abcdef#z"])
+def test_symbols_behind_a_base_span_are_part_of_the_secret(value):
+    for text in (f'password = "{value}" b', f"password = '{value}' b", f"token={value} b"):
+        assert [s[:3] for s in secret_scan.find_spans(text) if s[0] != "guess"] == plain_spans(text)
+        start = text.index(value)
+        assert [s[1:3] for s in secret_scan.find_spans(text) if s[0] == "guess"] == [(start, start + len(value))]
+        left = secret_scan.redacted(text, "[S]")
+        assert left.startswith("[S]") and left.lstrip("[S]") in ('" b', "' b", " b")
+
+
 @pytest.mark.parametrize("name", ["odd", "odd_wide", "none"])
 def test_scan_of_odd_rows(request, name):
     docs = request.getfixturevalue(name)

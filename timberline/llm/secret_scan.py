@@ -146,7 +146,10 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
-    """All spans by start, then kind; base kinds first, the method's own where no base span lies."""
+    """All spans by start, then kind; base kinds first, the method's own where base spans do not cover the value.
+
+    A value that a base span covers in part is a secret by the base pattern: its span is added whatever it costs.
+    """
     low = text.lower()
     spans = []
     if any(w in low for w in _ASSIGN_WORDS):
@@ -160,9 +163,11 @@ def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
             group = m.lastindex
             start, end = m.span(group)
             at = bisect_right(taken, (end - 1, end)) - 1  # the last base span that starts before the end
-            if at >= 0 and taken[at][1] > start:
+            met = at >= 0 and taken[at][1] > start
+            if met and taken[at][0] <= start and taken[at][1] >= end:
                 continue
-            if (cost := guess_cost(m[group])) >= LEAST_LOG10_GUESSES:
+            cost = guess_cost(m[group])
+            if met or cost >= LEAST_LOG10_GUESSES:
                 spans.append(("guess", start, end, cost))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
