@@ -76,6 +76,24 @@ def test_symbols_behind_a_base_span_are_part_of_the_secret(value):
         assert left.startswith("[S]") and left.lstrip("[S]") in ('" b', "' b", " b")
 
 
+@pytest.mark.parametrize("text, value", [
+    ("DB_PASSWORD=p@55w0rd!#9zK", "p@55w0rd!#9zK"), ('client_secret: "a$b8Kq!zz92"', "a$b8Kq!zz92"), ("api-key: 9f$kQz!77aLm", "9f$kQz!77aLm"),
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ("password is secret: X9$kk!88aa", "X9$kk!88aa"),
+    ("dbPassword=x9$Qw!7zLm2#", "x9$Qw!7zLm2#"), ("my-private-key => 'q,W9$z!k7'", "q,W9$z!k7"), ("SECRET_KEY_BASE=z$Q9!kd7#m", "z$Q9!kd7#m"),
+    ("pwd: " + "a" * 500 + "secret= z$Q9!kd7#m", "z$Q9!kd7#m"),
+])
+def test_prefixed_and_nested_contexts(text, value):
+    start = text.index(value)
+    assert ("guess", start, start + len(value)) in [s[:3] for s in secret_scan.find_spans(text)]
+    assert value not in secret_scan.redacted(text, "[S]")
+
+
+def test_words_around_credential_words_are_no_context():
+    for text in ("the trespass is prohibited", "a compass: northwestern", "Gripass is beautiful", "passage: magnificent"):
+        assert secret_scan.find_spans(text) == []
+    assert len(secret_scan.find_spans("pwd: token:x9$Qw!7zLm2#")) == 1
+
+
 @pytest.mark.parametrize("name", ["odd", "odd_wide", "none"])
 def test_scan_of_odd_rows(request, name):
     docs = request.getfixturevalue(name)

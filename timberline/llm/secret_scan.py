@@ -32,12 +32,19 @@ _ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-# Looser context: more words, "is" as a link, quoted values with any characters but spaces and quotes.
+# Looser context: more words, prefixed (DB_, client-, user) and with suffixes, "is" as a link, quoted values with
+# any characters but spaces and quotes. "compass", "bypass", "surpass" and "trespass" are no credential words.
 _CONTEXT = re.compile(
-    r"(?ai)\b(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:_?key)?|(?:auth|access|bearer)?_?token|api_?key|"
-    r"private_?key|credentials?)[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)"
+    r"(?ai)(?:pass(?:word|wd|phrase|code)|(?<!com)(?<!by)(?<!sur)(?<!tres)pass|pwd|secret|token|api[_-]?key|"
+    r"private[_-]?key|access[_-]?key|credential)s?"
+    r"(?:[_-]?(?:access|key|base|value|text|string|hash|prod|production|dev|test|staging|live|main|primary|secondary|old|new|current|\d{1,3})){0,3}"
+    r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*|(\x20+is\x20+))"
     r"(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;]{6,}))")
-_CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "apikey", "api_key", "privatekey", "private_key", "credential")
+_CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "privatekey", "private_key", "private-key",
+                  "accesskey", "access_key", "access-key", "credential")
+# A value is searched for further contexts from its start, a longer one from so many characters before its end:
+# contexts before those end within the value.
+_RESCANNED = 200
 
 # Words people choose for secrets, commonest first; the place is the number of guesses.
 COMMON_WORDS = (
@@ -159,16 +166,22 @@ def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     spans += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
         taken = _united([(s, e) for _, s, e, _ in spans])
-        for m in _CONTEXT.finditer(text):
-            group = m.lastindex
-            start, end = m.span(group)
-            at = bisect_right(taken, (end - 1, end)) - 1  # the last base span that starts before the end
-            met = at >= 0 and taken[at][1] > start
-            if met and taken[at][0] <= start and taken[at][1] >= end:
+        at, reported = 0, 0
+        while m := _CONTEXT.search(text, at):
+            left = text[m.start() - 1:m.start()]
+            if m[1] and left.isascii() and left.isalnum():
+                at = m.start() + 1  # "is" links whole words only
                 continue
-            cost = guess_cost(m[group])
+            start, end = m.span(m.lastindex)
+            at = max(start, end - _RESCANNED)
+            before = bisect_right(taken, (end - 1, end)) - 1  # the last base span that starts before the end
+            met = before >= 0 and taken[before][1] > start
+            if end <= reported or met and taken[before][0] <= start and taken[before][1] >= end:
+                continue
+            cost = guess_cost(m[m.lastindex])
             if met or cost >= LEAST_LOG10_GUESSES:
                 spans.append(("guess", start, end, cost))
+                reported = end
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
 
