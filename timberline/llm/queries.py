@@ -16,6 +16,7 @@ from timberline.llm import (
     rule_ledger,
     secret_scan,
     simhash_ball,
+    topk_search,
     toxic_segments,
 )
 from timberline.llm.common import in_fold, table, written
@@ -134,6 +135,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_quality_fm": op1_quality_fm,
@@ -146,8 +151,10 @@ def queries() -> dict:
         "op8_lattice_lm": op8_lattice_lm,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_chat_format": op10_chat_format,
+        "op13_topk_search": op13_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rule_ledger": oracles.RULE_LEDGER, "op10_chat_format": oracles.CHAT_FORMAT}
+    return {"op5_rule_ledger": oracles.RULE_LEDGER, "op10_chat_format": oracles.CHAT_FORMAT,
+            "op13_topk_search": oracles.TOPK_SEARCH}
