@@ -55,3 +55,43 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+PHRASE_MINING = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'),
+                             lambda x: x <> '') AS w
+    FROM texts
+), sizes AS (
+    SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+), grams AS (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS pos
+    FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM pieces WHERE len(w) > 0)
+), phrases AS (
+    SELECT lang, w[pos:pos + m - 1] AS words, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), named AS (
+    SELECT lang, array_to_string(words, ' ') AS phrase, words, m, f FROM phrases
+), inner_spans AS (
+    SELECT lang, words, f, m, s, unnest(range(1, m - s + 2)) AS pos
+    FROM (SELECT *, unnest([2, 3]) AS s FROM named WHERE m > 2) WHERE s < m
+), covers AS (
+    SELECT lang, array_to_string(words[pos:pos + s - 1], ' ') AS phrase, max(f) AS cover FROM inner_spans GROUP BY ALL
+), cuts AS (
+    SELECT lang, phrase, f, k, array_to_string(words[1:k], ' ') AS p1, array_to_string(words[k + 1:m], ' ') AS p2
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM named WHERE m > 1)
+), scored AS (
+    SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r,
+           CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+    FROM cuts AS c JOIN named AS l ON l.lang = c.lang AND l.phrase = c.p1 JOIN named AS r ON r.lang = c.lang AND r.phrase = c.p2
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank
+    FROM weakest AS w LEFT JOIN covers AS o ON o.lang = w.lang AND o.phrase = w.phrase
+    WHERE o.cover IS NULL OR 100 * o.cover < 80 * w.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

@@ -10,6 +10,7 @@ from timberline.llm import (
     chat_format,
     lattice_lm,
     oracles,
+    phrase_mining,
     qgram_leaks,
     quality_fm,
     range_shards,
@@ -135,6 +136,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -151,10 +156,11 @@ def queries() -> dict:
         "op8_lattice_lm": op8_lattice_lm,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_chat_format": op10_chat_format,
+        "op12_phrase_mining": op12_phrase_mining,
         "op13_topk_search": op13_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_rule_ledger": oracles.RULE_LEDGER, "op10_chat_format": oracles.CHAT_FORMAT,
-            "op13_topk_search": oracles.TOPK_SEARCH}
+            "op12_phrase_mining": oracles.PHRASE_MINING, "op13_topk_search": oracles.TOPK_SEARCH}
