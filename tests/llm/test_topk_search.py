@@ -77,7 +77,7 @@ def test_search_prunes_without_losing_any():
     q = np.rint(draw.normal(size=(40, 16)) * 30).astype(np.int64)
     ids = draw.permutation(3000).astype(np.int64)
     basis = np.linalg.svd(c.astype(float), full_matrices=False)[2].T
-    best = topk_search.search(q, c, ids, 5, np.full(40, -np.inf), basis, 8)
+    best = topk_search.search(q, c, ids, topk_search.Best(5, np.full(40, -np.inf)), basis, 8)
     for i in range(40):
         want = sorted((-int(s), int(k)) for s, k in zip(c @ q[i], ids))[:5]
         mine = best.query == i

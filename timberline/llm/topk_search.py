@@ -9,7 +9,8 @@ inner product of the leading coordinates plus the product of the remaining lengt
 k-th best score starts from a fixed number of longest candidates, so that most lanes that can't matter
 are never met.
 
-Lanes and blocks are bounded, so is every unit; pairs of numbers of lanes and blocks are joined, never rows.
+Lanes and blocks are bounded, so is every unit; pairs of numbers of lanes and blocks are joined, never rows. The units of
+a block are dealt to chains, and a chain hands its bounds on from lane to lane.
 Equal vectors: k + 1 of the smallest ids stand for all as candidates, since no more can be in a result,
 and as queries they are searched once.
 
@@ -36,8 +37,10 @@ from timberline.llm.common import join_counted, written
 LANE_BYTES = 4 << 20
 LEAST_ROWS = 512
 SPLIT = 32
-# Units that one task works through at most, if there are more than a few for each shuffle partition.
-UNITS_A_TASK = 64
+# A block meets the lanes in chains, each of which goes on from the bounds of its last lane: at least so many
+# chains, and more of them from so many lanes a chain on.
+CHAINS = 16
+LANES_A_CHAIN = 64
 # Candidates looked at in one step of a lane, and longest ones that give the first bounds.
 STEP = 512
 HEAD = 1024
@@ -101,7 +104,7 @@ def leading_basis(candidates: DataFrame, dims: int) -> tuple[np.ndarray, int]:
 class Best:
     """The k best (score, id) of each query so far: larger scores first, then smaller ids."""
 
-    def __init__(self, count: int, k: int, bounds: np.ndarray):
+    def __init__(self, k: int, bounds: np.ndarray):
         self.k, self.bounds = k, bounds.copy()
         self.query, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
 
@@ -131,9 +134,8 @@ def _products(q: np.ndarray, c: np.ndarray, rows: np.ndarray, columns: np.ndarra
     return out
 
 
-def search(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, bounds: np.ndarray, basis: np.ndarray, lead: int) -> Best:
-    """The k best of the candidates ``c``, sorted by descending length, for each query, no worse than its bound."""
-    best = Best(len(q), k, bounds)
+def search(q: np.ndarray, c: np.ndarray, ids: np.ndarray, best: Best, basis: np.ndarray, lead: int) -> Best:
+    """``best`` with the candidates ``c``, sorted by descending length, that are no worse than a query's bound."""
     real_q, real_c = q.astype(np.float64), c.astype(np.float64)
     norm_q, norm_c = np.sqrt((real_q**2).sum(1)), np.sqrt((real_c**2).sum(1))
     exact = max(norm_q.max(initial=0), norm_c.max(initial=0)) ** 2 < _EXACT
@@ -219,7 +221,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
         # One vector more than k: the query itself may be among the best.
         bounds = np.full(len(ids), -np.inf)
         if len(head):
-            bounds = search(data, head, head_ids, k + 1, bounds, basis, lead).bounds
+            bounds = search(data, head, head_ids, Best(k + 1, bounds), basis, lead).bounds
         # Candidates shorter than this can't reach the k-th best score of any query of the block.
         reach = np.where(bounds > 0, bounds / np.sqrt(np.maximum(norm2, 1.0)), 0.0).min()
         return pa.RecordBatch.from_pylist([{
@@ -234,24 +236,35 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec
         queries.repartition(max(1, -(-count_q // rows_q)), "id").select("id", "v", "norm2")
         .mapInArrow(_packed(rows_q, dims, kind, block), "block long, reach double, q_ids binary, q binary, bounds binary"), "topk-blocks")
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, best, q, q_ids = None, None, None, None
+
+        def rows_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["q_id", "id", "score"])
+
         for batch in batches:
             for row in batch.to_pylist():
-                q, c = (np.frombuffer(row[x], kind).reshape(-1, dims) for x in ("q", "c"))
-                q_ids, c_ids = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "c_ids"))
-                best = search(q, c, c_ids, k + 1, np.frombuffer(row["bounds"]), basis, lead)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["q_id", "id", "score"])
+                if chain != (row["block"], row["chain"]):
+                    if chain:
+                        yield rows_of()
+                    chain, best = (row["block"], row["chain"]), Best(k + 1, np.frombuffer(row["bounds"]))
+                    q, q_ids = np.frombuffer(row["q"], kind).reshape(-1, dims), np.frombuffer(row["q_ids"], np.int64)
+                search(q, np.frombuffer(row["c"], kind).reshape(-1, dims), np.frombuffer(row["c_ids"], np.int64), best, basis, lead)
+        if chain:
+            yield rows_of()
 
     # The numbers of the blocks and lanes that must meet are joined first, their bytes afterwards.
     part = F.shiftright("lane", 32)
     ranges = lanes.agg(F.max(part)).first()[0] or 0
+    chains = max(CHAINS, -(-lanes.count() // LANES_A_CHAIN))
     units = written(blocks.select("block", "reach", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges).cast("long"))).alias("part"))
                     .join(lanes.select("lane", "top", part.cast("long").alias("part")), "part")
-                    .where(F.col("top") * (1 + SLACK) >= F.col("reach")).select("block", "lane"), "topk-units")
-    count = units.count()
-    tasks = max(1, min(count, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))), count // UNITS_A_TASK)
-    found = (units.join(blocks.drop("reach"), "block").join(lanes.drop("top"), "lane").repartition(tasks, "block", "lane")
-             .select("q", "c", "q_ids", "c_ids", "bounds").mapInArrow(unit, "q_id long, id long, score long"))
+                    .where(F.col("top") * (1 + SLACK) >= F.col("reach"))
+                    .select("block", "lane", F.pmod(F.xxhash64("lane"), F.lit(chains)).alias("chain")), "topk-units")
+    tasks = max(1, min(blocks.count() * chains, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))), units.count() // LANES_A_CHAIN)
+    found = (units.join(blocks.drop("reach"), "block").join(lanes.drop("top"), "lane").repartition(tasks, "block", "chain")
+             .sortWithinPartitions("block", "chain", "lane").select("block", "chain", "q", "c", "q_ids", "c_ids", "bounds")
+             .mapInArrow(units_of, "q_id long, id long, score long"))
     by_query = Window.partitionBy("q_id").orderBy(F.desc("score"), "id")
     merged = found.withColumn("_n", F.row_number().over(by_query)).where(F.col("_n") <= k + 1)
     hits = merged.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("_n", "id", "score"))).alias("hits"))
