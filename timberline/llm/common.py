@@ -117,10 +117,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lost executors cost a read, not a rerun."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -17,12 +17,14 @@ from timberline.llm import (
     rule_ledger,
     secret_scan,
     simhash_ball,
+    token_alignment,
     topk_search,
     toxic_segments,
 )
 from timberline.llm.common import in_fold, table, written
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 SHARDS = 24
 TOXIC_FROM = 0.7
@@ -136,6 +138,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_BPE), vocabulary_path(PIECES))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents"))
 
@@ -156,6 +162,7 @@ def queries() -> dict:
         "op8_lattice_lm": op8_lattice_lm,
         "op9_bpe_codec": op9_bpe_codec,
         "op10_chat_format": op10_chat_format,
+        "op11_token_alignment": op11_token_alignment,
         "op12_phrase_mining": op12_phrase_mining,
         "op13_topk_search": op13_topk_search,
     }
