@@ -20,7 +20,7 @@ frequent phrase gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,11 @@ COVERS = (80, 100)
 SCALE = 2_000_000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 SLICE_BYTES = 2_000_000
-VOCABULARY = 300_000
+# Texts that wait for others of their group, in slices; rows unpacked and rows sent at a time.
+HELD_SLICES = 4
+ROWS_A_STEP = 256
+ROWS_A_BATCH = 50_000
+VOCABULARY = 150_000
 # Parts of a group that are ranked apart before the group's best are merged.
 RANK_PARTS = 64
 UNKNOWN_GROUP = "und"
@@ -153,26 +157,32 @@ def _slices(buffer: bytes) -> Iterator[tuple[bytes, bool]]:
 
 def token_runs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[str, np.ndarray, int]]:
     """(group, tokens, old): tokens of the texts of a group; the first ``old`` belong to the run before."""
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+
+    def runs(group: str) -> Iterator[tuple[str, np.ndarray, int]]:
+        buffer = b"\n".join(held.pop(group)).lower()  # bytes are lowered in A-Z only
+        del sizes[group]
+        carry: list[bytes] = []
+        for part, goes_on in _slices(buffer):
+            carry = carry if goes_on else []
+            tokens = carry + _tokens(part)
+            yield group, vocabulary.numbers(tokens), len(carry)
+            carry = tokens[-(MOST_WORDS - 1):]
+
     for batch in batches:
-        by_group: dict[str, list[bytes]] = {}
-        for text, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text:
-                by_group.setdefault(group, []).append(text)
-        for group, texts in by_group.items():
-            held, size = [], 0
-            for i, text in enumerate(texts):
-                held.append(text)
-                size += len(text)
-                if size < SLICE_BYTES and i + 1 < len(texts):
-                    continue
-                buffer = b"\n".join(held).lower()  # bytes are lowered in A-Z only
-                held, size = [], 0
-                carry: list[bytes] = []
-                for part, goes_on in _slices(buffer):
-                    carry = carry if goes_on else []
-                    tokens = carry + _tokens(part)
-                    yield group, vocabulary.numbers(tokens), len(carry)
-                    carry = tokens[-(MOST_WORDS - 1):]
+        for at in range(0, batch.num_rows, ROWS_A_STEP):
+            rows = batch.slice(at, ROWS_A_STEP)
+            for text, group in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                if text:
+                    held.setdefault(group, []).append(text)
+                    sizes[group] = sizes.get(group, 0) + len(text)
+                    if sizes[group] >= SLICE_BYTES:
+                        yield from runs(group)
+            while sum(sizes.values()) > HELD_SLICES * SLICE_BYTES:
+                yield from runs(max(sizes, key=sizes.get))
+    for group in list(held):
+        yield from runs(group)
 
 
 def _sampled(known: Bits | None):
@@ -222,16 +232,19 @@ def _counted(known: Bits, before: Bits | None):
         vocabulary = Vocabulary()
         totals: dict[str, np.ndarray] = {}
 
-        def rows(group: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-            groups = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), [group]).cast(pa.string())
-            return pa.RecordBatch.from_arrays([groups, phrases, pa.array(counts.astype(np.int64))], names=["grp", "phrase", "f"])
+        def rows(group: str, phrases: Callable[[np.ndarray], pa.Array], which: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(which), ROWS_A_BATCH):
+                part = slice(at, at + ROWS_A_BATCH)
+                texts = phrases(which[part])
+                groups = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(texts), np.int32)), [group]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([groups, texts, pa.array(counts[part].astype(np.int64))], names=["grp", "phrase", "f"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             texts = vocabulary.texts()
             for group, counts in totals.items():
                 counts[0] = counts.sum()  # number 0, the empty phrase
                 used = np.flatnonzero(counts)
-                yield rows(group, texts.take(pa.array(used)), counts[used])
+                yield from rows(group, lambda which: texts.take(pa.array(which)), used, counts[used])
             totals.clear()
 
         for group, ids, old in token_runs(batches, vocabulary):
@@ -260,8 +273,9 @@ def _counted(known: Bits, before: Bits | None):
                 places = np.flatnonzero(asked)
                 if len(places):
                     shown, counts = distinct_windows(ids, hashes[k], places, k + 1)
-                    words = [texts.take(pa.array(ids[shown - back])) for back in range(k, -1, -1)]
-                    yield rows(group, pc.binary_join_element_wise(*words, " "), counts)
+                    joined = lambda ends: pc.binary_join_element_wise(
+                        *[texts.take(pa.array(ids[ends - back])) for back in range(k, -1, -1)], " ")
+                    yield from rows(group, joined, shown, counts)
                 parts = known.at(hashes[k], both)
                 if past is not None:
                     past = before.at(hashes[k], done)
