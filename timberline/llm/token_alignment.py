@@ -23,11 +23,9 @@ ones. Columns other than key and text are not used. No rows give no rows.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import join_counted, with_text_columns, written
+from timberline.llm.common import chunks, join_counted, with_text_columns, written
 from timberline.llm.perfect_hash import PerfectHash, build
 
 # Distinct pairs that vectors and the broadcast table hold; 16 bytes each.
 MOST_PAIRS = 4_000_000
 # Parts of texts that a task keeps, and pairs that it remembers to have sent.
 CACHED_PARTS = 300_000
-CACHED_IDS = 8_000_000
+CACHED_IDS = 4_000_000
 SENT_PAIRS = 2_000_000
+# Parts handed to the tokenizers at once: what they return of each is large.
+PARTS_AT_ONCE = 4_096
+STEP_CHARS = 500_000
 # Tokens aligned in one step, pairs in a block of a vector, and first-round sums of a block.
-RUN_TOKENS = 1_000_000
+RUN_TOKENS = 500_000
 BLOCK = 65_536
 FIRST_SUMS = 16
 
@@ -68,25 +69,21 @@ class Ragged:
 
     def __init__(self):
         self.data, self.used = np.zeros(1024, np.int32), 0
-        self.starts, self.lengths = [], []
+        self.starts, self.lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def add(self, lists: list[list[int]]) -> None:
-        sizes = [len(x) for x in lists]
-        end = self.used + sum(sizes)
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.used + len(ids)
         if end > len(self.data):
             self.data = np.concatenate([self.data[:self.used], np.zeros(end + len(self.data), np.int32)])
-        self.data[self.used:end] = np.fromiter((i for x in lists for i in x), np.int32, end - self.used)
-        self.starts.append(self.used + np.cumsum([0, *sizes[:-1]])[:len(sizes)])
-        self.lengths.append(np.array(sizes, np.int64))
+        self.data[self.used:end] = ids
+        self.starts.append(self.used + np.cumsum(sizes) - sizes)
+        self.lengths.append(sizes)
         self.used = end
 
-    def frozen(self) -> tuple[np.ndarray, np.ndarray]:
-        self.starts, self.lengths = [np.concatenate(self.starts)], [np.concatenate(self.lengths)]
-        return self.starts[0], self.lengths[0]
-
     def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists ``which`` joined, and their lengths."""
-        starts, lengths = (x[which] for x in self.frozen())
+        self.starts, self.lengths = [np.concatenate(self.starts)], [np.concatenate(self.lengths)]
+        starts, lengths = self.starts[0][which], self.lengths[0][which]
         before = np.cumsum(lengths) - lengths
         return self.data[np.repeat(starts - before, lengths) + np.arange(lengths.sum())], lengths
 
@@ -97,6 +94,7 @@ class TwoTokenizers:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
@@ -107,11 +105,12 @@ class TwoTokenizers:
         a_bytes = {i: bytes(map(letters.__getitem__, t)) if set(t) <= letters.keys() else t.encode() for t, i in self.a.get_vocab().items()}
         self.a_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
+        self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        plan = json.loads(Path(a_path).read_text())
-        before = plan.get("pre_tokenizer") or {}
-        self.by_parts = (plan.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-                         and not before.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in pieces))
+        self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
+        before = self.a.pre_tokenizer
+        self.by_parts = (self.a.normalizer is None and isinstance(before, ByteLevel) and before.use_regex
+                         and not before.add_prefix_space and not any("▁" in p.lstrip("▁") for p in pieces))
         self.empty()
 
     def empty(self) -> None:
@@ -119,21 +118,37 @@ class TwoTokenizers:
         self.a_lists, self.b_lists = Ragged(), Ragged()
         self.good: list[np.ndarray] = []
 
-    def both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each text by A, with a space before it, and by B, which adds it."""
-        if not texts:
-            return [], []
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
-
-    def joins(self, text: str, a: list[int], b: list[int]) -> bool:
-        whole = (" " + text).encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text by A, with a space before it, and by B, which adds it; None if either's tokens do not join to that."""
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        bytes_ = (" " + text).encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != bytes_ or b"".join(map(self.b_bytes.__getitem__, b)) != bytes_:
+            return None
+        return np.array(a, np.int32), np.array(b, np.int32)
 
     def learn(self, parts: list[str]) -> None:
-        a, b = self.both(parts)
-        self.good.append(np.array([self.joins(*x) for x in zip(parts, a, b)], bool))
-        self.a_lists.add(a)
-        self.b_lists.add(b)
+        """Keeps the ids of parts; of those that stand between single spaces many are encoded as one text."""
+        single = [p for p in parts if not self.by_parts or not p or p[0].isspace() or p[-1] == " "]
+        joined = list(set(parts).difference(single))
+        for at in range(0, len(joined), PARTS_AT_ONCE):
+            self._learn_joined(joined[at:at + PARTS_AT_ONCE])
+        for p in single:
+            self._learn_joined([p])
+
+    def _learn_joined(self, parts: list[str]) -> None:
+        ids = self.whole(" ".join(parts))
+        if ids is None and len(parts) > 1:
+            half = len(parts) // 2
+            self._learn_joined(parts[:half])
+            self._learn_joined(parts[half:])
+            return
+        ends = np.cumsum([1 + len(p.encode()) for p in parts])
+        for side, sizes, lists in zip(ids or [np.zeros(0, np.int32)] * 2, (self.a_sizes, self.b_sizes), (self.a_lists, self.b_lists)):
+            # Every part ends where a token ends.
+            last = np.searchsorted(np.cumsum(sizes[side]), ends) + 1 if ids else np.zeros(len(parts), np.int64)
+            lists.add(side, np.diff(last, prepend=0))
+        self.good.append(np.full(len(parts), ids is not None))
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -167,8 +182,7 @@ class TwoTokenizers:
             if good[which[mine]].all():
                 out.append((a[a_at:a_end], b[b_at:b_end]))
             else:  # parts that differ could still join to the whole
-                ids = [x[0] for x in self.both([text])]
-                out.append(tuple(np.array(x, np.int32) for x in ids) if self.joins(text, *ids) else (none, none))
+                out.append(self.whole(text) or (none, none))
             at, a_at, b_at = mine.stop, a_end, b_end
         if len(self.known) > CACHED_PARTS or self.a_lists.used > CACHED_IDS:
             self.empty()
@@ -181,7 +195,7 @@ def encoded(docs: DataFrame, key: str, text: str, a_path: str, b_path: str) -> D
         two = TwoTokenizers(a_path, b_path)
 
         def step(texts: list[str]) -> list[pa.Array]:
-            ids = two.encode(texts)
+            ids = [x for part in chunks(texts, STEP_CHARS) for x in two.encode(part)]
             return [pa.array([x[side].tobytes() for x in ids], pa.binary()) for side in (0, 1)]
 
         return step
@@ -190,6 +204,17 @@ def encoded(docs: DataFrame, key: str, text: str, a_path: str, b_path: str) -> D
     return written(with_text_columns(narrow, "text", [("a", "binary"), ("b", "binary")], make).select("key", "a", "b"), "token-ids", codec="zstd")
 
 
+class Forms:
+    """Written ids: of A with a comma or ``|``, then from ``of_b`` on of B with a comma or ``;``; zeros fill up."""
+
+    def __init__(self, a_count: int, b_count: int):
+        self.of_b = 2 * a_count
+        written = [str(i).encode() + end for count, mark in ((a_count, b"|"), (b_count, b";")) for i in range(count) for end in (b",", mark)]
+        self.sizes = np.array([len(w) for w in written], np.int64)
+        width = int(self.sizes.max())
+        self.letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in written), np.uint8).reshape(-1, width)
+
+
 class Links:
     """The alignment of a run of documents: links, and the documents' groups."""
 
@@ -217,7 +242,7 @@ class Links:
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pairs[1:] != pairs[:-1])])) if len(doc) else np.zeros(0, np.int64)
         return doc[first], pairs[first], np.diff(first, append=len(doc))
 
-    def digests(self, written_a: list[bytes], written_b: list[bytes]) -> list[str]:
+    def digests(self, forms: Forms) -> list[str]:
         """Digest of ``a1,a2|b1;a3|b2,b3``: ids by group, A's before B's."""
         if not len(self.a):
             return [""] * self.docs
@@ -230,18 +255,12 @@ class Links:
         # Written forms come in twos: with a comma, and with the mark that ends A's or B's ids of a group.
         last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
         codes[np.arange(len(self.a)) + before_b[group_a]] = 2 * self.a + last_a
-        codes[np.arange(len(self.b)) + through_a[group_b]] = 2 * self.b + last_b + len(written_a)
-        forms = written_a + written_b
-        out, at = [], 0
-        for n in (self.n_a + self.n_b).tolist():
-            text = b"".join(map(forms.__getitem__, codes[at:at + n].tolist()))
-            out.append(hashlib.sha256(text[:-1]).hexdigest() if n else "")
-            at += n
-        return out
-
-
-def written_ids(count: int, mark: bytes) -> list[bytes]:
-    return [str(i).encode() + end for i in range(count) for end in (b",", mark)]
+        codes[np.arange(len(self.b)) + through_a[group_b]] = 2 * self.b + last_b + forms.of_b
+        shown = forms.letters[codes]
+        text = shown[shown > 0].tobytes()
+        ends = np.concatenate([[0], np.cumsum(forms.sizes[codes])])[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])]
+        # The mark after a document's last id is left out.
+        return [hashlib.sha256(text[at:end - 1]).hexdigest() if end > at else "" for at, end in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], lengths: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[pa.Array, Links]]:
@@ -362,7 +381,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     n_best: links whose pair has the highest count of all pairs of its token of A; count_sum: counts over all links.
     """
     two = TwoTokenizers(a_path, b_path)
-    lengths = tuple(np.array([len(t) for t in side], np.int64) for side in (two.a_bytes, two.b_bytes))
+    lengths = two.a_sizes, two.b_sizes
     sizes = len(two.a_bytes), len(two.b_bytes)
     tokens = encoded(docs, key, text, a_path, b_path)
     pairs = distinct_pairs(tokens, lengths)
@@ -372,11 +391,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     numbered = tokens if look_up else _numbered(tokens)
 
     def run(batches):
-        forms = written_ids(sizes[0], b"|"), written_ids(sizes[1], b";")
+        forms = Forms(*sizes)
         for keys, links in _runs(batches, lengths):
             columns = [pa.array(getattr(links, m), pa.int64()) for m in _MEASURES]
             columns += [pa.array(x) for x in look_up(links)] if look_up else [pa.nulls(links.docs, pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([keys, *columns, pa.array(links.digests(*forms), pa.string())],
+            yield pa.RecordBatch.from_arrays([keys, *columns, pa.array(links.digests(forms), pa.string())],
                                              names=["key", *_MEASURES, "n_best", "count_sum", "groups_sha256"])
 
     fields = ", ".join(f"{m} long" for m in (*_MEASURES, "n_best", "count_sum"))
