@@ -163,7 +163,8 @@ def registered_strategy(spark, sf_dir):
 
 def syslog_year_rollover(spark, sf_dir):
     lines = L.syslog_lines(spark, sf_dir)
-    found = years.year_starts(lines, structuring.syslog_month(F.col("value")))
+    runs = years.syslog_runs(lines, structuring.syslog_month(F.col("value")), in_order=False)
+    found = years.year_starts(runs)
     counted = years.count_year_starts(lines, found).withColumn("_year", F.col("rollovers") + L.FIRST_YEAR)
     entries = structuring.structure(counted, [structuring.syslog(F.col("_year"))])
     return entries.filter("is_valid").select(
@@ -171,7 +172,8 @@ def syslog_year_rollover(spark, sf_dir):
 
 
 def syslog_year_anchor_vote(spark, sf_dir):
-    votes = durable(years.anchor_votes(L.syslog_lines(spark, sf_dir)))
+    lines = L.syslog_lines(spark, sf_dir)
+    votes = durable(years.anchor_votes(years.syslog_runs(lines, structuring.syslog_month(F.col("value")), in_order=False)))
     # One row per file on the elected side: measured before it is broadcast.
     return lookup_join(votes.withColumn("line_id", F.col("year").cast("bigint")), durable(years.elect_year(votes)),
                        ["path"]).select(F.col("path").alias("source"), "year", "votes", "content_year")

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from timberline import AnalysisRequest, LogFilter, Strategy, TimeRange, analyze
 from timberline.operators import structuring
+from timberline.plans import analysis
+from timberline.plans.durable import durable
 from timberline.sinks import exports
+from timberline.sources import text_lines
 from timberline.sources.text_lines import file_head_sample, read_lines
 
 LEVELS = {"INFO": 21, "TRACE": 4, "WARNING": 11, "ERROR": 6, "CRITICAL": 5}
@@ -50,9 +54,9 @@ def test_counts_of_a_file(spark, harbour):
     assert pairs(run.level_series) == LEVELS
 
 
-@pytest.mark.parametrize("named", [10_000, 0])
-def test_mixed_formats_in_request_order(spark, harbour, syslog, tmp_path, monkeypatch, named):
-    monkeypatch.setattr("timberline.plans.analysis.NAMED_FILES", named)
+@pytest.mark.parametrize("marks", [1 << 20, 1])
+def test_mixed_formats_in_request_order(spark, harbour, syslog, tmp_path, monkeypatch, marks):
+    monkeypatch.setattr("timberline.sources.text_lines.MOST_MARKS", marks)
     empty = tmp_path / "empty.log"
     empty.write_text("")
     plain = tmp_path / "plain.txt"
@@ -293,3 +297,72 @@ def test_plans(spark, harbour):
     message, level = plan.index("(?s)^(?:.{0,99}"), plan.index("(?i:")
     first, second = plan.index(") Filter "), plan.rindex(") Filter ")
     assert message < first < level < second < plan.index("(?s)^.*?\\d{4}")
+
+
+def test_a_head_is_read_without_the_rest(spark, tmp_path):
+    """20 lines of files of several megabytes, one with lines longer than a read, one compressed."""
+    import gzip
+
+    sizes = {}
+    for i in range(3):
+        path = tmp_path / f"big{i}.log"
+        path.write_text("".join(f"2024-01-01 00:00:00 INFO line {k} of {i}\n" for k in range(300_000)))
+        sizes[path.name] = path.stat().st_size
+    (tmp_path / "wide.log").write_text("".join(f"{k}" + "x" * 90_000 + "\r\n" for k in range(30)))
+    (tmp_path / "few.log").write_bytes("﻿one\r\n\ntwo".encode())
+    with gzip.open(tmp_path / "zipped.log.gz", "wt") as f:
+        f.write("packed\n" * 30)
+    files = text_lines.input_files(spark, [str(tmp_path)])
+    assert files.count() == 6
+    heads = text_lines.read_heads(files, 20).collect()
+    taken = {os.path.basename(r.path): r.head_bytes for r in heads}
+    assert all(taken[name] <= 0.01 * size for name, size in sizes.items())
+    by_file = {}
+    for r in sorted(file_head_sample(spark, [str(tmp_path)]).collect(), key=lambda r: r.line_id):
+        by_file.setdefault(r.source, []).append(r.value)
+    assert by_file["big1.log"] == [f"2024-01-01 00:00:00 INFO line {k} of 1" for k in range(20)]
+    assert by_file["wide.log"] == [f"{k}" + "x" * 90_000 for k in range(20)]
+    assert by_file["few.log"] == ["one", "", "two"] and by_file["zipped.log.gz"] == ["packed"] * 20
+
+
+def test_files_that_cannot_be_opened_are_scanned(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_text("".join(f"line {k}\n" for k in range(50)))
+    (tmp_path / "b.log").write_text("only\n")
+    closed = lambda files, count: files.select("path", F.when(F.col("path").endswith("b.log"), F.lit(0).cast("long")).alias("line_id"),
+                                               F.lit("only").alias("value"), F.lit(0).alias("head_bytes"))
+    monkeypatch.setattr(text_lines, "read_heads", closed)
+    rows = file_head_sample(spark, [str(tmp_path)]).collect()
+    assert sorted(r.value for r in rows if r.source == "a.log") == sorted(f"line {k}" for k in range(20))
+    assert [r.value for r in rows if r.source == "b.log"] == ["only"]
+
+
+def test_scans_open_only_the_files_asked_for(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}.log").write_text(f"line of {i}\n" * 2000)
+    wanted = durable(text_lines.input_files(spark, [str(tmp_path)]).filter(F.col("path").rlike("f(3|17)[.]log$")).select("path"))
+    lines = read_lines(spark, [str(tmp_path)], only=wanted)
+    assert {r.source: r["count"] for r in lines.groupBy("source").count().collect()} == {"f3.log": 2000, "f17.log": 2000}
+    bare = read_lines(spark, [str(tmp_path)])
+    marks = text_lines.file_marks(wanted)
+    kept = bare.select("path").distinct().filter(F.substr(F.lit(marks), text_lines._mark(F.col("path"), len(marks)) + 1, F.lit(1)) == "1")
+    assert kept.count() <= 8
+
+
+def test_one_preparatory_scan_of_syslog_files(spark, tmp_path, monkeypatch):
+    """Years by votes of the content: the files are read twice, for the months and for the entries."""
+    (tmp_path / "door.log").write_text("".join(f"{m} {d:2d} 06:30:00 gate2 badge[9]: in {f'Fri {m} {d} 06:30:00 1979' if d == 7 else ''}\n"
+                                               for m in ("Oct", "Feb", "Nov", "Jan") for d in range(1, 28)))
+    scans = []
+    real = text_lines.read_lines
+    monkeypatch.setattr(analysis, "read_lines", lambda *a, **k: scans.append(1) or real(*a, **k))
+    run = analyze(spark, AnalysisRequest(str(tmp_path / "door.log")))
+    assert run.formats.first().year_origin == "auto"
+    assert sorted({r.ts.year for r in run.entries.collect()}) == [1978, 1979, 1980]
+    assert len(scans) == 2
+
+
+@pytest.mark.parametrize("glob, path, hit", [
+    ("/a/*.log", "/a/b.log", True), ("/a/*.log", "/a/b/c.log", False), ("/a/?.l[o-p]g", "/a/x.log", True), ("/a/[!x].log", "/a/x.log", False),
+    ("/a/{b,c?}/d", "/a/cx/d", True), ("/a/{b,c?}/d", "/a/c/d", False), ("/a+b/(c)", "/a+b/(c)", True), ("/a/\\*.log", "/a/*.log", True)])
+def test_globs_stay_inside_names(glob, path, hit):
+    assert bool(re.search(text_lines._glob_pattern(glob), path)) == hit

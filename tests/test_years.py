@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline import AnalysisRequest, analyze
-from timberline.operators import years
+from timberline.operators import structuring, years
 from timberline.plans import durable
 from timberline.sources.text_lines import read_lines, table_lines
 
@@ -18,6 +18,14 @@ def write(tmp_path, name, lines):
     return str(path)
 
 
+def runs_of(lines):
+    return years.syslog_runs(lines, structuring.syslog_month(F.col("value")), in_order=False)
+
+
+def runs_of_months(lines, in_order=False):
+    return years.month_runs(lines, F.col("m"), F.lit(None), F.lit(None).cast("string"), in_order)
+
+
 def years_of(spark, path, **options):
     run = analyze(spark, AnalysisRequest(path, **options))
     return [r.ts.year for r in run.sorted().collect()], run.formats.first()
@@ -84,7 +92,7 @@ def test_anchor_rules(spark):
     ]
     df = spark.createDataFrame(list(enumerate(rows)), "n int, v string")
     lines = table_lines(df, F.col("v"), F.lit("f"), F.col("n"), F.lit(0))
-    votes = {r.year: r.votes for r in years.anchor_votes(lines).collect()}
+    votes = {r.year: r.votes for r in years.anchor_votes(runs_of(lines)).collect()}
     assert votes == {2001: 1, 2002: 2}
     tie = spark.createDataFrame([("f", 2005, 3), ("f", 2003, 3), ("f", 2001, 1)], "path string, year int, votes long")
     assert years.elect_year(tie).first()[1] == 2003
@@ -114,7 +122,7 @@ def test_rollovers_equal_a_sequential_count(spark, limit, kind):
         data += [(path, i // 2500, i, m) for i, m in enumerate(months)]
     rng.shuffle(data)
     lines = spark.createDataFrame(data, "path string, block long, line_id long, m int")
-    rows = years.count_year_starts(lines, years.year_starts(lines, F.col("m")), limit).filter("m is not null").collect()
+    rows = years.count_year_starts(lines, years.year_starts(runs_of_months(lines)), limit).filter("m is not null").collect()
     assert len(rows) == sum(r[3] is not None for r in data)
     for r in rows:
         assert r.rollovers == want[r.path][r.line_id]
@@ -123,9 +131,30 @@ def test_rollovers_equal_a_sequential_count(spark, limit, kind):
 def test_chunks_hold_many_lines_however_sparse_the_ids(spark):
     lines = spark.range(40_000).select(F.lit("f").alias("path"), F.shiftright("id", 14).alias("block"),
                                        (F.col("id") * 1_000_003 + F.col("id") % 7).alias("line_id"), (F.col("id") / 4000 + 1).cast("int").alias("m"))
-    found = years.year_starts(lines, F.col("m"))
-    assert found.chunks.count() <= 400 and found.starts.count() == 0
-    assert years.count_year_starts(lines, found).filter("rollovers <> 0").count() == 0
+    found = years.year_starts(runs_of_months(lines))
+    assert years._chunks(found.blocks)[0].count() <= 400 and found.starts.count() == 0
+    for limit in (None, -1):
+        assert years.count_year_starts(lines, found, limit).filter("rollovers <> 0").count() == 0
+
+
+def test_runs_join_over_batches_and_splits(spark):
+    """Runs of any length, cut anywhere, give the falls of the whole."""
+    rng = random.Random(4)
+    months = [rng.choice([None, rng.randint(1, 12)]) for _ in range(500)]
+    want, previous = set(), None
+    for i, m in enumerate(months):
+        if m:
+            if previous and previous - m >= 6:
+                want.add(i)
+            previous = m
+    for cut in (1, 7, 499):
+        lines = spark.createDataFrame([("f", i // cut, i, m) for i, m in enumerate(months)], "path string, block long, line_id long, m int")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+        try:
+            found = years.year_starts(runs_of_months(lines))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {r.line_id for r in found.starts.collect()} == want
 
 
 def test_many_splits_give_the_same_years(spark, tmp_path):

@@ -2,26 +2,31 @@
 
 Inside a file the year goes up by one wherever the month falls back by six or more from
 one syslog line to the next. Finding those places needs the order of the lines, but not a
-task per file: almost everywhere a stretch of lines stays within five months, and then only
-its ends matter. So the lines are first reduced, inside each scan task, to one row per chunk
-of line ids, which holds about 1024 lines. Only chunks whose months lie far enough apart are looked at line by line,
-chunk ends are compared inside their block, and block ends inside their file. What comes out
-is the short list of lines at which a year begins.
+task per file, and one pass: a run of lines is summed up by its first month, its last month and the falls
+inside it, and two runs that follow each other join to one, with one more fall where the last month of the
+first lies six or more behind the first month of the second. Scan tasks sum up the blocks that they read;
+what is left is one short row for each block and batch. The pass does so for both kinds of month a line can
+have at once, as a whole syslog line and by its head alone, and keeps the rare lines with a full date.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from timberline.functions.text import MONTH_PATTERN, month_number
 from timberline.plans import durable as tables
 
 ROLLOVER_MONTHS = 6
-# Lines of a chunk, as a power of two; also the width of a chunk where ids have no gaps.
+# Lines of a chunk, as a power of two, where lines have to be joined with the year starts before them.
 CHUNK_BITS = 10
 
 YEAR_MIN, YEAR_MAX = 1000, 9999
@@ -36,12 +41,21 @@ _ANCHOR = (
 _CHUNK = ["path", "block", "chunk"]
 
 
+# What a run of lines comes to, for each kind of month: ``_first`` and ``_last`` months, the id of the line of
+# the first, and the ids of the lines at which a year starts inside it.
+KINDS = ("line", "head")
+_RUN = pa.schema([
+    ("path", pa.string()), *[(n, pa.int64()) for n in ("block", "part", "first_id", "last_id", "lines")],
+    *[f for k in KINDS for f in ((f"{k}_first", pa.int32()), (f"{k}_last", pa.int32()), (f"{k}_id", pa.int64()), (f"{k}_starts", pa.list_(pa.int64())))],
+    ("dated", pa.list_(pa.struct([("line_id", pa.int64()), ("value", pa.string())]))),
+])
+
+
 class YearStarts(NamedTuple):
-    """Written tables: ``starts`` (path, block, chunk, line_id) and ``chunks``, 2^bits line ids each."""
+    """Written tables: ``starts`` (path, block, line_id), and ``blocks`` (path, block, first_id, last_id, lines)."""
 
     starts: DataFrame
-    chunks: DataFrame
-    bits: int
+    blocks: DataFrame
 
 
 def prefix_month(text: Column) -> Column:
@@ -60,65 +74,104 @@ def local_year(moment: Column, zone: str) -> Column:
     return F.year(F.convert_timezone(None, F.lit(zone), moment))
 
 
-def chunk_bits(lines: DataFrame) -> int:
-    """Width of a chunk, as a power of two of line ids, that holds about 1024 of these lines.
-
-    The gaps between ids are measured: the id range of the blocks over their lines.
-    """
-    blocks = lines.groupBy("path", "block").agg(
-        F.count("*").alias("n"), (F.max("line_id") - F.min("line_id") + 1).cast("double").alias("width"))
-    total = blocks.agg(F.sum("n").alias("n"), F.sum("width").alias("width")).first()
-    gap = total.width / total.n if total.n else 1.0
-    return min(62, CHUNK_BITS + max(0, round(math.log2(gap))))
-
-
-def _chunks(lines: DataFrame) -> DataFrame:
-    """Ends and spread of the months of each chunk; lines without a month do not count."""
-    return lines.filter(F.col("_month").isNotNull()).groupBy(_CHUNK).agg(
-        F.min("line_id").alias("first_id"),
-        F.min_by("_month", "line_id").alias("first_month"),
-        F.max_by("_month", "line_id").alias("last_month"),
-        (F.max("_month") - F.min("_month")).alias("spread"),
-    )
+class _Side:
+    """The months of one kind in the run that is being read."""
 
+    def __init__(self, before: int):
+        self.first, self.last, self.id, self.starts = 0, before, None, []
 
-def _falls(rows: DataFrame, group: list[str], order: str, first: str, last: str) -> DataFrame:
-    """Rows whose first month lies six or more behind the last month of the row before."""
-    before = F.lag(last).over(Window.partitionBy(*group).orderBy(order))
-    return rows.withColumn("_before", before).filter(
-        F.col("_before") - F.col(first) >= ROLLOVER_MONTHS)
+    def add(self, months: np.ndarray, ids: np.ndarray) -> None:
+        counted = np.flatnonzero(months)
+        if not len(counted):
+            return
+        months, ids = months[counted], ids[counted]
+        if not self.first:
+            self.first, self.id = int(months[0]), int(ids[0])
+        falls = np.concatenate([[self.last], months[:-1]]) - months >= ROLLOVER_MONTHS
+        self.starts += ids[falls].tolist()
+        self.last = int(months[-1])
 
 
-def year_starts(lines: DataFrame, month: Column, bits: int | None = None) -> YearStarts:
-    """The lines at which a new year begins, with the chunk table they were found with.
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ``path, block, line_id, line, head, dated``, whose rows come block by block in order.
 
-    ``month`` is NULL on lines that do not count. ``bits`` is the width of a chunk;
-    it is measured unless given, as it is for files, whose lines are numbered without gaps.
+    A block has one row for each batch that it reaches into; only the first one's first month counts as such.
     """
-    bits = chunk_bits(lines) if bits is None else bits
-    lines = lines.select(
-        "path", "block", "line_id", month.alias("_month"),
-        F.shiftright("line_id", bits).alias("chunk"))
-    chunks = tables.durable(_chunks(lines))
-    key = ["path", "block", "chunk", F.col("first_id").alias("line_id")]
-
-    starts = _falls(chunks, ["path", "block"], "chunk", "first_month", "last_month").select(*key)
-    blocks = chunks.groupBy("path", "block").agg(
-        F.min("chunk").alias("chunk"),
-        F.min_by("first_id", "chunk").alias("first_id"),
-        F.min_by("first_month", "chunk").alias("first_month"),
-        F.max_by("last_month", "chunk").alias("last_month"),
-    )
-    starts = starts.unionByName(
-        _falls(blocks, ["path"], "block", "first_month", "last_month").select(*key))
-
-    wide = chunks.filter(F.col("spread") >= ROLLOVER_MONTHS).select(_CHUNK)
-    if not wide.isEmpty():
-        inside = tables.lookup_join(lines, wide, _CHUNK, how="left_semi").filter(
-            F.col("_month").isNotNull())
-        starts = starts.unionByName(
-            _falls(inside, _CHUNK, "line_id", "_month", "_month").select(*_CHUNK, "line_id"))
-    return YearStarts(tables.durable(starts), chunks, bits)
+    place, part = None, 0
+    before = [0, 0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, block = batch.column(0), batch.column(1)
+        changed = np.ones(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            same = pc.and_(pc.equal(path[1:], path[:-1]), pc.equal(block[1:], block[:-1]))
+            changed[1:] = ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
+        ids = np.asarray(batch.column(2))
+        months = [np.asarray(pc.fill_null(batch.column(3 + k), 0)) for k in range(2)]
+        dated = np.flatnonzero(np.asarray(batch.column(5).is_valid().to_numpy(zero_copy_only=False)))
+        begins = np.flatnonzero(changed)
+        rows = []
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+            here = (path[begin].as_py(), block[begin].as_py())
+            if here != place:
+                place, part, before = here, 0, [0, 0]
+            row = {"path": here[0], "block": here[1], "part": part, "first_id": int(ids[begin]), "last_id": int(ids[end - 1]), "lines": end - begin}
+            for k, name in enumerate(KINDS):
+                side = _Side(before[k])
+                side.add(months[k][begin:end], ids[begin:end])
+                row |= {f"{name}_first": side.first or None, f"{name}_last": side.last if side.first else None,
+                        f"{name}_id": side.id, f"{name}_starts": side.starts}
+                before[k] = side.last
+            mine = dated[np.searchsorted(dated, begin):np.searchsorted(dated, end)]
+            row["dated"] = [{"line_id": int(ids[i]), "value": batch.column(5)[int(i)].as_py()} for i in mine]
+            rows.append(row)
+            part += 1
+        yield pa.RecordBatch.from_pylist(rows, _RUN)
+
+
+def month_runs(lines: DataFrame, line: Column, head: Column, dated: Column, in_order: bool) -> DataFrame:
+    """The written runs of ``lines``, from one pass over them.
+
+    ``line`` and ``head`` are the months by the two kinds, NULL on lines that do not count, and ``dated`` is the
+    text of a line with a full date. ``in_order`` says that every block lies in one split, in the order of
+    its lines, as files do; the months of others are put in order first, without their texts.
+    """
+    narrow = lines.select("path", "block", "line_id", line.cast("int").alias("line"), head.cast("int").alias("head"), dated.alias("dated"))
+    narrow = narrow.filter(F.coalesce("line", "head").isNotNull())
+    if not in_order:
+        narrow = narrow.repartition("path", "block").sortWithinPartitions("path", "block", "line_id")
+    tables.importable(lines.sparkSession)
+    return tables.durable(narrow.mapInArrow(_summed_up, from_arrow_schema(_RUN)))
+
+
+def syslog_runs(lines: DataFrame, line: Column, in_order: bool) -> DataFrame:
+    """The same for lines with a text: by the whole line, and by its head, with the lines that hold a full date."""
+    value = F.col("value")
+    return month_runs(lines, line, prefix_month(value), F.when(value.rlike(_PREFIX) & value.rlike(_ANCHOR), value), in_order)
+
+
+def year_starts(runs: DataFrame, kind: str = "line") -> YearStarts:
+    """The lines at which a new year begins, by one kind of month."""
+    first, last, at = (F.col(f"{kind}_{x}") for x in ("first", "last", "id"))
+    counted = F.when(first.isNotNull(), F.col("part"))
+    blocks = runs.groupBy("path", "block").agg(
+        F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("lines").alias("lines"),
+        F.min_by(first, counted).alias("first"), F.min_by(at, counted).alias("id"), F.max_by(last, counted).alias("last"))
+    inside = runs.select("path", "block", F.explode(f"{kind}_starts").alias("line_id"))
+    # Blocks without months do not count.
+    before = F.lag("last").over(Window.partitionBy("path").orderBy("block"))
+    ends = blocks.filter(F.col("first").isNotNull()).withColumn("_before", before).filter(F.col("_before") - F.col("first") >= ROLLOVER_MONTHS)
+    starts = inside.unionByName(ends.select("path", "block", F.col("id").alias("line_id")))
+    return YearStarts(tables.durable(starts), tables.durable(blocks.select("path", "block", "first_id", "last_id", "lines")))
+
+
+def _chunks(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """``path, block, chunk``: chunks of 2^bits ids, which hold about 1024 lines as the ids are spread, and the bits."""
+    total = blocks.agg(F.sum("lines").alias("n"), F.sum((F.col("last_id") - F.col("first_id") + 1).cast("double")).alias("width")).first()
+    bits = min(62, CHUNK_BITS + max(0, round(math.log2(total.width / total.n)))) if total.n else CHUNK_BITS
+    chunk = F.explode(F.sequence(F.shiftright("first_id", bits), F.shiftright("last_id", bits)))
+    return blocks.select("path", "block", chunk.alias("chunk")), bits
 
 
 def count_year_starts(lines: DataFrame, found: YearStarts, limit: int | None = None) -> DataFrame:
@@ -128,7 +181,7 @@ def count_year_starts(lines: DataFrame, found: YearStarts, limit: int | None = N
     each line is placed in its file's list by halving. Where they do not fit, each chunk gets the
     count before it and the starts inside it, and lines meet their chunk in a shuffle join.
     """
-    starts, chunks, bits = found
+    starts, blocks = found
     place = F.struct(F.col("block"), F.col("line_id"))
     limit = tables.BROADCAST_BYTES if limit is None else limit
     if tables.measured_bytes(starts) <= limit:
@@ -146,35 +199,33 @@ def count_year_starts(lines: DataFrame, found: YearStarts, limit: int | None = N
         return joined.withColumn("rollovers", F.coalesce(
             F.aggregate("_halves", F.lit(0), step), F.lit(0))).drop("_starts", "_halves")
 
-    inside = starts.groupBy(_CHUNK).agg(F.array_sort(F.collect_list("line_id")).alias("_starts"))
-    own = chunks.select(_CHUNK).join(inside, _CHUNK, "left").withColumn(
-        "_n", F.coalesce(F.size("_starts"), F.lit(0)))
-    blocks = own.groupBy("path", "block").agg(F.sum("_n").alias("_n"))
+    chunks, bits = _chunks(blocks)
+    inside = starts.withColumn("chunk", F.shiftright("line_id", bits)).groupBy(_CHUNK).agg(
+        F.array_sort(F.collect_list("line_id")).alias("_starts"))
+    own = chunks.join(inside, _CHUNK, "left").withColumn("_n", F.coalesce(F.size("_starts"), F.lit(0)))
+    sums = own.groupBy("path", "block").agg(F.sum("_n").alias("_n"))
     ahead = lambda *group, by: F.coalesce(F.sum("_n").over(
         Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carry = blocks.withColumn("_carry", ahead("path", by="block")).drop("_n")
+    carry = sums.withColumn("_carry", ahead("path", by="block")).drop("_n")
     base = (
         own.withColumn("_inner", ahead("path", "block", by="chunk"))
         .join(carry, ["path", "block"])
         .select(*_CHUNK, (F.col("_carry") + F.col("_inner")).cast("int").alias("_base"), "_starts")
     )
-    # Lines of a chunk without any month are not in the table: they do not get a year either.
+    # Lines before the first month of a block or behind its last are not in the table: they do not get a year either.
     joined = lines.withColumn("chunk", F.shiftright("line_id", bits)).join(base, _CHUNK, "left")
     own_starts = F.coalesce(F.size(F.filter("_starts", lambda s: s <= F.col("line_id"))), F.lit(0))
     return joined.withColumn("rollovers", F.coalesce("_base", F.lit(0)) + own_starts).drop(
         "chunk", "_base", "_starts")
 
 
-def anchor_votes(lines: DataFrame, bits: int | None = None) -> DataFrame:
+def anchor_votes(runs: DataFrame) -> DataFrame:
     """``path, year, votes``: first years suggested by full dates inside the lines.
 
     A date counts if its month, day and time repeat the head of its own line; what it
     suggests is its year less the year starts of the file up to that line.
     """
-    found_starts = year_starts(lines, prefix_month(F.col("value")), bits)
-    # Lines without a full date are dropped before the year starts are counted.
-    dated = lines.filter(F.col("value").rlike(_PREFIX) & F.col("value").rlike(_ANCHOR))
-    dated = count_year_starts(dated, found_starts)
+    dated = count_year_starts(runs.select("path", "block", F.explode("dated").alias("_d")).select("path", "block", "_d.*"), year_starts(runs, "head"))
     head = lambda n: F.regexp_extract("value", _PREFIX, n)
     found = lambda n: F.regexp_extract_all("value", F.lit(_ANCHOR), F.lit(n))
     dates = dated.select(

@@ -19,10 +19,6 @@ from timberline.sinks import exports
 from timberline.sources.text_lines import base_name, file_head_sample, file_order, input_files, read_lines, with_file_order
 
 
-# Most files a scan is told apart by name; beyond it lines look up their file in a join.
-NAMED_FILES = 10_000
-
-
 @dataclass(frozen=True)
 class AnalysisRequest:
     """What to read and how. Everything that can be wrong is rejected here or by ``Analysis``,
@@ -96,18 +92,12 @@ class Analysis:
         """One row per input file. Only names and file status are read, not content."""
         if not self._from_files:
             return self.lines.groupBy("path", "source").agg(F.max("file_mtime").alias("file_mtime"))
-        paths = self.request.path_list
-        meta = lambda name: F.col(f"_metadata.{name}")
-        status = self.spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select(
-            meta("file_path").alias("path"), meta("file_modification_time").alias("file_mtime"))
-        names = self.spark.createDataFrame([(p,) for p in input_files(self.spark, paths)], "path string")
-        # The status scan skips empty files; they still count as files of the run.
-        return names.join(status, "path", "left").withColumn(
-            "source", base_name(F.substring_index("path", "/", -1)))
+        return input_files(self.spark, self.request.path_list).select(
+            "path", "file_mtime", base_name(F.substring_index("path", "/", -1)).alias("source"))
 
     @cached_property
-    def formats(self) -> DataFrame:
-        """One row per file: ``path, source, format, detected, label, start_year, year_origin``."""
+    def _detected(self) -> DataFrame:
+        """Written: ``path, source, file_mtime, format, detected`` of each file."""
         r, strategies = self.request, self._strategies
         if len(strategies) == 1:
             only = F.lit(strategies[0].name)
@@ -123,9 +113,13 @@ class Analysis:
                 "format": F.coalesce("format", F.lit(detection.default_format(strategies))),
                 "detected": F.coalesce("detected", F.lit(detection.UNKNOWN_FORMAT)),
             })
-        table = durable(table.select("path", "source", "file_mtime", "format", "detected"))
-        dated = years.start_years(table, r.syslog_year, r.local_zone, r.current_year,
-                                  self._content_years(table))
+        return durable(table.select("path", "source", "file_mtime", "format", "detected"))
+
+    @cached_property
+    def formats(self) -> DataFrame:
+        """One row per file: ``path, source, format, detected, label, start_year, year_origin``."""
+        r, strategies, table = self.request, self._strategies, self._detected
+        dated = years.start_years(table, r.syslog_year, r.local_zone, r.current_year, self._content_years)
         is_syslog = F.col("format") == SYSLOG
         return durable(dated.select(
             "path", "source", "format", "detected",
@@ -134,68 +128,56 @@ class Analysis:
             F.when(is_syslog, F.col("year_origin")).alias("year_origin"),
         ))
 
-    def _content_years(self, formats: DataFrame) -> DataFrame | None:
-        """Start years voted for by the content, for the syslog files nothing else decides."""
-        if self.request.syslog_year is not None:
-            return None
-        open_files = formats.filter(
-            (F.col("format") == SYSLOG) & years.file_name_year(F.col("source")).isNull()).select("path")
-        named = self._named_files(open_files)
-        if named is not None:
-            if not named:
-                return None
-            lines = read_lines(self.spark, self.request.path_list, only=[row.path for row in named])
-        elif open_files.isEmpty():
+    def _lines_of(self, files: DataFrame) -> DataFrame:
+        """Lines of the files of a written table, with its other columns."""
+        if self._from_files:
+            return read_lines(self.spark, self.request.path_list, only=files)
+        return lookup_join(self.lines, files, ["path"], how="inner")
+
+    @cached_property
+    def _runs(self) -> DataFrame | None:
+        """The month runs of all syslog files, from the one pass that their years take; None without such files."""
+        files = durable(self._detected.filter(F.col("format") == SYSLOG).select("path"))
+        if files.isEmpty():
             return None
-        else:
-            lines = lookup_join(self.lines, open_files, ["path"], how="left_semi")
-        return years.elect_year(years.anchor_votes(lines, self._chunk_bits))
+        return years.syslog_runs(self._lines_of(files), structuring.syslog_month(F.col("value")), self._from_files)
 
     @property
-    def _chunk_bits(self) -> int | None:
-        return years.CHUNK_BITS if self._from_files else None
-
-    def _named_files(self, files: DataFrame) -> list | None:
-        """Rows of a per-file table if they are few enough to name in a scan, else None."""
-        if not self._from_files:
+    def _content_years(self) -> DataFrame | None:
+        """Start years voted for by the content, for the syslog files nothing else decides."""
+        if self.request.syslog_year is not None or SYSLOG not in {s.name for s in self._strategies}:
+            return None
+        unnamed = self._detected.filter((F.col("format") == SYSLOG) & years.file_name_year(F.col("source")).isNull())
+        if unnamed.isEmpty():
             return None
-        rows = files.limit(NAMED_FILES + 1).collect()
-        return rows if len(rows) <= NAMED_FILES else None
+        return years.elect_year(years.anchor_votes(self._runs))
 
     @cached_property
     def _groups(self) -> list[tuple[DataFrame, list[Strategy]]]:
         """Lines with the strategies they need, and with format and year where those need it.
 
-        Usually one group per format, each a scan of its own files, so that a strategy and the
-        passes it takes touch no others. Too many files of other than the default format to be
-        named, and lines from a table, make one group in which each line looks up its format.
+        Files make one group per format, each a scan of its own files, so that a strategy touches no
+        others. Lines from a table make one group in which each line looks up its format.
         """
-        strategies, paths = self._strategies, self.request.path_list
+        strategies = self._strategies
         if len(strategies) == 1 and strategies[0].name != SYSLOG:
             return [(self.lines, strategies)]
-        default = detection.default_format(strategies)
-        # Most files have the default format: only the others are looked up.
-        others = self.formats.filter(
-            (F.col("format") != default) | (F.col("format") == SYSLOG)).select("path", "format", "start_year")
-        named = self._named_files(others)
-        if named is not None:
+        files = self.formats.select("path", "format", "start_year")
+        used = {r.format for r in files.select("format").distinct().collect()}
+        if self._from_files:
             groups = []
             for s in strategies:
-                mine = [row.path for row in named if row.format == s.name]
-                if mine:
-                    lines = read_lines(self.spark, paths, only=mine)
-                    groups.append((self._with_years(lookup_join(
-                        lines, others, ["path"])) if s.name == SYSLOG else lines, [s]))
-            if default != SYSLOG:
-                groups.insert(0, (read_lines(self.spark, paths, without=[row.path for row in named]),
-                                  strategies[:1]))
-            return groups
-        lines = lookup_join(self.lines, others, ["path"]).withColumn(
-            "format", F.coalesce("format", F.lit(default)))
-        has_syslog = not others.filter(F.col("format") == SYSLOG).isEmpty()
-        if not has_syslog:
-            strategies = [s for s in strategies if s.name != SYSLOG]
-        return [(self._with_years(lines) if has_syslog else lines, strategies)]
+                if s.name in used:
+                    lines = self._lines_of(durable(files.filter(F.col("format") == s.name)))
+                    groups.append((self._with_years(lines) if s.name == SYSLOG else lines, [s]))
+            # Without any file there is still a frame of the right columns.
+            return groups or [(self.lines, strategies[:1])]
+        default = detection.default_format(strategies)
+        # Most files have the default format: only the others are looked up.
+        others = files.filter((F.col("format") != default) | (F.col("format") == SYSLOG))
+        lines = lookup_join(self.lines, others, ["path"]).withColumn("format", F.coalesce("format", F.lit(default)))
+        strategies = [s for s in strategies if s.name in used] or strategies[:1]
+        return [(self._with_years(lines) if SYSLOG in used else lines, strategies)]
 
     def _structured(self, keep: LogFilter | None, counts: Sequence[Observation | None] | None = None) -> DataFrame:
         parts = [structuring.structure(lines, strategies, keep=keep, count=count)
@@ -216,8 +198,9 @@ class Analysis:
         return self._structured(None).withColumn("passed", self.request.filter.predicate(message=None))
 
     def _with_years(self, tagged: DataFrame) -> DataFrame:
-        month = F.when(F.col("format") == SYSLOG, structuring.syslog_month(F.col("value")))
-        counted = years.count_year_starts(tagged, years.year_starts(tagged, month, self._chunk_bits))
+        if self._runs is None:
+            return tagged.withColumn("_year", F.col("start_year"))
+        counted = years.count_year_starts(tagged, years.year_starts(self._runs))
         return counted.withColumn("_year", F.col("start_year") + F.col("rollovers"))
 
     @property

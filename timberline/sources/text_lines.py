@@ -7,17 +7,17 @@ when the file was read as many blocks.
 
 from __future__ import annotations
 
-import fnmatch
 import posixpath
 import re
 import warnings
-from collections.abc import Sequence
-from urllib.parse import unquote
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as from_jvm
 
-from timberline.plans.durable import durable, lookup_join
+from timberline.plans.durable import durable, importable, lookup_join
 
 LINE_COLUMNS = ("path", "source", "block", "line_id", "file_mtime", "value")
 _MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
@@ -81,13 +81,11 @@ def _in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.sql(f"SELECT {nothing} WHERE false").union(df)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], only: Sequence[str] | None = None,
-               without: Sequence[str] = (), block_end: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], only: DataFrame | None = None) -> DataFrame:
     """Lines of UTF-8 text files; a missing, unreadable or hidden path fails the run.
 
-    ``only`` and ``without`` pick files by their ``path``. The others are dropped from the file
-    list while planning and not opened. ``block_end`` adds ``_last_block``, whether the line's
-    block is the last of its file.
+    ``only`` is a written table of the files to read, with a column ``path``. Nearly all others are dropped from
+    the file list while planning and not opened; a join drops the rest. Other columns of ``only`` come along.
 
     The text source splits large files and packs small ones, so work follows bytes, not files.
     """
@@ -98,9 +96,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], only: Sequence[s
     text = _scan_session(spark).read.option("lineSep", "\n").text(paths)
     meta = lambda name: F.col(f"_metadata.{name}")
     if only is not None:
-        text = text.filter(meta("file_path").isin(list(only)))
-    if without:
-        text = text.filter(~meta("file_path").isin(list(without)))
+        marks = file_marks(only)
+        text = text.filter(F.substr(F.lit(marks), _mark(meta("file_path"), len(marks)) + 1, F.lit(1)) == "1")
     # The id must be taken in the select on the scan: here it follows the file order.
     columns = {
         "path": meta("file_path"),
@@ -110,9 +107,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], only: Sequence[s
         "file_mtime": meta("file_modification_time"),
         "value": F.col("value"),
     }
-    if block_end:
-        columns["_last_block"] = meta("file_block_start") + meta("file_block_length") >= meta("file_size")
     lines = _in_session(spark, text.select(*[c.alias(n) for n, c in columns.items()]))
+    if only is not None:
+        lines = lookup_join(lines, only, ["path"], how="inner")
     return lines.withColumn("value", F.when(
         F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")
     ).otherwise(F.col("value")))
@@ -156,20 +153,92 @@ def head_sample(lines: DataFrame, count: int = 20) -> DataFrame:
     return lookup_join(lines, durable(_first(lines.select(*keys), count)), keys, how="left_semi")
 
 
+# Bytes that one read of a head takes, and files that one task opens one after the other.
+HEAD_BYTES = 64 << 10
+FILES_A_TASK = 256
+_BOM = b"\xef\xbb\xbf"
+
+
+def _head_of(path: str, count: int) -> tuple[list[str], int]:
+    """The first lines of a file, and the bytes read for them. Text after the last line break is a line too."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    got, taken = b"", 0
+    with system.open_input_stream(place, compression="detect") as stream:
+        while got.count(b"\n") < count and (more := stream.read(HEAD_BYTES)):
+            got, taken = got + more, taken + len(more)
+    lines = got.removeprefix(_BOM).split(b"\n")
+    if not lines[-1] or len(lines) > count:
+        lines = lines[:min(count, len(lines) - 1)]
+    return [line.removesuffix(b"\r").decode(errors="replace") for line in lines], taken
+
+
+def read_heads(files: DataFrame, count: int) -> DataFrame:
+    """``path, line_id, value, head_bytes``: the first lines of each file of a column ``path``.
+
+    Only as much of a file is read as holds these lines, by Arrow's file systems. A file that these can't
+    open, for its store or its compression, has one row without ``line_id``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    if re.search(r"\.(snappy|deflate)$", path):
+                        raise OSError("not a compression that Arrow finds by name")
+                    lines, taken = _head_of(path, count)
+                    ids = list(range(len(lines)))
+                except (OSError, ImportError, ValueError, NotImplementedError):
+                    lines, ids, taken = [None], [None], 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(lines), pa.string()), pa.array(ids, pa.int64()), pa.array(lines, pa.string()),
+                     pa.array([taken] * len(lines), pa.int64())], names=["path", "line_id", "value", "head_bytes"])
+
+    return files.select("path").mapInArrow(run, "path string, line_id long, value string, head_bytes long")
+
+
 def file_head_sample(spark: SparkSession, paths: Sequence[str], count: int = 20) -> DataFrame:
-    """The first ``count`` lines of each text file, however the files are split.
+    """The first ``count`` lines of each text file, without reading more than these.
+
+    Files that can't be opened outside a scan are scanned whole, and only those.
+    """
+    importable(spark)
+    files = durable(input_files(spark, paths).filter(F.col("file_size") > 0))
+    tasks = max(1, -(-files.count() // FILES_A_TASK))
+    heads = durable(read_heads(files.repartition(tasks), count))
+    status = files.select("path", base_name(F.substring_index("path", "/", -1)).alias("source"), "file_mtime")
+    found = lookup_join(heads.filter(F.col("line_id").isNotNull()), status, ["path"], how="inner").select(
+        "path", "source", F.lit(0).cast("bigint").alias("block"), "line_id", "file_mtime", "value")
+    closed = durable(heads.filter(F.col("line_id").isNull()).select("path"))
+    if closed.isEmpty():
+        return found
+    return found.unionByName(_first(read_lines(spark, paths, only=closed), count))
 
-    The first block of a file nearly always has them. Only files whose first block has fewer
-    and is not the whole file are read once more, up to their end.
+
+# --- files of a request ----------------------------------------------------------------
+
+# Marks of files in the text that a scan is pruned with: so many for each file, and at most so many.
+MARKS_A_FILE = 16
+MOST_MARKS = 1 << 20
+
+
+def _mark(path: Column, marks: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(marks)).cast("int")
+
+
+def file_marks(files: DataFrame) -> str:
+    """A text of zeros and ones that tells which files a scan need not open.
+
+    A file whose place holds a zero is not in the table. The text has a bounded length whatever the
+    number of files; with too many of them it prunes less, and the join that follows decides.
     """
-    lines = read_lines(spark, paths, block_end=True)
-    head = durable(_first(lines.filter(F.col("block") == 0), count))
-    short = (head.groupBy("path").agg(F.count("*").alias("n"), F.max("_last_block").alias("whole"))
-             .filter((F.col("n") < count) & ~F.col("whole")).select("path"))
-    if short.isEmpty():
-        return head.drop("_last_block")
-    longer = _first(lookup_join(lines, durable(short), ["path"], how="left_semi"), count)
-    return lookup_join(head, durable(short), ["path"], how="left_anti").unionByName(longer).drop("_last_block")
+    count = files.count()
+    marks = min(MOST_MARKS, 1 << max(8, (MARKS_A_FILE * count - 1).bit_length()))
+    text = bytearray(b"0" * marks)
+    places = files.select(_mark(F.col("path"), marks).alias("place")).distinct().toArrow().column("place")
+    for place in places.to_pylist():
+        text[place] = ord("1")
+    return text.decode()
 
 
 def _plain(path: str) -> str:
@@ -177,52 +246,88 @@ def _plain(path: str) -> str:
     return re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/") or "/"
 
 
-def _positions(file: str, wanted: dict[str, list[int]], patterns: dict[str, list[int]]) -> list[int]:
-    """Request positions that name this file, a folder above it, or a pattern over either."""
-    name = _plain(unquote(file))
-    steps = name.split("/")
-    spellings = ["/".join(steps[:n]) for n in range(len(steps), 1, -1)]
-    for spelling in spellings:
-        if spelling in wanted:
-            return wanted[spelling]
-    return [i for pattern, at in patterns.items() for i in at
-            if any(fnmatch.fnmatchcase(s, pattern) for s in spellings)]
+def _plain_column(path: Column) -> Column:
+    """The same for a column of paths as Spark writes them, which are escaped."""
+    bare = F.regexp_replace(path, r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "")
+    return base_name(bare)
+
+
+def _glob_pattern(glob: str) -> str:
+    """A regular expression for a glob of whole paths: ``*`` and ``?`` stay inside a name, ``{a,b}`` and ``[ab]`` work."""
+    out, depth, at = "", 0, 0
+    while at < len(glob):
+        c = glob[at]
+        if c == "[" and (end := glob.find("]", at + 2)) > 0:
+            inner = glob[at + 1:end]
+            negated = inner[0] in "!^"
+            body = re.sub(r"([\\\[&])", r"\\\1", inner[negated:])
+            out, at = out + f"[{'^' * negated}{body}]", end
+        elif c == "\\" and at + 1 < len(glob):
+            at += 1
+            out += re.escape(glob[at])
+        else:
+            depth += (c == "{") - (c == "}")
+            out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(c) or ("|" if c == "," and depth else re.escape(c))
+        at += 1
+    return f"^{out}$"
 
 
-def input_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Every file a request reads, empty ones too, spelled as in the ``path`` of its lines.
+def input_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, file_mtime, file_size``: every file a request reads, spelled as in the ``path`` of its lines.
 
-    Spark lists the files on the driver in any case; this hands out the names.
+    The rows come from a scan that reads no content. It passes over empty files, so these are added from the list
+    that Spark has made to plan it, which stays in the JVM; their time is unknown.
     """
-    check_paths(spark, list(dict.fromkeys(paths)))
-    files = spark.read.text(list(dict.fromkeys(paths))).inputFiles()
+    paths = list(dict.fromkeys(paths))
+    check_paths(spark, paths)
+    meta = lambda name: F.col(f"_metadata.{name}")
+    status = spark.read.format("binaryFile").load(paths).select(
+        meta("file_path").alias("path"), meta("file_modification_time").alias("file_mtime"), meta("file_size").alias("file_size"))
+    return status.unionByName(_empty_files(spark, paths, status))
+
+
+def _empty_files(spark: SparkSession, paths: Sequence[str], status: DataFrame) -> DataFrame:
+    names = from_jvm(spark._jvm.org.apache.spark.sql.functions.lit(spark.read.text(list(paths))._jdf.inputFiles()))
     # Local files are listed as file:///x, but each line says file:/x.
-    return [re.sub("^file:/+", "file:/", file) for file in files]
+    listed = spark.range(1).select(F.explode(names).alias("path")).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    return listed.join(status.select("path"), "path", "left_anti").select(
+        "path", F.lit(None).cast("timestamp").alias("file_mtime"), F.lit(0).cast("bigint").alias("file_size"))
 
 
 def file_order(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
     """``path, file_idx``: the positions of each file in the request; None if it has only one.
 
     A folder or glob takes one position; its files then follow by path. A path given twice
-    counts twice, as two entries of the request.
+    counts twice, as two entries of the request. Every folder above a file is looked up among the paths of the
+    request, and the longest that is there decides; patterns decide for files that no path names.
     """
     if len(paths) == 1:
         return None
-    wanted: dict[str, list[int]] = {}
-    patterns: dict[str, list[int]] = {}
+    wanted, patterns = [], []
     for index, path in enumerate(paths):
         plain = _plain(path)
         if not plain.startswith("/"):
             tail = re.sub(r"^(\.\./)+", "", posixpath.normpath(plain))
-            patterns.setdefault("*/" + tail, []).append(index)
+            patterns.append((f"(?:.*/){_glob_pattern(tail)[1:]}", index))
         elif re.search(r"[*?\[{]", plain):
-            patterns.setdefault(plain, []).append(index)
+            patterns.append((_glob_pattern(plain), index))
         else:
-            wanted.setdefault(plain, []).append(index)
+            wanted.append((plain, index))
+    steps = F.split(_plain_column(F.col("path")), "/")
+    above = F.transform(F.sequence(F.size(steps), F.lit(2), F.lit(-1)), lambda n: F.concat_ws("/", F.slice(steps, 1, n)))
+    files = input_files(spark, paths).select("path", above.alias("spellings"))
+    named = spark.createDataFrame(wanted, "spelling string, file_idx int")
+    spelled = files.select("path", F.posexplode("spellings").alias("up", "spelling")).join(F.broadcast(named), "spelling")
+    nearest = spelled.withColumn("_n", F.rank().over(Window.partitionBy("path").orderBy("up"))).filter("_n = 1").select("path", "file_idx")
+    places = nearest
+    if patterns:
+        matches = lambda regex: F.exists("spellings", lambda s: s.rlike(regex))
+        hits = F.array_compact(F.array(*[F.when(matches(regex), F.lit(index)) for regex, index in patterns]))
+        matched = files.join(nearest.select("path").distinct(), "path", "left_anti").select("path", F.explode(hits).alias("file_idx"))
+        places = nearest.unionByName(matched)
     # A spelling not understood here costs the file its place in the order, never its lines.
-    rows = [(file, index) for file in input_files(spark, paths)
-            for index in _positions(file, wanted, patterns) or [len(paths)]]
-    return durable(spark.createDataFrame(rows, "path string, file_idx int"))
+    every = files.select("path").join(places, "path", "left")
+    return durable(every.select("path", F.coalesce("file_idx", F.lit(len(paths))).cast("int").alias("file_idx")))
 
 
 def with_file_order(lines: DataFrame, order: DataFrame | None) -> DataFrame:
