@@ -38,11 +38,26 @@ MARGIN = 1.0
 PRIOR = 0.5
 DRIFT = -0.25
 MOST_SCORE = 8.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
+# Counts that a task holds before it sends them on, and characters of a text whose words are listed at a time.
+HELD_TOKENS = 200_000
+PART_CHARS = 200_000
 # Evidence beyond this adds nothing; it keeps the logistic fit finite.
 MOST_EVIDENCE = 200.0
 
 words_of = re.compile(r"[^\W\d_]+").findall
+spans_of = re.compile(r"[^\W\d_]+").finditer
+_blank = re.compile(r"[ \n]").search
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about PART_CHARS that end before a blank or a line break, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = _blank(text, at + PART_CHARS)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def tokens_of(word: str) -> list[str]:
@@ -102,6 +117,11 @@ class Model:
             cache[w] = self.word_score(w)
         return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
 
+    def text_scores(self, text: str, cache: dict[str, float]) -> np.ndarray:
+        """The scores of all words of a text."""
+        rows = [self.word_scores(words_of(part.lower()), cache) for part in parts_of(text)]
+        return np.concatenate(rows) if rows else np.zeros(0)
+
     def surprise(self, score: float, n: int) -> float:
         """-log of the number of such segments that chance would make in n tokens."""
         return self.scale * score - self.log_k - math.log(max(n, 1))
@@ -118,29 +138,35 @@ class Model:
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, toxic, texts, words): for each class, texts with the token, and different words with it in each text."""
-    texts: Counter = Counter()
-    words: Counter = Counter()
+    """(token, toxic, texts, words): for each class, texts with the token, and different words with it in each text.
+
+    The words of a text come in order, so a beginning is new to the text unless the word before has it too, and
+    counts can be sent on in the middle of a text of any length.
+    """
+    counts: dict[int, dict[str, list[int]]] = {0: {}, 1: {}}
 
-    def flush():
-        keys = list(words)
+    def flush(label: int) -> pa.RecordBatch:
+        held = counts[label]
         batch = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-             pa.array([texts[k] for k in keys], pa.int64()), pa.array(list(words.values()), pa.int64())],
-            names=["token", "toxic", "texts", "words"])
-        texts.clear()
-        words.clear()
+            [pa.array(list(held), pa.string()), pa.array([label] * len(held), pa.int32()),
+             *[pa.array([c[n] for c in held.values()], pa.int64()) for n in (0, 1)]], names=["token", "toxic", "texts", "words"])
+        held.clear()
         return batch
 
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            here = [(token, label) for word in set(words_of((text or "").lower())) for token in tokens_of(word)]
-            words.update(here)
-            texts.update(set(here))
-            if len(words) > 500_000:
-                yield flush()
-    if words:
-        yield flush()
+            held, before = counts[label], ""
+            for word in sorted({w for part in parts_of(text or "") for w in words_of(part.lower())}):
+                for token in tokens_of(word):
+                    count = held.setdefault(token, [0, 0])
+                    count[0] += len(before) <= len(token) or not before.startswith(token)
+                    count[1] += 1
+                before = word
+                if len(held) > HELD_TOKENS:
+                    yield flush(label)
+    for label in counts:
+        if counts[label]:
+            yield flush(label)
 
 
 def token_scores(sample: DataFrame, rates: dict[int, int]) -> dict[str, float]:
@@ -243,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     def run(batches):
         cache: dict[str, float] = {}
         for batch in batches:
-            rows = [shared.value.word_scores(words_of((t or "").lower()), cache) for t in batch.column(1).to_pylist()]
+            rows = [shared.value.text_scores(t or "", cache) for t in batch.column(1).to_pylist()]
             # Only positive tokens and the length matter; the rest of a row is the constant drift.
             where = [np.flatnonzero(r > 0) for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -263,6 +289,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     return model
 
 
+def word_places(text: str, count: int, wanted: set[int]) -> dict[int, tuple[int, int]] | None:
+    """Start and end of the words with these numbers; None if the text has not ``count`` words.
+
+    Lower-casing can change a word's letters; positions are those of the text itself.
+    """
+    found, at = {}, -1
+    for at, m in enumerate(spans_of(text)):
+        if at in wanted:
+            found[at] = m.span()
+    return found if at + 1 == count else None
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", passages: str = "passages") -> DataFrame:
     """``docs`` with the probability that each whole text is toxic, and its significant passages.
 
@@ -270,7 +308,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("surprise", pa.float64())]))
-    spans = re.compile(r"[^\W\d_]+").finditer
 
     def make():
         cache: dict[str, float] = {}
@@ -279,17 +316,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         def step(texts):
             probabilities, found = [], []
             for text in texts:
-                words = words_of(text.lower())
-                row = known.word_scores(words, cache)
+                row = known.text_scores(text, cache)
                 evidence, out = 0.0, []
                 for s, start, end in maximal_segments(row):
                     if (x := known.surprise(s, len(row))) > 0:
                         evidence += x
                         out.append((start, end, x))
                 if out:
-                    places = [m.span() for m in spans(text)]
-                    # Lower-casing can change a word's letters; positions are those of the text itself.
-                    if len(places) == len(words):
+                    places = word_places(text, len(row), {w for a, b, _ in out for w in (a, b - 1)})
+                    if places is not None:
                         out = [{"start": places[a][0], "end": places[b - 1][1], "surprise": x} for a, b, x in out]
                     else:
                         out = [{"start": 0, "end": len(text), "surprise": max(x for _, _, x in out)}]
