@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.plans.durable import use_local_folder
+from timberline.plans.durable import scratch_dir, use_local_folder
 
 # Texts handed to one vectorised step: as many as reach this many characters.
 CHUNK_CHARS = 2_000_000
@@ -105,22 +104,27 @@ def with_text_columns(df: DataFrame, text: str, fields: Sequence[tuple[str, str]
     return kept_frame.mapInArrow(run, schema)
 
 
+# Rows of a file of a written table whose number of rows is known: small tables are not spread over many files.
+ROWS_A_FILE = 20_000
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares, named by ``spark.checkpoint.dir``.
+    """A new path in the folder that the cluster shares, named by ``spark.checkpoint.dir``; ``release`` deletes it.
 
     Only a session on one machine, where nothing is named, gets a folder of its own.
     """
     use_local_folder(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return scratch_dir(spark, what)
 
 
-def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lost executors cost a read, not a rerun."""
+def written(df: DataFrame, what: str, codec: str | None = None, rows: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: lost executors cost a read, not a rerun.
+
+    With ``rows``, a bound of its rows, it is written by no more tasks than such a table needs.
+    """
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path, compression=codec)
+    few = df if rows is None else df.coalesce(max(1, -(-rows // a_file)))
+    few.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

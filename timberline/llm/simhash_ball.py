@@ -226,28 +226,30 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
                 pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()
         known = state
+        count = state[0]
         both = pairs.union(pairs.select("lo", "hi")).toDF("u", "v")
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-        larger = join_counted(both.where("v > u"), least, "u", "n", 2 * state[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        pairs = written(larger.where("hi <> lo").distinct(), "links")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least", rows=2 * count)
+        larger = join_counted(both.where("v > u"), least, "u", "n", 2 * count).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        pairs = written(larger.where("hi <> lo").distinct(), "links", rows=2 * count)
         size = pairs.count()
-        least = written(pairs.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"), F.count("*").alias("n")), "least")
+        least = written(pairs.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"), F.count("*").alias("n")), "least", rows=size)
         smaller = join_counted(pairs.toDF("u", "v"), least, "u", "n", size).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        pairs = written(smaller.where("hi <> lo").union(least.select("u", "m")).distinct(), "links")
+        pairs = written(smaller.where("hi <> lo").union(least.select("u", "m")).distinct(), "links", rows=2 * size)
 
 
 def in_components(rows: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], node: str, key: str) -> DataFrame:
     """``rows`` (key, text_hash, node) with the component of each and its smallest key; ``edges`` links nodes, or makes links of them."""
-    nodes = written(rows.groupBy(node).agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-nodes")
+    every = rows.count()
+    nodes = written(rows.groupBy(node).agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-nodes", rows=every)
     roots = components(edges(nodes) if callable(edges) else edges).toDF(node, "root")
     placed = nodes.join(roots, node, "left").select(node, "least", "n", F.coalesce("root", node).alias("component"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     # A component of very many nodes is a hot key too.
-    ids = written(ids, "component-ids")
     total = nodes.count()
+    ids = written(ids, "component-ids", rows=total)
     of_node = written(join_counted(placed.select(node, F.col("n").alias("n_rows"), "component"), ids, "component", "n", total)
-                      .select(node, "component", "component_id", F.col("n_rows").alias("n")), "components")
-    return join_counted(rows, of_node, node, "n", rows.count()).select(key, "text_hash", node, "component", "component_id")
+                      .select(node, "component", "component_id", F.col("n_rows").alias("n")), "components", rows=total)
+    return join_counted(rows, of_node, node, "n", every).select(key, "text_hash", node, "component", "component_id")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -271,7 +273,7 @@ def keep_first(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFram
     """``df`` with one row of each component of ``found`` (key, text_hash, component), chosen as in ``keep_one``."""
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("text_hash").alias("hash")))
     winners = written(found.groupBy("component").agg(first.alias("w")).select(
-        F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash")), "kept")
+        F.col("w.id").alias("_id"), F.col("w.hash").alias("_hash")), "kept", rows=found.count())
     rows = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_text_hash"), whole_row(df).alias("_row"))
     kept = rows.join(winners, rows["_key"].eqNullSafe(winners["_id"]) & (rows["_text_hash"] == winners["_hash"]))
     # Rows of one key and text are one group: the join has them together already.

@@ -41,6 +41,9 @@ MOST_SCORE = 8.0
 CACHED_WORDS = 150_000
 # Counts that a task holds before it sends them on, and characters of a text whose words are listed at a time.
 HELD_TOKENS = 200_000
+# Sizes of written tables: texts of the sample in a file, and tokens that come from a text on average.
+TEXTS_A_FILE = 500
+TOKENS_A_TEXT = 50
 PART_CHARS = 200_000
 # Evidence beyond this adds nothing; it keeps the logistic fit finite.
 MOST_EVIDENCE = 200.0
@@ -178,7 +181,8 @@ def token_scores(sample: DataFrame, rates: dict[int, int]) -> dict[str, float]:
     rows = sample.select("_text", "_label").mapInArrow(_token_rows, "token string, toxic int, texts bigint, words bigint")
     toxic = lambda c: F.sum(F.when(F.col("toxic") == 1, F.col(c)).otherwise(0))
     counts = written(rows.groupBy("token").agg(toxic("texts").alias("toxic_texts"), toxic("words").alias("y"), F.sum("words").alias("n"))
-                     .where(F.col("n") >= LEAST_TEXTS), "toxic-tokens")
+                     .where(F.col("n") >= LEAST_TEXTS), "toxic-tokens",
+                     rows=sum(rates.values()) * TOKENS_A_TEXT)
     base = rates[1] / (rates[0] + rates[1])
     tested = counts.count()
     raw = F.col("y") / F.col("n")
@@ -257,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     # Equal texts count once, and repeated rows can't exceed the bound.
     by_text = Window.partitionBy("_hash").orderBy("_id")
     sample = written(found.withColumn("_hash", F.xxhash64("_text")).withColumn("_n", F.row_number().over(by_text))
-                     .where("_n = 1").drop("_n", "_hash"), "toxic-sample")
+                     .where("_n = 1").drop("_n", "_hash"), "toxic-sample", rows=bound, a_file=TEXTS_A_FILE)
     rates = {0: 0, 1: 0} | {r._label: r["count"] for r in sample.groupBy("_label").count().collect()}
     if not rates[0] or not rates[1]:
         return Model({}, 1.0, 0.0, [], 0.0, 1.0 if rates[1] else 0.0)

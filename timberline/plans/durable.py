@@ -50,12 +50,12 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, known]) if known else root
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``."""
+def scratch_dir(spark: SparkSession, what: str = "timberline") -> str:
+    """A new folder, named after its content, below the shared folder the cluster names in ``spark.checkpoint.dir``."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-    path = f"{root.rstrip('/')}/timberline-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
 
