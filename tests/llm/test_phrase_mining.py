@@ -68,7 +68,7 @@ def test_equals_plain_counting(spark, seed):
 
 
 def test_result_does_not_depend_on_the_sample(spark, monkeypatch):
-    """Nothing or little proposed: border failures bring in everything, pass by pass."""
+    """Nothing or little proposed: border failures bring in everything."""
     importable(spark)
     rows = invented(3, 300)
     want = plain(rows)

@@ -4,9 +4,10 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and piec
 tabs. A sample of the rows proposes phrases of up to four words that may be frequent. A full pass counts all
 words, the proposed phrases, and their negative border: every phrase whose two parts, without its last and without
 its first word, are proposed. All counts are exact. Frequent phrases that were not proposed are failures
-of the border: they join the proposal, and another full pass counts what that adds, until none is left. A frequent
-phrase has frequent parts, so the last proposal holds them all; there are four passes at most. The sample
-decides how many passes it takes, never what comes out (Toivonen, 1996).
+of the border (Toivonen, 1996). A frequent phrase that was not counted has a part that was not proposed; the shortest such
+part was counted, so it is a failure. The expansion pass counts every phrase that holds a failure and was not counted,
+as far as its other parts are proposed, and closes the search at once: what it finds frequent has no longer
+phrases that it did not count too. The sample decides whether that pass is needed, never what comes out.
 
 Proposals are asked for in a table of bits (Bloom, 1970) of bounded size, over 64-bit hashes of group and words. A
 wrong yes costs a phrase counted in vain; phrases are counted under their own text. With far more proposals
@@ -34,7 +35,7 @@ from timberline.llm.common import join_counted, written
 MOST_WORDS = 4
 SAMPLE_SHARE = 0.25
 # A phrase is proposed from this part of the count that a phrase at the bound has in the sample on average.
-LOWERED = 0.4
+LOWERED = 0.6
 # A longer phrase with this share of a phrase's occurrences stands for it.
 COVERS = (80, 100)
 SCALE = 2_000_000
@@ -213,20 +214,32 @@ def distinct_windows(ids: np.ndarray, hashes: np.ndarray, places: np.ndarray, le
 
     Hashes sort them; words are compared, so that equal hashes of different phrases do no harm.
     """
-    _, first, inverse, counts = np.unique(hashes[places], return_index=True, return_inverse=True, return_counts=True)
-    shown = places[first]
+    order = np.argsort(hashes[places])
+    places = places[order]
+    new = np.ones(len(places), bool)
+    new[1:] = hashes[places[1:]] != hashes[places[:-1]]
     for back in range(length):
-        if (ids[places - back] != ids[shown[inverse] - back]).any():
-            columns = [ids[places - b] for b in range(length)]
-            _, first, counts = np.unique(np.stack(columns, axis=1), axis=0, return_index=True, return_counts=True)
+        words = ids[places - back]
+        if ((words[1:] != words[:-1]) & ~new[1:]).any():
+            columns = np.stack([ids[places - b] for b in range(length)], axis=1)
+            _, first, counts = np.unique(columns, axis=0, return_index=True, return_counts=True)
             return places[first], counts
-    return shown, counts
+    first = np.flatnonzero(new)
+    return places[first], np.diff(first, append=len(places))
 
 
-def _counted(known: Bits, before: Bits | None):
-    """Tasks that count phrases whose parts ``known`` holds and ``before`` did not; the first pass counts words as well.
+def _either(x: np.ndarray, both: bool) -> np.ndarray:
+    """At each end of a phrase, whether both of its parts, or one of them, have a property that ``x`` tells by their ends."""
+    out = np.zeros(len(x), bool)
+    out[1:] = x[:-1] & x[1:] if both else x[:-1] | x[1:]
+    return out
 
-    A group's words altogether are counted under the empty phrase.
+
+def _counted(known: Bits, failed: Bits | None):
+    """Tasks that count words and the phrases whose two parts ``known`` holds, or the phrases that hold one of ``failed``.
+
+    The latter are those that were not counted with ``known``, and whose parts ``known`` holds or that hold such a
+    phrase themselves. A group's words altogether are counted under the empty phrase.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -249,36 +262,36 @@ def _counted(known: Bits, before: Bits | None):
 
         for group, ids, old in token_runs(batches, vocabulary):
             hashes, whole = window_hashes(ids, vocabulary.hashes, _group_hash(group))
-            if before is None:
+            if failed is None:
                 counts = np.bincount(ids[old:], minlength=len(vocabulary.words))
                 counts[0] = 0
                 if (sofar := totals.get(group)) is not None:
                     counts[:len(sofar)] += sofar
                 totals[group] = counts
-            texts = vocabulary.texts()
-            parts, past = known.at(hashes[0], whole[0]), None
-            if before is not None:
-                past = before.at(hashes[0], whole[0])
+            texts = None
+            members = known.at(hashes[0], whole[0])
+            holds = failed.at(hashes[0], whole[0]) if failed else np.zeros(len(ids), bool)
+            if failed and not holds.any() and not failed.at(hashes[1], whole[1]).any() and not failed.at(hashes[2], whole[2]).any():
+                if len(vocabulary) > VOCABULARY:
+                    vocabulary.empty()
+                continue
+            likely = members | holds
             for k in range(1, MOST_WORDS):
-                both = np.zeros(len(ids), bool)
-                both[1:] = parts[:-1] & parts[1:]
-                both &= whole[k]
-                asked = both.copy()
-                if past is not None:
-                    done = np.zeros(len(ids), bool)
-                    done[1:] = past[:-1] & past[1:]
-                    done &= whole[k]
-                    asked &= ~done
+                counted = _either(members, True) & whole[k]
+                above = _either(holds, False) & whole[k]
+                asked = above & _either(likely, True) & ~counted if failed else counted.copy()
                 asked[:old] = False
                 places = np.flatnonzero(asked)
                 if len(places):
+                    texts = texts or vocabulary.texts()
                     shown, counts = distinct_windows(ids, hashes[k], places, k + 1)
                     joined = lambda ends: pc.binary_join_element_wise(
                         *[texts.take(pa.array(ids[ends - back])) for back in range(k, -1, -1)], " ")
                     yield from rows(group, joined, shown, counts)
-                parts = known.at(hashes[k], both)
-                if past is not None:
-                    past = before.at(hashes[k], done)
+                members = known.at(hashes[k], counted)
+                if failed:
+                    holds = above | failed.at(hashes[k], counted)
+                    likely = members | holds
             if len(vocabulary) > VOCABULARY:
                 yield from flush()
                 vocabulary.empty()
@@ -320,20 +333,17 @@ def frequent_phrases(df: DataFrame, text: str, group: str, least: int) -> DataFr
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * short.count()).bit_length()))
     known = Bits.of(short, bits)
     known |= Bits.of(proposed(known), bits)
-    before, found = None, []
-    while True:
-        counts = narrow.mapInArrow(_counted(known, before), "grp string, phrase string, f long").groupBy("grp", "phrase").agg(F.sum("f").alias("f"))
-        frequent = counts.where(F.col("f") >= least)
-        frequent = written(frequent.mapInArrow(_with_hash(known), "grp string, phrase string, f long, hash long, known boolean"), "frequent-phrases")
-        found.append(frequent.select("grp", "phrase", "f"))
-        # The longest phrases have no longer ones to be counted for.
-        failed = frequent.where(~F.col("known") & (F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < MOST_WORDS))
-        if failed.isEmpty():
-            break
-        before, known = known, known | Bits.of(failed, bits)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+
+    def frequent(failed: Bits | None) -> DataFrame:
+        counts = narrow.mapInArrow(_counted(known, failed), "grp string, phrase string, f long").groupBy("grp", "phrase").agg(F.sum("f").alias("f"))
+        return counts.where(F.col("f") >= least)
+
+    first = written(frequent(None).mapInArrow(_with_hash(known), "grp string, phrase string, f long, hash long, known boolean"), "frequent-phrases")
+    out = first.select("grp", "phrase", "f")
+    # The longest phrases have no longer ones to be counted for.
+    failures = first.where(~F.col("known") & (F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < MOST_WORDS))
+    if not failures.isEmpty():
+        out = out.unionByName(frequent(Bits.of(failures.select("hash"), bits)))
     return written(out, "all-frequent-phrases")
 
 
