@@ -108,26 +108,18 @@ def word_spans(text: Column, search: str) -> Column:
 def merge_spans(spans: Column) -> Column:
     """Spans in order, with those that overlap or touch joined into one.
 
-    A span begins a new one if it starts behind all earlier ends. The furthest ends so far are
-    found by doubling: each round looks back twice as far, so n spans take n log n steps.
+    A sweep over starts and ends, each sorted by itself: the n-th start (from 0) begins a new span if n ends
+    lie before it, since none is open then, and the last of the ends before the next such start closes it.
     """
+    starts = F.array_sort(F.transform(spans, lambda s: s["start"]))
+    ends = F.array_sort(F.transform(spans, lambda s: s["start"] + s["length"]))
 
-    def with_ends(ordered: Column) -> Column:
-        ends = F.transform(ordered, lambda s: s["start"] + s["length"])
-        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + F.lit(1))).cast("int"))
-        # An index below zero has no value, which the greatest of both passes over.
-        look_back = lambda reach, n: F.transform(
-            reach, lambda x, i: F.greatest(x, F.get(reach, i - F.call_function("shiftleft", F.lit(1), n))))
-        return once(F.aggregate(rounds, ends, look_back), lambda reach: islands(ordered, reach))
-
-    def islands(ordered: Column, reach: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(ordered) - 1)
-        heads = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i)["start"] > F.get(reach, i - 1)))
+    def islands(start: Column, end: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(start) - 1), lambda i: (i == 0) | (F.get(start, i) > F.get(end, i - 1)))
         return once(heads, lambda at: F.transform(at, lambda i, k: _span(
-            F.get(ordered, i)["start"],
-            F.get(reach, F.coalesce(F.get(at, k + 1), F.size(ordered)) - 1) - F.get(ordered, i)["start"])))
+            F.get(start, i), F.get(end, F.coalesce(F.get(at, k + 1), F.size(start)) - 1) - F.get(start, i))))
 
-    merged = once(F.array_sort(spans), with_ends)
+    merged = once(F.struct(starts.alias("starts"), ends.alias("ends")), lambda both: islands(both["starts"], both["ends"]))
     return F.when(F.size(spans) > 0, merged).when(spans.isNotNull(), _no_spans())
 
 
