@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from timberline.llm import qgram_leaks, queries, simhash_ball
+from timberline.llm.common import importable
 
 SF = "/root/testdata/sf0.01"
 
@@ -130,3 +131,14 @@ def test_leaks_of_odd_rows(spark, request, name, monkeypatch):
     again = qgram_leaks.with_leaks(docs, bench).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
     assert qgram_leaks.with_leaks(docs, bench.limit(0)).where(qgram_leaks.has_leak()).count() == 0
+
+
+def test_blocks_of_the_benchmark_keep_the_columns(spark, monkeypatch):
+    importable(spark)
+    items = [(i, " ".join(f"{w}{i}x" for w in ("reed", "thanon", "ernt", "wherer", "ouedti", "blere"))) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so {t} it is", "mine") for i, t in items], "doc_id long, text string, leaks_0 string")
+    monkeypatch.setattr(qgram_leaks, "BLOCK_CHARS", 60)
+    found = qgram_leaks.with_leaks(docs, benchmark)
+    assert found.columns == ["doc_id", "text", "leaks_0", "leaks"]
+    assert {(r.doc_id, r.leaks_0, tuple(x.item_id for x in r.leaks)) for r in found.collect()} == {(i, "mine", (i,)) for i, _ in items}

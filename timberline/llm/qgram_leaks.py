@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import with_text_columns
+from timberline.llm.common import unused, with_text_columns
 
 Q = 10
 EDIT_RATE = 0.08
@@ -227,7 +227,7 @@ def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", leaks: s
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(build_index([tuple(r) for r in own.collect()], q, rate))
-        name = leaks if blocks == 1 else f"{leaks}_{b}"
+        name = leaks if blocks == 1 else unused(out, f"{leaks}_{b}")
 
         def make(shared=shared):
             def step(texts):
