@@ -1,6 +1,7 @@
 """Secrets, BPE and chat formatting."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -59,6 +60,77 @@ def test_guesses_rank_values():
     assert cost("x" * 20_000) < 10
 
 
+def plain_cost(value, ranks):
+    """The cheapest of all segmentations, each enumerated, of the pieces that the README's method names."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(str.maketrans("4301$5@7!", "aeolssati"))
+    size = max(10, sum(v for v, there in (
+        (10, any(c.isdigit() for c in value)), (26, any(c.islower() for c in value)), (26, any(c.isupper() for c in value)),
+        (33, any(not c.isalnum() for c in value))) if there))
+
+    def run_end(follows, i):
+        while i + 1 < n and follows(i):
+            i += 1
+        return i + 1
+
+    def piece(i, j):
+        costs, part = [(j - i) * math.log10(size)], value[i:j]
+        case = 0.0 if part == low[i:j] else 0.3 if part.istitle() or part.isupper() else 1.0
+        costs += [math.log10(ranks[t[i:j]] + 1) + more + case for t, more in ((low, 0.0), (plain, 0.6)) if t[i:j] in ranks]
+        if re.fullmatch("(19|20)[0-9]{2}", part):
+            costs.append(2.2)
+        elif re.fullmatch("(19|20)[0-9]{2}[-/._]?(0?[1-9]|1[0-2])[-/._]?(0?[1-9]|[12][0-9]|3[01])", part):
+            costs.append(4.6)
+        elif re.fullmatch("(0?[1-9]|[12][0-9]|3[01])[-/._]?(0?[1-9]|1[0-2])[-/._]?(19|20)[0-9]{2}", part):
+            costs.append(4.6)
+        if j - i >= 3:
+            if run_end(lambda k: secret_scan._next_to(low[k], low[k + 1]), i) == j:
+                costs.append(math.log10(47 * 6.0) + 0.4 * (j - i))
+            for step in (1, -1):
+                if run_end(lambda k: ord(value[k + 1]) - ord(value[k]) == step, i) == j:
+                    costs.append(math.log10(26.0 * (j - i)))
+            for unit in range(1, (j - i) // 2 + 1):
+                times = (j - i) // unit
+                # As often as the unit is repeated from here on, no less.
+                if times * unit == j - i and low[i:j] == low[i:i + unit] * times and low[j:j + unit] != low[i:i + unit]:
+                    costs.append(unit * math.log10(size) + math.log10(times))
+        return min(costs)
+
+    def least(i):
+        return 0.0 if i == n else min(piece(i, j) + least(j) for j in range(i + 1, n + 1))
+
+    return least(0)
+
+
+@pytest.mark.parametrize("vocabulary", [None, queries.vocabulary_path("word_bpe_49k.json")])
+def test_guess_cost_is_the_least_of_all_segmentations(vocabulary):
+    rng, ranks = random.Random(8), secret_scan.words_of(vocabulary).rank
+    parts = ["pass", "Admin", "2024", "0312", "qwe", "abc", "987", "aaa", "xyxy", "$", "zq", "h0rse", "staple", "P4SS", "asdf", "7"]
+    values = ["".join(rng.choices(parts, k=4))[:12] for _ in range(250)] + ["".join(rng.choices("abq1$Z", k=9)) for _ in range(50)]
+    for value in values:
+        assert secret_scan.guess_cost(value, vocabulary) == pytest.approx(plain_cost(value, ranks)), value
+
+
+@pytest.mark.parametrize("text", [
+    "the password is required for login", "secret is something", "A password: minimum eight characters", "the secret is forgiveness",
+    "Password is Incorrect. Try again", "his passphrase: well-known by all", "the token is missing/expired", 'The secret: "We must live together" they said',
+    "password is compromised!", 'password = "your password here"',
+])
+def test_prose_and_placeholders_are_left_alone(text):
+    assert secret_scan.redacted(text, "[S]", queries.vocabulary_path("word_bpe_49k.json")) == text
+
+
+@pytest.mark.parametrize("text, value", [
+    ('password = "correct horse battery staple"', "correct horse battery staple"), ('{"passphrase": "seven wet otters sing"}', "seven wet otters sing"),
+    ("the password is correcthorsebatterystaple", "correcthorsebatterystaple"), ("my passphrase is kV8#qpLw2@xz", "kV8#qpLw2@xz"),
+    ("pwd: purple-monkey-dishwasher-radio", "purple-monkey-dishwasher-radio"),
+])
+def test_values_of_several_words_are_secrets(text, value):
+    start = text.index(value)
+    spans = secret_scan.find_spans(text, queries.vocabulary_path("word_bpe_49k.json"))
+    assert ("guess", start, start + len(value)) in [s[:3] for s in spans]
+
+
 def test_own_spans_lie_outside_base_spans():
     kinds = lambda t: [s[0] for s in secret_scan.find_spans(t)]
     assert kinds("pwd: x9$Qw!7zLm2#") == ["guess"] and kinds("my passphrase is kV8#qpLw2@xz.") == ["guess"]

@@ -95,7 +95,7 @@ def op7_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.scan(docs).drop("text")
+    found = secret_scan.scan(docs, vocabulary=vocabulary_path(WORD_BPE)).drop("text")
     base = F.filter("spans", lambda s: s["kind"] != "guess")
 
     def count(kind: str):

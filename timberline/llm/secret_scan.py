@@ -3,11 +3,17 @@
 The value behind a credential word is cut into words, dates, repeats, keyboard walks, runs and
 brute-force pieces so that the product of the guesses each piece takes is least (dynamic programming
 over positions). A value that takes many guesses is a secret; a placeholder such as ``changeme`` is not.
+
+Words are ranked by a short list of what people choose and, where the file of a tokenizer with word ends is named,
+by its vocabulary: merges come in the order of how common they were. A bare value after "is" or a colon
+that is one or two of its words, as in "the password is required", is prose. Quoted values may hold
+blanks where they are assigned (``=`` or a quoted key); quotations after a plain colon are prose too.
 Null and empty texts have no spans. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from bisect import bisect_right
@@ -39,7 +45,10 @@ _CONTEXT = re.compile(
     r"private[_-]?key|access[_-]?key|credential)s?"
     r"(?:[_-]?(?:access|key|base|value|text|string|hash|prod|production|dev|test|staging|live|main|primary|secondary|old|new|current|\d{1,3})){0,3}"
     r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*|(\x20+is\x20+))"
-    r"(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;]{6,}))")
+    r"(?:\"([^\"\r\n]{6,})\"|'([^'\r\n]{6,})'|([^\s\"',;]{6,}))")
+# What stands before a value in quotes that may hold blanks, and a value that is written like words of a sentence.
+_ASSIGNED = re.compile(r"=|[\"']\x20*:")
+_WORDLIKE = re.compile(r"(?a)([A-Za-z]+)(?:[-/]([A-Za-z]+))?[.:!?)\]]*")
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "privatekey", "private_key", "private-key",
                   "accesskey", "access_key", "access-key", "credential")
 # A value is searched for further contexts from its start, a longer one from so many characters before its end:
@@ -55,8 +64,8 @@ COMMON_WORDS = (
     "public internal service client company secure summer winter spring autumn january february march april june "
     "july august september october november december monday friday michael daniel jordan charlie thomas"
 ).split()
-_RANK = {word: place + 1 for place, word in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
+# Shorter words of a vocabulary are pieces of anything.
+_LEAST_LETTERS = 3
 _LEET = str.maketrans("4301$5@7!", "aeolssati")
 _KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {key: (row, col + (0, 1.5, 1.75, 2.25)[row]) for row, keys in enumerate(_KEY_ROWS) for col, key in enumerate(keys)}
@@ -68,6 +77,34 @@ _LONGEST_UNIT = 8
 _CACHED_LENGTH = 200
 
 
+class Words:
+    """Words by the number of guesses they take: the fixed ones, then those of a tokenizer's vocabulary in its order."""
+
+    def __init__(self, vocabulary: str | None):
+        ranked = list(COMMON_WORDS)
+        if vocabulary:
+            with open(vocabulary, encoding="utf-8") as file:
+                pieces = json.load(file)["model"]["vocab"]
+            whole = (p[:-4] for p in sorted(pieces, key=pieces.get) if p.endswith("</w>"))
+            ranked += [w for w in whole if len(w) >= _LEAST_LETTERS and w.isascii() and w.isalpha() and w.islower()]
+        self.rank: dict[str, int] = {}
+        for word in ranked:
+            self.rank.setdefault(word, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.starts = {w[:_LEAST_LETTERS] for w in self.rank}
+
+    def lengths(self, text: str, at: int) -> range:
+        """Lengths that a word of ``text`` from ``at`` on may have."""
+        if text[at:at + 2] in self.starts or text[at:at + 3] in self.starts:
+            return range(2, min(len(text) - at, self.longest) + 1)
+        return range(0)
+
+
+@lru_cache(maxsize=4)
+def words_of(vocabulary: str | None) -> Words:
+    return Words(vocabulary)
+
+
 def _alphabet(text: str) -> int:
     """Size of the character set a brute-force search of this piece has to cover."""
     return max(10 * any(c.isdigit() for c in text) + 26 * any(c.islower() for c in text)
@@ -88,19 +125,20 @@ def _runs(value: str, follows) -> list[int]:
     return ends
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, vocabulary: str | None = None) -> float:
     """log10 of the guesses of the cheapest segmentation; linear in the length of the value."""
-    return _known_cost(value) if len(value) <= _CACHED_LENGTH else _least_cost(value)
+    return _known_cost(value, vocabulary) if len(value) <= _CACHED_LENGTH else _least_cost(value, vocabulary)
 
 
 @lru_cache(maxsize=50_000)
-def _known_cost(value: str) -> float:
-    return _least_cost(value)
+def _known_cost(value: str, vocabulary: str | None) -> float:
+    return _least_cost(value, vocabulary)
 
 
-def _least_cost(value: str) -> float:
+def _least_cost(value: str, vocabulary: str | None) -> float:
     if not value:
         return 0.0
+    words = words_of(vocabulary)
     low = value.lower()
     plain = low.translate(_LEET)
     n = len(value)
@@ -119,9 +157,9 @@ def _least_cost(value: str) -> float:
     for i in range(n):
         here = best[i]
         offer(i + 1, here + brute)
-        for end in range(i + 2, min(n, i + _LONGEST_WORD) + 1):
-            for text, leet in ((low, 0.0), (plain, 0.6)):
-                if rank := _RANK.get(text[i:end]):
+        for text, leet in ((low, 0.0), (plain, 0.6)):
+            for end in (i + length for length in words.lengths(text, i)):
+                if rank := words.rank.get(text[i:end]):
                     case = 0.0 if value[i:end] == low[i:end] else 0.3 if value[i:end].istitle() or value[i:end].isupper() else 1.0
                     offer(end, here + math.log10(rank + 1) + leet + case)
         if value[i].isdigit():
@@ -152,7 +190,16 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
+def _is_prose(value: str, before: str, quoted: bool, words: Words) -> bool:
+    """Whether a value behind ``before``, credential word and link, is a part of a sentence."""
+    if quoted:
+        return any(c.isspace() for c in value) and not _ASSIGNED.search(before)
+    # Values are assigned by "=", or by a colon without a blank.
+    return before[-1] == " " and "=" not in before and bool(m := _WORDLIKE.fullmatch(value)) and all(
+        w.lower() in words.rank for w in m.groups() if w)
+
+
+def find_spans(text: str, vocabulary: str | None = None) -> list[tuple[str, int, int, float | None]]:
     """All spans by start, then kind; base kinds first, the method's own where base spans do not cover the value.
 
     A value that a base span covers in part is a secret by the base pattern: its span is added whatever it costs.
@@ -160,7 +207,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     low = text.lower()
     spans = []
     if any(w in low for w in _ASSIGN_WORDS):
-        spans += [("assign", m.start(), m.end(), guess_cost(m[2])) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+        spans += [("assign", m.start(), m.end(), guess_cost(m[2], vocabulary)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         spans += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
@@ -173,12 +220,16 @@ def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
                 at = m.start() + 1  # "is" links whole words only
                 continue
             start, end = m.span(m.lastindex)
+            quoted = m.lastindex in (2, 3)
+            if _is_prose(m[m.lastindex], text[m.start():start - quoted], quoted, words_of(vocabulary)):
+                at = start
+                continue
             at = max(start, end - _RESCANNED)
             before = bisect_right(taken, (end - 1, end)) - 1  # the last base span that starts before the end
             met = before >= 0 and taken[before][1] > start
             if end <= reported or met and taken[before][0] <= start and taken[before][1] >= end:
                 continue
-            cost = guess_cost(m[m.lastindex])
+            cost = guess_cost(m[m.lastindex], vocabulary)
             if met or cost >= LEAST_LOG10_GUESSES:
                 spans.append(("guess", start, end, cost))
                 reported = end
@@ -186,12 +237,12 @@ def find_spans(text: str) -> list[tuple[str, int, int, float | None]]:
     return spans
 
 
-def scan(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``df`` with an array column of the secrets of each whole text."""
+def scan(df: DataFrame, text: str = "text", spans: str = "spans", vocabulary: str | None = None) -> DataFrame:
+    """``df`` with an array column of the secrets of each whole text; ``vocabulary`` is a file that every executor has."""
 
     def make():
         def step(texts):
-            found = [[{"kind": k, "start": s, "end": e, "log10_guesses": c} for k, s, e, c in find_spans(t)] for t in texts]
+            found = [[{"kind": k, "start": s, "end": e, "log10_guesses": c} for k, s, e, c in find_spans(t, vocabulary)] for t in texts]
             return [pa.array(found, _ARROW_SPANS)]
 
         return step
@@ -199,20 +250,20 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     return with_text_columns(df, text, [(spans, SPAN_TYPE)], make)
 
 
-def redacted(text: str, mark: str) -> str:
+def redacted(text: str, mark: str, vocabulary: str | None = None) -> str:
     """The text with every secret replaced by ``mark``; overlapping spans count as one."""
     out, at = [], 0
-    for _, start, end, _ in find_spans(text):
+    for _, start, end, _ in find_spans(text, vocabulary):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join([*out, text[at:]]) if out else text
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", vocabulary: str | None = None) -> DataFrame:
     """``df`` with secrets replaced; rows are kept, a null text stays null."""
     def make():
-        return lambda texts: [pa.array([redacted(t, mark) for t in texts], pa.string())]
+        return lambda texts: [pa.array([redacted(t, mark, vocabulary) for t in texts], pa.string())]
 
     names, new = df.columns, unused(df, "_redacted")
     done = with_text_columns(df, text, [(new, "string")], make)
