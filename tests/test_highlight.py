@@ -1,10 +1,13 @@
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from timberline.operators.highlight import highlight_spans, merge_spans
+from timberline.operators import highlight
+from timberline.operators.highlight import highlight_spans, merge_spans, regex_spans
 
 CASES = [
     ("information about info", "info", [(0, 4), (18, 4)]),
@@ -76,3 +79,33 @@ def test_merging_very_many_spans(spark):
         (i * 3).cast("int").alias("start"), F.when(i % 2 == 0, 3).otherwise(1).alias("length"))).alias("s"))
     got = df.select(merge_spans(F.col("s")).alias("m")).select(F.size("m"), F.col("m")[0], F.element_at("m", -1)).first()
     assert (got[0], tuple(got[1]), tuple(got[2])) == (n // 2, (0, 4), ((n - 2) * 3, 4))
+
+
+def test_each_pattern_is_searched_once_for_a_merge(spark):
+    text = F.col("t")
+    df = spark.createDataFrame([("ab",)], "t string").select(
+        merge_spans(F.concat(regex_spans(text, "a+"), regex_spans(text, "[bc]"))).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2 and "aggregate(" not in plan
+
+
+def test_runs_of_long_lines(spark, monkeypatch):
+    """Lines that are looked through in several runs, characters of one to four bytes, nulls and empty lines between."""
+    monkeypatch.setattr(highlight, "_TEXT_BYTES", 1000)
+    monkeypatch.setattr(highlight, "_SPANS", 50)
+    rng = random.Random(8)
+    texts = [None if n % 9 == 0 else "".join(rng.choice("abcé日🙂 ") for _ in range(rng.choice([0, 1, 30, 3000]))) for n in range(120)]
+    arrays = pa.array(["".join(re.sub("[ab]+|🙂|日(?=c)", lambda m: f"﷐{m[0]}﷐", t)).replace("﷐" * 2, "") if t else t for t in texts])
+    run = lambda part: highlight._between_marks(part, True)
+    got = highlight._by_runs(arrays, pc.binary_length(arrays), highlight._TEXT_BYTES, run)
+    assert got.equals(run(arrays)) and got.slice(7, 50).to_pylist() == run(arrays.slice(7, 50)).to_pylist()
+    for text, spans in zip(texts, got.to_pylist()):
+        assert (spans is None) == (text is None)
+        want = [(m.start(), m[0]) for m in re.finditer("(?:[ab]|🙂|日(?=c))+", text or "")]
+        assert [(s["start"], s["word"]) for s in spans or []] == want
+        assert all(s["length"] == len(s["word"]) for s in spans or [])
+    bare = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    spans = {r.n: r.s for r in bare.select("n", regex_spans(F.col("t"), "[ab]+|🙂").alias("s")).collect()}
+    for n, text in enumerate(texts):
+        want = None if text is None else [(m.start(), m.end() - m.start()) for m in re.finditer("(?:[ab]|🙂)+", text)]
+        assert (spans[n] if spans[n] is None else [(s.start, s.length) for s in spans[n]]) == want
