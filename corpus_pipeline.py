@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id: Jaccard 0.8 or more of five-word shingles."""
+    """One document of each group of near copies, the one with the smallest id: SimHash balls and bands propose, Jaccard 0.8 or more of five-word shingles decides."""
     return shingle_copies.keep_one(_documents(docs))
 
 

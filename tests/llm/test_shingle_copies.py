@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import DOC_SCHEMA
-from timberline.llm import shingle_copies
+from timberline.llm import shingle_copies, simhash_ball
 
 SF = "/root/testdata/sf0.01"
 
@@ -118,3 +119,37 @@ def test_set_of_a_node_in_many_pairs_is_dealt_to_several_tasks(spark):
     sets = spark.range(0, 4001).selectExpr("id node", "IF(id % 3 = 0, array(1L, 2L, 3L, 4L, 5L), array(1L, 2L, 3L, id + 9)) shingles")
     found = shingle_copies.verified(pairs, sets)
     assert sorted((r.a, r.b) for r in found.collect()) == [(0, k) for k in range(3, 4001, 3)]
+
+
+def test_balls_alone_link_all_pairs_within_their_distance(spark, monkeypatch):
+    """Without bands, texts of one component of five-word fingerprints are compared, in small groups and large ones, and no others are."""
+    rng = random.Random(12)
+    docs = {}
+    for base in range(40):
+        words = [f"b{base}w{k}" for k in range(600)]
+        for copy in range(60 if base == 0 else 3):
+            own = list(words)
+            for _ in range(copy % 3):
+                own[rng.randrange(600)] = f"c{copy}"
+            docs[len(docs)] = " ".join(own)
+    docs |= {900: "a b a b a b a b", 901: "A b a b a b", 902: "", 903: " "}
+    prints = {i: simhash_ball.fingerprint(simhash_ball.shingle_hashes(t, 5)) for i, t in docs.items()}
+    sets = {i: shingles(t) for i, t in docs.items()}
+    comp = {i: i for i in docs}
+    for i in docs:
+        for j in range(i):
+            if j in docs and sets[i] and sets[j] and (prints[i] ^ prints[j]).bit_count() <= 4 and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {k: low if c == high else c for k, c in comp.items()}
+    root = {i: i for i in docs}
+    for i in docs:
+        for j in docs:
+            both = len(sets[i] & sets[j])
+            if j < i and root[i] != root[j] and (sets[i] == sets[j] or comp[i] == comp[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if c == high else c for k, c in root.items()}
+    with_bands = shingle_copies.with_bands
+    monkeypatch.setattr(shingle_copies, "with_bands", lambda df, text: with_bands(df, text).withColumn("bands", F.array().cast("array<bigint>")))
+    found = shingle_copies.near_copies(spark.createDataFrame(rows_of(docs), DOC_SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in found} == root
+    assert len(set(root.values())) < 80 and len({i for i in range(60) if root[i] == 0}) > shingle_copies.SMALL_GROUP

@@ -1,10 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash balls and the Jaccard similarity of word shingles.
 
-Texts are near copies from a similarity of four fifths of their distinct five-word shingles on. MinHash
-bands propose pairs and the whole shingle sets decide, so no link is made on an estimate. A pair at the bound
-shares none of the bands with a probability of 7 in 100,000, a closer pair with a smaller one.
+Texts are near copies from a similarity of four fifths of their distinct five-word shingles on. The balls of
+``simhash_ball``, over fingerprints of the same shingles, group texts within 4 bits of each other and what these
+chains connect: no such pair is missed. Near copies further apart, most of them, meet in MinHash bands, which are added; a pair at the
+bound shares none of these with a probability of 7 in 100,000, a closer pair with a smaller one. The whole shingle sets
+decide on the pairs of both kinds of group, so no link is made on an estimate.
 
-All pairs of a small band group are compared. In a larger one every text first meets one leader, the text that
+All pairs of a small group are compared. In a larger one every text first meets one leader, the text that
 shares most bands with others, such as the template of edited copies. Texts that are linked by then need not meet
 each other. Pairs of others do so by what sets them apart from their leader: two texts far from it are near each other
 only if they differ from it in the same shingles. That is a join on the least overlap of sets, by prefixes in an order
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import HOT_KEYS, join_counted, with_text_columns, written
-from timberline.llm.simhash_ball import components, in_components, keep_first, shingle_hashes
+from timberline.llm.simhash_ball import components, fingerprint, in_components, keep_first, links, shingle_hashes
 
 SHINGLE = 5
 # The least similarity as a fraction of whole numbers.
@@ -57,18 +59,30 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def with_bands(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the node of each whole text, the number of its distinct shingles and its band keys."""
+    """``df`` with the fingerprint and the node of each whole text, the number of its distinct shingles and its band keys."""
 
     def make():
         def step(texts):
-            sets = [shingle_set(t) for t in texts]
+            hashes = [shingle_hashes(t, SHINGLE) for t in texts]
+            prints = np.array([fingerprint(h) for h in hashes], np.uint64)
+            sets = [np.unique(h) for h in hashes]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64)
-            return [pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
+            return [pa.array(prints.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
 
         return step
 
-    return with_text_columns(df, text, [("node", "bigint"), ("size", "int"), ("bands", "array<bigint>")], make)
+    return with_text_columns(df, text, [("fp", "bigint"), ("node", "bigint"), ("size", "int"), ("bands", "array<bigint>")], make)
+
+
+def ball_groups(banded: DataFrame) -> DataFrame:
+    """(node, size, band): the nodes of each component of fingerprints (node, size, fp) linked by their balls, under a key of its own.
+
+    Texts of one shingle set differ in what they repeat, so a node can have several fingerprints.
+    """
+    rows = written(banded.where("size > 0").select("node", "size", "fp").distinct(), "node-prints", rows=banded.count())
+    found = in_components(rows, lambda prints: links(prints.select("fp")), "fp", "node")
+    return found.select("node", "size", F.xxhash64(F.lit("ball"), "component").alias("band")).distinct()
 
 
 def _with_set(df: DataFrame, text: str) -> DataFrame:
@@ -85,10 +99,10 @@ def _alike(pairs: DataFrame) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
-def proposed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes that share a small band group or whose one end leads a large one, and the nodes of large
-    groups with the leaders of these (node, lead)."""
-    banded = written(nodes.select("node", "size", F.explode("bands").alias("band")), "bands")
+def proposed(nodes: DataFrame, balls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that share a small group, of ``balls`` or of a band, or whose one end leads a large one, and the
+    nodes of large groups with the leaders of these (node, lead)."""
+    banded = written(balls.unionByName(nodes.select("node", "size", F.explode("bands").alias("band"))), "bands")
     total = banded.count()
     shared = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands", rows=total // 2)
     rows = written(join_counted(banded, shared, "band", "n", total), "band-groups", rows=total)
@@ -191,7 +205,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     banded = written(with_bands(narrow, "_text").drop("_text"), "banded")
     nodes = banded.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash"))
     nodes = written(nodes, "nodes", rows=banded.count())
-    pairs, large = proposed(nodes)
+    pairs, large = proposed(nodes, ball_groups(banded))
     pairs = written(pairs, "proposed")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     ends = written(nodes.select("node", "text_hash").join(ends, "node"), "to-verify", rows=2 * pairs.count() + large.count())
@@ -199,13 +213,13 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         ends = F.broadcast(ends)
     texts = narrow.select("text_hash", "_text").join(ends, "text_hash").drop("text_hash")
     sets = written(_with_set(texts, "_text").dropDuplicates(["node"]), "sets")
-    links = written(verified(pairs, sets), "links-at-once", rows=pairs.count())
+    alike = written(verified(pairs, sets), "links-at-once", rows=pairs.count())
     if not large.isEmpty():
-        labels = components(links).select("node", F.col("root").alias("label"))
+        labels = components(alike).select("node", F.col("root").alias("label"))
         late = written(filtered(large, sets, labels), "proposed-late")
-        links = links.union(verified(late, sets))
+        alike = alike.union(verified(late, sets))
     rows = banded.select(key, "text_hash", "node")
-    return in_components(rows, links, "node", key)
+    return in_components(rows, alike, "node", key)
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

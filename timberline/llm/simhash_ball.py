@@ -238,7 +238,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def in_components(rows: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], node: str, key: str) -> DataFrame:
-    """``rows`` (key, text_hash, node) with the component of each and its smallest key; ``edges`` links nodes, or makes links of them."""
+    """``rows`` (key, node, others) with the component of each and its smallest key; ``edges`` links nodes, or makes links of them."""
     every = rows.count()
     nodes = written(rows.groupBy(node).agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-nodes", rows=every)
     roots = components(edges(nodes) if callable(edges) else edges).toDF(node, "root")
@@ -249,7 +249,7 @@ def in_components(rows: DataFrame, edges: DataFrame | Callable[[DataFrame], Data
     ids = written(ids, "component-ids", rows=total)
     of_node = written(join_counted(placed.select(node, F.col("n").alias("n_rows"), "component"), ids, "component", "n", total)
                       .select(node, "component", "component_id", F.col("n_rows").alias("n")), "components", rows=total)
-    return join_counted(rows, of_node, node, "n", every).select(key, "text_hash", node, "component", "component_id")
+    return join_counted(rows, of_node, node, "n", every).select(*rows.columns, "component", "component_id")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
